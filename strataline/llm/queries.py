@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.core.runtime import ship, table
-from strataline.llm import encoding, leakage, splitting, vectors
+from strataline.llm import encoding, leakage, neardup, splitting, vectors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,18 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar_vectors(table(spark, d, "pgvector"))
 
 
+def _edited_copies(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, d, "sqlite_vec"), threshold=0.6, shingle=3, least_words=20)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _edited_copies(spark, d)
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.components(_edited_copies(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -36,7 +48,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = [p1_found, p1_pieces, p4_found, p4_neighbours, p6_ids, p7_found]
+QUERIES = [p1_found, p1_pieces, p4_found, p4_neighbours, p5_found, p5_groups, p6_ids, p7_found]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.core.runtime import ship, table
-from strataline.llm import encoding, leakage, neardup, splitting, vectors
+from strataline.llm import encoding, leakage, neardup, pii, splitting, vectors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +20,27 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces_of(splitting.split_oversized(table(spark, d, "sqlite_vec"), table(spark, d, "textsplitter_opts")))
 
 
+def _messages_and_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list]:
+    messages, chunks = table(spark, d, "gmail_messages"), table(spark, d, "sqlite_vec")
+    texts = messages.select(F.col("message_text").alias("text")).unionByName(chunks.select(F.col("content").alias("text")))
+    return messages, chunks, pii.name_lexicon(texts)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    messages, chunks, lexicon = _messages_and_chunks(spark, d)
+    mail = pii.find_personal(messages, lexicon, "message_id", "message_text").distinct()
+    vec = pii.find_personal(chunks, lexicon, "id", "content")
+    found = mail.select(F.lit("gmail_messages").alias("src"), "*").unionByName(vec.select(F.lit("sqlite_vec").alias("src"), "*"))
+    return found.select("src", "record_id", "kind", "start_pos")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    messages, chunks, lexicon = _messages_and_chunks(spark, d)
+    mail = pii.redact_personal(messages, lexicon, "message_id", "message_text").distinct()
+    vec = pii.redact_personal(chunks, lexicon, "id", "content")
+    return mail.select(F.lit("gmail_messages").alias("src"), "*").unionByName(vec.select(F.lit("sqlite_vec").alias("src"), "*"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.similar_pairs(table(spark, d, "pgvector"))
 
@@ -48,7 +69,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = [p1_found, p1_pieces, p4_found, p4_neighbours, p5_found, p5_groups, p6_ids, p7_found]
+QUERIES = [p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_neighbours, p5_found, p5_groups, p6_ids, p7_found]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

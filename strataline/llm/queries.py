@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.core.runtime import ship, table
-from strataline.llm import encoding, leakage, neardup, pii, splitting, vectors
+from strataline.llm import encoding, leakage, neardup, pii, scans, splitting, vectors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces_of(splitting.split_oversized(table(spark, d, "sqlite_vec"), table(spark, d, "textsplitter_opts")))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_noise(table(spark, d, "sqlite_vec"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair_pages(table(spark, d, "sqlite_vec"))
+
+
 def _messages_and_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list]:
     messages, chunks = table(spark, d, "gmail_messages"), table(spark, d, "sqlite_vec")
     texts = messages.select(F.col("message_text").alias("text")).unionByName(chunks.select(F.col("content").alias("text")))
@@ -69,7 +77,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = [p1_found, p1_pieces, p3_found, p3_redacted, p4_found, p4_neighbours, p5_found, p5_groups, p6_ids, p7_found]
+QUERIES = [p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_redacted, p4_found, p4_neighbours, p5_found, p5_groups, p6_ids, p7_found]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.core.runtime import ship, table
-from strataline.llm import encoding, leakage, neardup, pii, scans, splitting, vectors
+from strataline.llm import abuse, encoding, leakage, neardup, pii, scans, splitting, vectors
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +77,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id").distinct()
 
 
-QUERIES = [p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_redacted, p4_found, p4_neighbours, p5_found, p5_groups, p6_ids, p7_found]
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    scores = abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return scores.where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.abuse_rates(abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "labels")))
+
+
+QUERIES = [p1_found, p1_pieces, p2_found, p2_repaired, p3_found, p3_redacted, p4_found, p4_neighbours, p5_found, p5_groups, p6_ids, p7_found, p8_found, p8_scores, p8_rates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

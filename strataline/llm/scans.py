@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataline.core.runtime import cut
+
 # What a character is misread as, observed form first, and the share of its occurrences.
 CONFUSIONS = [
     ("1", "l", 0.01), ("1", "i", 0.01), ("|", "l", 0.01), ("|", "i", 0.003), ("0", "o", 0.01), ("5", "s", 0.01), ("@", "a", 0.01), ("†", "t", 0.01),
     ("8", "b", 0.003), ("6", "b", 0.003), ("9", "g", 0.003), ("c", "e", 0.01), ("b", "h", 0.01), ("h", "b", 0.003), ("e", "c", 0.003), ("ri", "n", 0.01),
     ("rn", "m", 0.01), ("m", "rn", 0.01), ("ii", "u", 0.01), ("cl", "d", 0.01), ("d", "cl", 0.005), ("vv", "w", 0.01), ("h", "li", 0.005), ("l", "i", 0.003), ("i", "l", 0.003),
-    ("n", "u", 0.002), ("u", "n", 0.002), ("$", "s", 0.003), ("€", "e", 0.003), ("!", "l", 0.003), ("3", "e", 0.003), ("4", "a", 0.003), ("7", "t", 0.003), ("2", "z", 0.003),
+    ("n", "u", 0.002), ("u", "n", 0.002), ("$", "s", 0.003), ("€", "e", 0.003), ("3", "e", 0.003), ("4", "a", 0.003), ("7", "t", 0.003), ("2", "z", 0.003),
     ("6", "é", 0.01), ("v", "y", 0.01), ("ii", "ü", 0.01), ("b", "ß", 0.01), ("6", "ó", 0.003), ("o", "ö", 0.002), ("a", "ä", 0.002), ("u", "ü", 0.002), ("f", "t", 0.002), ("t", "f", 0.002), ("q", "g", 0.003),
 ]
 MOST_EDITS = 3
@@ -40,11 +42,11 @@ for _seen, _true, _share in CONFUSIONS:
 
 _LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 # A word of a page: letters and digits, and the marks that stand for letters where they touch one.
-_TOKEN = re.compile(r"(?:[^\W_]|[@†|$€!](?=[^\W\d_])|(?<=[^\W\d_])[@†|€])+")
+_TOKEN = re.compile(r"(?:[@†|$€](?=[^\W\d_]))?[^\W_]+(?:[@†|$€][^\W_]+)*(?:[@†|€](?![^\W_]))?")
 # What makes a token part of a code such as ``ab3-417``.
 _CODE = re.compile(r"-\d")
 _OF_CODE = re.compile(r"\d-$")
-_STRANGE = re.compile(r"[@†|$€!]|\d")
+_STRANGE = re.compile(r"[@†|$€]|\d")
 
 
 class Model:
@@ -67,7 +69,7 @@ class Model:
         """The word itself and the corpus words it may be a misreading of, with log probabilities."""
         own = self.words.get(word, 0)
         odd = bool(_STRANGE.search(word))
-        if own >= 200 and own * 2000 >= self.total or word.isdigit() or not 3 <= len(word) <= 40:
+        if own >= 200 and own * 2000 >= self.total or word.isdigit() or not 3 <= len(word) <= 28:
             return ((word, 0.0),)
         found: dict[str, float] = {}
         stack = [(0, "", 0.0, 0)]
@@ -89,26 +91,34 @@ class Model:
 
 
 def correct_line(model: Model, tokens: list[str]) -> list[str]:
-    """The most likely words of a line, by Viterbi over the candidates of each token."""
+    """The most likely words of a line, by Viterbi over the candidates of each token.
+
+    A token with one candidate parts the line: the stretches of several candidates between
+    such tokens are decoded on their own, with the neighbours as their ends.
+    """
     choices = [model.candidates(t) for t in tokens]
-    if all(len(c) == 1 for c in choices):
-        return tokens
-    scores: dict[str, tuple[float, tuple | None]] = {}
-    path: list[dict[str, tuple[float, str | None]]] = []
-    before: dict[str | None, float] = {None: 0.0}
-    for options in choices:
-        layer: dict[str, tuple[float, str | None]] = {}
-        for word, cost in options:
-            layer[word] = max((score + cost + model.after(word, prior), prior) for prior, score in before.items()) if None not in before else (cost + model.after(word, None), None)
-        path.append(layer)
-        before = {w: s for w, (s, _) in layer.items()}
-    del scores
-    word: str | None = max(before, key=lambda w: (before[w], w))
-    out: list[str] = []
-    for layer in reversed(path):
-        out.append(word)
-        word = layer[word][1]
-    return out[::-1]
+    out = list(tokens)
+    at = 0
+    while at < len(tokens):
+        if len(choices[at]) == 1:
+            at += 1
+            continue
+        end = at
+        while end < len(tokens) and len(choices[end]) > 1:
+            end += 1
+        start: str | None = tokens[at - 1] if at else None
+        layers: list[dict[str, tuple[float, str | None]]] = [{start: (0.0, None)}]
+        for options in [*choices[at:end], *([((tokens[end], 0.0),)] if end < len(tokens) else [])]:
+            before = layers[-1]
+            layers.append({w: max(((s + cost + model.after(w, p), p) for p, (s, _) in before.items()), key=lambda x: x[0]) for w, cost in options})
+        word = max(layers[-1], key=lambda w: (layers[-1][w][0], w))
+        path = []
+        for layer in reversed(layers[1:]):
+            path.append(word)
+            word = layer[word][1]
+        out[at:end] = path[::-1][: end - at]
+        at = end
+    return out
 
 
 # --- page furniture -------------------------------------------------------------------
@@ -242,7 +252,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def corpus_model(texts: DataFrame, text: str = "content") -> Model:
     """Counts over all texts; the most frequent ``MODEL_WORDS`` words and ``MODEL_PAIRS`` pairs seen ``LEAST_COUNT`` times make the model."""
     counts = texts.where(F.length(text) > 0).select(F.col(text)).mapInArrow(_count, "a string, b string, n bigint")
-    counts = counts.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counts = cut(counts.groupBy("a", "b").agg(F.sum("n").alias("n")))
     words = counts.where("b IS NULL").orderBy(F.desc("n"), "a").limit(MODEL_WORDS)
     pairs = counts.where(f"b IS NOT NULL AND n >= {LEAST_COUNT}").orderBy(F.desc("n"), "a", "b").limit(MODEL_PAIRS)
     pairs_found, words_found = {}, {}
@@ -276,26 +286,32 @@ def running_titles(pages: DataFrame) -> DataFrame:
     return edges.join(runs.select("file", "form"), ["file", "form"], "left_semi").select("id", "line")
 
 
-_CUT = re.compile(r"((?:[^\W\d_]|[@†|0-9](?=[^\W\d_]))[\w@†|]*)([-‐¬­])[ \t ]*\n[ \t]*([^\W\d_][\w@†|]*)")
+_CUT = re.compile(r"([-‐¬\xad])[ \t]*\n[ \t]*([^\W\d_][\w@†|]*)")
 
 
-def cut_words(model: Model, text: str) -> Iterator[re.Match]:
-    """Words cut at a line end and marked as cut; a compound broken at its own hyphen is none."""
+def cut_words(model: Model, text: str) -> list[tuple[int, int, str]]:
+    """(end of the first part, end of the second, second part) of the words cut at a line end and marked as cut; a compound broken at its own hyphen is none."""
+    found = []
     for m in _CUT.finditer(text):
-        if not m.group(3)[0].islower():
+        at = start = m.start()
+        while start and (text[start - 1].isalnum() or text[start - 1] in "@†|"):
+            start -= 1
+        head, tail = text[start:at], m.group(2)
+        if not tail[0].islower() or not any(c.isalpha() for c in head):
             continue
-        if m.group(2) in "-‐":
-            a, b = m.group(1).lower(), m.group(3).lower()
+        if m.group(1) in "-‐":
+            a, b = head.lower(), tail.lower()
             if model.words.get(f"{a}-{b}", 0) > model.words.get(a + b, 0):
                 continue
-        yield m
+        found.append((at, m.end(), tail))
+    return found
 
 
-def joined(model: Model, text: str) -> str:
+def joined(text: str, cuts: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
-    for m in cut_words(model, text):
-        out += [text[at : m.end(1)], m.group(3)]
-        at = m.end()
+    for end, after, tail in cuts:
+        out += [text[at:end], tail]
+        at = after
     return "".join([*out, text[at:]])
 
 
@@ -305,15 +321,19 @@ def _cased(model_word: str, seen: str) -> str:
     return model_word[:1].upper() + model_word[1:] if seen[:1].isupper() else model_word
 
 
+_BLOCK = re.compile(r"(?:[^\n]+\n?)+")
+
+
 def corrections(model: Model, text: str) -> list[tuple[int, int, str]]:
     """(start, end, word) of the misread words of a text whose cut words are joined."""
     found = []
-    for block in re.finditer(r"[^\n](?:.|\n(?!\s*\n))*", text):
-        spans = [(m.start() + block.start(), m.group()) for m in _TOKEN.finditer(block.group()) if not _CODE.match(block.group(), m.end()) and not _OF_CODE.search(block.group(), max(0, m.start() - 2), m.start())]
-        tokens = [t.lower() for _, t in spans]
-        for (at, seen), old, new in zip(spans, tokens, correct_line(model, tokens)):
-            if old != new:
-                found.append((at, at + len(seen), _cased(new, seen)))
+    for block in _BLOCK.finditer(text):
+        piece, origin = block.group(), block.start()
+        spans = list(_TOKEN.finditer(piece))
+        tokens = [m.group().lower() for m in spans]
+        for m, old, new in zip(spans, tokens, correct_line(model, tokens)):
+            if old != new and not _CODE.match(piece, m.end()) and not _OF_CODE.search(piece, max(0, m.start() - 2), m.start()):
+                found.append((origin + m.start(), origin + m.end(), _cased(new, m.group())))
     return found
 
 
@@ -323,13 +343,14 @@ def _noise(shared):
         for batch in batches:
             at, kinds = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                if next(cut_words(model, text), None):
+                cuts = cut_words(model, text)
+                if cuts:
                     at.append(k)
                     kinds.append("hyphenation")
                 if any(numbered for _, _, numbered in edge_lines(text)):
                     at.append(k)
                     kinds.append("page_number")
-                if corrections(model, joined(model, text)):
+                if corrections(model, joined(text, cuts)):
                     at.append(k)
                     kinds.append("misread")
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string())], names=["id", "kind"])
@@ -354,7 +375,8 @@ def repair_text(model: Model, text: str, furniture: set[int]) -> str:
     """Continuous paragraphs of a page: furniture dropped, cut words joined, misread words corrected, lines of a paragraph joined."""
     lines = text.split("\n")
     drop = furniture | {k for k, title, numbered in edge_lines(text) if numbered and not title}
-    text = joined(model, "\n".join(l for k, l in enumerate(lines) if k not in drop))
+    text = "\n".join(l for k, l in enumerate(lines) if k not in drop)
+    text = joined(text, cut_words(model, text))
     out, at = [], 0
     for start, end, word in corrections(model, text):
         out += [text[at:start], word]

@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Column expressions and text functions."""

@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Readers of files, folders, sheets and archives, and the sinks for what comes out."""

@@ -1 +1 @@
-"""Placeholder docstring."""
+"""Incremental sync of changing sources, and windows over event streams."""

@@ -116,7 +116,7 @@ class Catalog:
     def add(self, files: DataFrame, chunks: DataFrame) -> None:
         """Files with their chunks: chunks first, then documents, then files, so that a listed file always has its chunks."""
         self.append("chunks", chunks)
-        documents = chunks.select("id", "dataset", "file_id", F.col("metadata")["docIndex"].cast("double").cast("int").alias("doc_index"))
+        documents = chunks.select("id", "dataset", "file_id", F.col("metadata")["docIndex"].try_cast("double").cast("int").alias("doc_index"))
         self.append("documents", documents)
         self.append("files", files)
 

@@ -168,12 +168,17 @@ def column_number(letters: Column) -> Column:
 
 def column_letters(number: Column) -> Column:
     """Letters of a sheet column from its number, by repeated division in base 26 without a zero; up to eight letters."""
-    rest, out = number.cast("bigint"), F.lit("")
-    for _ in range(8):
-        digit = F.pmod(rest - 1, F.lit(26))
-        out = F.when(rest > 0, F.concat(F.char(F.lit(65) + digit), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
-    return out
+    start = F.struct(number.cast("bigint").alias("rest"), F.lit("").alias("out"))
+
+    def step(state: Column, _: Column) -> Column:
+        more = state["rest"] > 0
+        letter = F.char(F.lit(65) + F.pmod(state["rest"] - 1, F.lit(26)))
+        return F.struct(
+            F.when(more, F.floor((state["rest"] - 1) / 26)).otherwise(F.lit(0)).cast("bigint").alias("rest"),
+            F.when(more, F.concat(letter, state["out"])).otherwise(state["out"]).alias("out"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step, lambda s: s["out"])
 
 
 def serial_date(serial: Column) -> Column:

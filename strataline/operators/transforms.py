@@ -31,6 +31,10 @@ def add_metadata(df: DataFrame, values: Mapping[str, str], metadata: str = "meta
     return df.withColumn(metadata, _overwritten(F.col(metadata), _literal(values)))
 
 
+def _dropped(metadata: Column, key: str) -> Column:
+    return F.map_filter(metadata, lambda k, v: k != key)
+
+
 def manipulate_metadata(df: DataFrame, steps: Sequence[tuple], metadata: str = "metadata") -> DataFrame:
     """Steps in order: ``("add", key, value)`` fails on an existing key, ``("upsert", key, value)``, ``("remove", key)``."""
     out = F.coalesce(F.col(metadata), _empty())
@@ -43,7 +47,7 @@ def manipulate_metadata(df: DataFrame, steps: Sequence[tuple], metadata: str = "
         elif kind == "upsert":
             out = _overwritten(out, _literal({key: step[2]}))
         elif kind == "remove":
-            out = F.map_filter(out, lambda k, v, key=key: k != key)
+            out = _dropped(out, key)
         else:
             raise ValueError(f"unknown step: {kind}")
     return df.withColumn(metadata, out)
@@ -70,7 +74,7 @@ def directory_metadata(files: DataFrame, entries: DataFrame, overall: Mapping[st
 
 def renumber(df: DataFrame, file: Sequence[str] = ("file_id",), order: Column | None = None, tie: str = "id") -> DataFrame:
     """``docIndex`` 0 to n - 1 in the former order, and ``docsTotal``."""
-    place = order if order is not None else F.col("metadata")["docIndex"].cast("double").cast("int")
+    place = order if order is not None else F.col("metadata")["docIndex"].try_cast("double").cast("int")
     window = Window.partitionBy(*file)
     index = F.row_number().over(window.orderBy(place.asc_nulls_last(), F.asc(tie))) - 1
     values = F.create_map(F.lit("docIndex"), index.cast("string"), F.lit("docsTotal"), F.count("*").over(window).cast("string"))

@@ -1,11 +1,698 @@
-"""Queries of the engine's own operators."""
+"""Queries of the engine's own operators over the whole tables, each beside its SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from strataline.core.runtime import ship, table
+from strataline.functions import scalars as S
+from strataline.functions.html import page_markdown
+from strataline.operators import dedupe, lookup, postprocess, ranking, splitters, sql, transforms
+from strataline.sources import loaders, sinks
+from strataline.streaming import sync
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def registered(sql_text: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql_text:
+            _SQL[f.__name__] = sql_text
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {name: (lambda spark, d, f=f: f(ship(spark), d)) for name, f in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def r6(c: Column | str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+# --- frames that the retrieval queries share ------------------------------------------
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("dataset"), "embedding")
+
+
+def _first_vectors(spark: SparkSession, d: str, count: int) -> DataFrame:
+    """The ``count`` first vectors as queries q0, q1, ..."""
+    first = _vectors(spark, d).orderBy("id").limit(count)
+    place = (F.row_number().over(Window.orderBy("id")) - 1).cast("string")
+    return first.select(F.concat(F.lit("q"), place).alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "lang")
+
+
+def _asked(spark: SparkSession, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit("q0").alias("query_id"), F.lit(text).alias("query"))
+
+
+_COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+_Q = "SELECT 'q' || (row_number() OVER (ORDER BY vec_id) - 1) AS query_id, embedding FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT {n})"
+_BM25 = """
+    WITH docs AS (SELECT doc_id AS id, string_split(text, ' ') AS t FROM documents WHERE text IS NOT NULL),
+    st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM docs),
+    w AS (SELECT id, len(t) AS l, unnest(t) AS term FROM docs),
+    tf AS (SELECT id, l, term, count(*) AS c FROM w WHERE term IN ({terms}) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS f FROM tf GROUP BY term),
+    s AS (SELECT tf.id, sum(ln(1 + (n - f + 0.5) / (f + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a))) AS score
+          FROM tf JOIN df USING (term) CROSS JOIN st GROUP BY tf.id)"""
+_TERMS = "'oldest', 'snapshot', 'checksum'"
+
+# --- retrieval ------------------------------------------------------------------------
+
+
+@registered(f"SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY {_COS} DESC, id LIMIT 10")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    found = ranking.Dense(10).retrieve(_first_vectors(spark, d, 1), _vectors(spark, d))
+    return found.select("id", r6("score").alias("score"))
+
+
+@registered(f"""
+    WITH q AS ({_Q.format(n=1)})
+    SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, q WHERE e.label = 3 ORDER BY {_COS} DESC, id LIMIT 10""")
+def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    chunks = _vectors(spark, d).withColumn("metadata", F.create_map(F.lit("label"), F.col("dataset")))
+    return ranking.Dense(10, where={"label": "3"}).retrieve(_first_vectors(spark, d, 1), chunks).select("id", r6("score").alias("score"))
+
+
+@registered(f"""
+    WITH q AS ({_Q.format(n=1)}), s AS (SELECT CAST(e.label AS VARCHAR) AS dataset, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, id) AS rank FROM s)
+    SELECT dataset, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
+def dense_topk_per_dataset(spark: SparkSession, d: str) -> DataFrame:
+    found = ranking.top_per_dataset(_first_vectors(spark, d, 1), _vectors(spark, d), 3)
+    return found.select("dataset", "id", r6("score").alias("score"), "rank")
+
+
+@registered(f"""
+    WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+    SELECT query_id, id, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def dense_many_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 100 against all."""
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return ranking.Dense(10).retrieve(asked, _vectors(spark, d)).select("query_id", "id", r6("score").alias("score"))
+
+
+@registered("""
+    WITH c AS (SELECT p.uuid, CAST(p.embedding AS DOUBLE[]) AS e FROM pgvector p JOIN datasets s ON s.pg_collection_uuid = p.collection_id
+               WHERE s.id = 'company-handbook' AND len(p.embedding) = 64 AND list_sum(CAST(p.embedding AS DOUBLE[])) > -1e300
+                 AND NOT isnan(list_sum(CAST(p.embedding AS DOUBLE[]))) AND len(list_filter(p.embedding, lambda x: x <> 0)) > 0),
+    q AS (SELECT * FROM c ORDER BY uuid LIMIT 1)
+    SELECT c.uuid AS id, round(list_cosine_similarity(c.e, q.e), 6) AS score FROM c, q ORDER BY list_cosine_similarity(c.e, q.e) DESC, id LIMIT 10""")
+def collection_search(spark: SparkSession, d: str) -> DataFrame:
+    """Search in one collection: rows joined to its name, of the query's dimension, usable vectors only."""
+    sets = table(spark, d, "datasets").where("id = 'company-handbook'").select(F.col("pg_collection_uuid").alias("collection_id"))
+    rows = table(spark, d, "pgvector").where((F.size("embedding") == 64) & ~F.exists("embedding", F.isnan) & F.exists("embedding", lambda x: x != 0))
+    chunks = rows.join(sets, "collection_id").select(F.col("uuid").alias("id"), "embedding")
+    asked = chunks.orderBy("id").limit(1).select(F.lit("q0").alias("query_id"), F.col("embedding").alias("vector"))
+    return ranking.Dense(10).retrieve(asked, chunks).select("id", r6("score").alias("score"))
+
+
+@registered("""
+    SELECT s.id AS dataset, len(p.embedding) AS dims, count(*) AS n FROM pgvector p JOIN datasets s ON s.pg_collection_uuid = p.collection_id
+    WHERE p.embedding IS NOT NULL GROUP BY ALL""")
+def collection_dimensions(spark: SparkSession, d: str) -> DataFrame:
+    sets = table(spark, d, "datasets").select(F.col("id").alias("dataset"), F.col("pg_collection_uuid").alias("collection_id"))
+    rows = table(spark, d, "pgvector").where("embedding IS NOT NULL").select("collection_id", F.size("embedding").cast("bigint").alias("dims"))
+    return rows.join(sets, "collection_id").groupBy("dataset", "dims").agg(F.count("*").alias("n"))
+
+
+@registered(f"{_BM25.format(terms=_TERMS)} SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 20")
+def bm25_topn(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.BM25(20).retrieve(_asked(spark, "oldest snapshot checksum"), _texts(spark, d)).select("id", r6("score").alias("score"))
+
+
+@registered(f"""{_BM25.format(terms="'oldest', 'snapshot'").replace("string_split(text, ' ') AS t", "list_filter(string_split(text, ' '), lambda x: lower(x) NOT IN ('a', 'in', 'of', 'the')) AS t")}
+    SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 20""")
+def bm25_topn_stopwords(spark: SparkSession, d: str) -> DataFrame:
+    found = ranking.BM25(20, stopwords=("a", "in", "of", "the")).retrieve(_asked(spark, "oldest snapshot"), _texts(spark, d))
+    return found.select("id", r6("score").alias("score"))
+
+
+@registered("""
+    WITH docs AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(t) AS term FROM docs)
+    SELECT term, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM docs) AS n, round((SELECT avg(len(t)) FROM docs), 6) AS avgdl FROM w GROUP BY term""")
+def bm25_statistics(spark: SparkSession, d: str) -> DataFrame:
+    docs = _texts(spark, d).select("id", S.space_tokens(F.col("content")).alias("t"))
+    stats = docs.agg(F.count("*").alias("n"), r6(F.avg(F.size("t"))).alias("avgdl"))
+    df = docs.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.crossJoin(F.broadcast(stats)).select("term", "df", "n", "avgdl")
+
+
+@registered(f"""
+    WITH q AS ({_Q.format(n=2)}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
+    m AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM s)
+    SELECT query_id, id, round(CASE WHEN hi = 0 THEN 0 WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 6) AS score FROM m""")
+def score_normalize(spark: SparkSession, d: str) -> DataFrame:
+    scored = ranking.dense_scores(_first_vectors(spark, d, 2), _vectors(spark, d)).select("query_id", "id", "score")
+    return ranking.normalise_scores(scored).select("query_id", "id", r6("score").alias("score"))
+
+
+@registered(f"""
+    {_BM25.format(terms="'oldest', 'snapshot'")}, s2 AS (SELECT * FROM ({_BM25.format(terms="'checksum', 'cursor'")} SELECT id, score FROM s)),
+    a AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 30), b AS (SELECT * FROM s2 ORDER BY score DESC, id LIMIT 30),
+    na AS (SELECT id, 0.7 * CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS x, 'first' AS r FROM a),
+    nb AS (SELECT id, 0.3 * CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS x, 'second' AS r FROM b)
+    SELECT id, round(sum(x), 6) AS score, string_agg(r, ',' ORDER BY r) AS retrievers FROM (SELECT * FROM na UNION ALL SELECT * FROM nb) GROUP BY id ORDER BY sum(x) DESC, id LIMIT 10""")
+def merge_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Two BM25 rankings, each scaled, weighted and summed."""
+
+    class Fixed(ranking.BM25):
+        def __init__(self, text: str):
+            super().__init__(30)
+            self.text = text
+
+        def retrieve(self, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+            return super().retrieve(queries.withColumn("query", F.lit(self.text)), chunks)
+
+    merge = ranking.Merge([("first", 0.7, Fixed("oldest snapshot")), ("second", 0.3, Fixed("checksum cursor"))], 10)
+    return merge.retrieve(_asked(spark, ""), _texts(spark, d)).select("id", r6("score").alias("score"), "retrievers")
+
+
+@registered(f"""
+    WITH q AS ({_Q.format(n=3)}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
+    SELECT id, round(max(score), 6) AS score FROM r WHERE k <= 3 GROUP BY id ORDER BY max(score) DESC, id LIMIT 3""")
+def subquery_fusion(spark: SparkSession, d: str) -> DataFrame:
+    parts = _first_vectors(spark, d, 3).select(F.lit("q").alias("query_id"), F.substring("query_id", 2, 9).cast("int").alias("subquery_no"), "vector")
+    asked = spark.range(1).select(F.lit("q").alias("query_id"))
+    return ranking.subquery_search(asked, parts, _vectors(spark, d)).select("id", r6("score").alias("score"))
+
+
+@registered(f"""
+    WITH q AS (SELECT 'q' || (row_number() OVER (ORDER BY vec_id) - 1) AS query_id, embedding, label FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 4)),
+    s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q WHERE e.label = q.label),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
+    SELECT query_id, id, round(score, 6) AS score FROM r WHERE k <= 10""")
+def route_then_search(spark: SparkSession, d: str) -> DataFrame:
+    """Each query goes to the dataset of its own label."""
+    first = _vectors(spark, d).orderBy("id").limit(4)
+    asked = first.select(F.concat(F.lit("q"), (F.row_number().over(Window.orderBy("id")) - 1).cast("string")).alias("query_id"), F.col("embedding").alias("vector"), "dataset")
+    found = ranking.routed_search(asked.select("query_id", "vector"), asked.select("query_id", "dataset"), _vectors(spark, d))
+    return found.select("query_id", "id", r6("score").alias("score"))
+
+
+@registered(f"""
+    WITH q AS ({_Q.format(n=3)}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
+    SELECT query_id, id, round(score, 6) AS score FROM r WHERE score >= 0.4 OR k <= 5""")
+def similarity_keepmin(spark: SparkSession, d: str) -> DataFrame:
+    scored = ranking.dense_scores(_first_vectors(spark, d, 3), _vectors(spark, d)).select("query_id", "id", "score")
+    return postprocess.similarity(scored, 0.4, 5).select("query_id", "id", r6("score").alias("score"))
+
+
+@registered(f"""
+    WITH q AS ({_Q.format(n=3)}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
+    SELECT query_id, id, round(score, 6) AS score FROM r WHERE k <= 20""")
+def reduce_topk(spark: SparkSession, d: str) -> DataFrame:
+    scored = ranking.dense_scores(_first_vectors(spark, d, 3), _vectors(spark, d)).select("query_id", "id", "score")
+    return postprocess.reduce(scored, 20).select("query_id", "id", r6("score").alias("score"))
+
+
+@registered("""
+    WITH l AS (SELECT doc_id AS id, text, (doc_id % 997) / 997.0 AS sim FROM documents WHERE contains(text, 'snapshot')),
+    docs AS (SELECT id, sim, string_split(text, ' ') AS t FROM l), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM docs),
+    w AS (SELECT id, len(t) AS l, unnest(t) AS term FROM docs), tf AS (SELECT id, l, term, count(*) AS c FROM w WHERE term IN ('oldest', 'cursor') GROUP BY ALL),
+    df AS (SELECT term, count(*) AS f FROM tf GROUP BY term),
+    s AS (SELECT tf.id, sum(ln(1 + (n - f + 0.5) / (f + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN df USING (term) CROSS JOIN st GROUP BY tf.id),
+    m AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS x FROM s),
+    b AS (SELECT docs.id, 0.5 * coalesce(x, 0) + 0.5 * sim AS score FROM docs LEFT JOIN m USING (id))
+    SELECT id, round(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 10""")
+def bm25_rerank(spark: SparkSession, d: str) -> DataFrame:
+    rows = _texts(spark, d).where(F.col("content").contains("snapshot")).select(F.lit("q0").alias("query_id"), "id", "content", (F.col("id") % 997 / F.lit(997.0)).alias("score"))
+    out = postprocess.bm25_rerank(rows, _asked(spark, "oldest cursor"), 10)
+    return out.select("id", r6("score").alias("score"))
+
+
+@registered("SELECT doc_id AS id FROM documents WHERE contains(text, 'checksum') AND NOT contains(text, 'cursor')")
+def substring_filter(spark: SparkSession, d: str) -> DataFrame:
+    return postprocess.content_substring(_texts(spark, d), ["checksum"], ["cursor"]).select("id")
+
+
+@registered("SELECT doc_id AS id FROM documents WHERE (contains(text, 'snapshot') OR contains(text, 'Tamsel')) AND NOT contains(text, 'console')")
+def keyword_predicate(spark: SparkSession, d: str) -> DataFrame:
+    return postprocess.keywords(_texts(spark, d), ["snapshot", "Tamsel", "-console"]).select("id")
+
+
+@registered("""
+    SELECT id, list_filter(list_transform(regexp_extract_all(content, '"([^"]*)"', 1), lambda x: trim(x, ' ')), lambda x: x <> '') AS phrases FROM sqlite_vec WHERE content IS NOT NULL""")
+def quoted_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sqlite_vec").where("content IS NOT NULL").select("id", S.quoted_phrases(F.col("content")).alias("phrases"))
+
+
+@registered()
+def format_hits_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as result lists of their collections, in the order of their files."""
+    vec = table(spark, d, "sqlite_vec").where("content IS NOT NULL")
+    rows = vec.select(
+        F.col("collection_id").alias("query_id"), F.get_json_object("metadata", "$.docIndex").try_cast("double").cast("int").alias("subquery_no"), "id", "content",
+        F.get_json_object("metadata", "$.filename").alias("file"), F.get_json_object("metadata", "$.fileSize").try_cast("double").cast("bigint").alias("file_size"),
+    ).where("file IS NOT NULL AND subquery_no IS NOT NULL")
+    # Only lists that can still be shown take part in the fold: a subquery beyond the tenth adds nothing.
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "subquery_no").orderBy("id")))
+    rows = rows.where(F.col("rank") <= 10).withColumn("url", F.concat(F.lit("file:"), "file"))
+    # Every file gives at least its first hits, so the fold needs ten subqueries of ten rows at most.
+    rows = rows.withColumn("_s", F.dense_rank().over(Window.partitionBy("query_id").orderBy("subquery_no"))).where("_s <= 10").drop("_s")
+    whole = vec.select(F.get_json_object("metadata", "$.filename").alias("file"), "content", "id").where("file IS NOT NULL")
+    sources = whole.join(rows.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda x: x["content"]), "\n").alias("text"))
+    return postprocess.format_hits(rows, sources)
+
+
+# --- ingestion ------------------------------------------------------------------------
+
+
+@registered("SELECT id FROM sqlite_vec WHERE content <> '' AND len(list_filter(string_split(content, chr(10)), lambda x: NOT starts_with(x, '#'))) > 0")
+def markdown_filter(spark: SparkSession, d: str) -> DataFrame:
+    return transforms.filter_markdown(table(spark, d, "sqlite_vec")).select("id")
+
+
+@registered("""
+    WITH t AS (SELECT doc_id AS id, string_split(text, ' ') AS w FROM documents WHERE text <> ''),
+    i AS (SELECT id, w, unnest(generate_series(0, greatest(CAST(ceil((len(w) - 8) / 24.0) AS BIGINT), 1) - 1)) AS k FROM t)
+    SELECT id, CAST(k AS INT) AS "docIndex", array_to_string(list_slice(w, k * 24 + 1, k * 24 + 32), ' ') AS content FROM i""")
+def token_windows(spark: SparkSession, d: str) -> DataFrame:
+    return splitters.split_tokens(_texts(spark, d).select("id", "content"), 32, 8)
+
+
+@registered()
+def markdown_split(spark: SparkSession, d: str) -> DataFrame:
+    return splitters.split_markdown(table(spark, d, "sqlite_vec").select("id", "content"), 800)
+
+
+@registered()
+def line_pack(spark: SparkSession, d: str) -> DataFrame:
+    return splitters.split_lines(_texts(spark, d).select("id", "content"), 400)
+
+
+_META = "CASE WHEN json_valid(metadata) THEN CAST(metadata AS JSON) END"
+
+
+@registered(f"""
+    WITH m AS (SELECT id, collection_id AS c, json_extract_string({_META}, '$.absPath') AS p, CAST(TRY_CAST(json_extract_string({_META}, '$.docIndex') AS DOUBLE) AS INT) AS i FROM sqlite_vec)
+    SELECT id, CAST(row_number() OVER (PARTITION BY c, p ORDER BY i ASC NULLS LAST, id) - 1 AS INT) AS doc_index, CAST(count(*) OVER (PARTITION BY c, p) AS INT) AS docs_total FROM m""")
+def chunk_renumber(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sqlite_vec").select("id", "collection_id", F.get_json_object("metadata", "$.absPath").alias("p"), F.create_map(F.lit("docIndex"), F.get_json_object("metadata", "$.docIndex")).alias("metadata"))
+    out = transforms.renumber(rows, ["collection_id", "p"])
+    return out.select("id", F.col("metadata")["docIndex"].cast("int").alias("doc_index"), F.col("metadata")["docsTotal"].cast("int").alias("docs_total"))
+
+
+@registered()
+def page_merge_budget(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sqlite_vec").select(
+        F.concat_ws("|", "collection_id", F.get_json_object("metadata", "$.absPath")).alias("file_id"), F.get_json_object("metadata", "$.page").try_cast("double").cast("int").alias("page"), "content"
+    )
+    rows = rows.where("page IS NOT NULL AND content IS NOT NULL").withColumn("tokens", F.size(S.space_tokens(F.col("content"))))
+    return transforms.merge_pages(rows, 400)
+
+
+@registered(f"""
+    SELECT id, json_extract_string({_META}, '$.filename') AS filename, '42' AS added FROM sqlite_vec""")
+def metadata_manipulate(spark: SparkSession, d: str) -> DataFrame:
+    """One key added, one overwritten, one removed."""
+    empty = F.from_json(F.lit("{}"), "map<string,string>")
+    rows = table(spark, d, "sqlite_vec").select("id", F.coalesce(F.from_json(F.when(F.col("metadata").startswith("{") & F.col("metadata").endswith("}"), F.col("metadata")), "map<string,string>"), empty).alias("metadata"))
+    out = transforms.manipulate_metadata(rows, [("add", "added", "1"), ("upsert", "added", "42"), ("remove", "absPath")])
+    return out.select("id", F.col("metadata")["filename"].alias("filename"), F.col("metadata")["added"].alias("added"))
+
+
+@registered(f"""
+    WITH m AS (SELECT collection_id || '|' || json_extract_string({_META}, '$.absPath') AS file, {_META} AS j FROM sqlite_vec WHERE json_extract_string({_META}, '$.absPath') IS NOT NULL),
+    e AS (SELECT file, k AS key, json_extract_string(j, '$.' || k) AS value FROM (SELECT file, j, unnest(json_keys(j)) AS k FROM m)),
+    n AS (SELECT file, count(*) AS n FROM m GROUP BY 1), c AS (SELECT file, key, value, count(*) AS c FROM e GROUP BY ALL)
+    SELECT file, key, value FROM c JOIN n USING (file) WHERE c = n""")
+def common_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """What the metadata of all chunks of a file share."""
+    meta = F.from_json("metadata", "map<string,string>")
+    rows = table(spark, d, "sqlite_vec").select("collection_id", meta.alias("metadata")).where("metadata['absPath'] IS NOT NULL")
+    return transforms.common_metadata(rows.select(F.concat_ws("|", "collection_id", F.col("metadata")["absPath"]).alias("file"), "metadata"), ["file"])
+
+
+@registered(f"""
+    SELECT collection_id, json_extract_string({_META}, '$.loader') AS loader, count(*) AS n FROM sqlite_vec
+    WHERE json_extract_string({_META}, '$.page') IS NOT NULL GROUP BY ALL""")
+def json_field_filter(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sqlite_vec").select("collection_id", F.from_json("metadata", "loader string, page string").alias("m"))
+    return rows.where("m.page IS NOT NULL").groupBy("collection_id", F.col("m.loader").alias("loader")).agg(F.count("*").alias("n"))
+
+
+@registered("""
+    WITH r AS (SELECT *, row_number() OVER (PARTITION BY dataset, absolute_path ORDER BY modified_at DESC NULLS LAST, ingest_id DESC) AS k FROM ingest_opts WHERE absolute_path IS NOT NULL),
+    f AS (SELECT dataset, absolute_path, max(modified_at) AS t, count(*) AS c FROM files WHERE absolute_path IS NOT NULL GROUP BY ALL)
+    SELECT r.ingest_id, r.dataset, r.absolute_path, r.modified_at FROM r LEFT JOIN f USING (dataset, absolute_path) WHERE k = 1 AND (f.t IS NULL OR r.modified_at > f.t)""")
+def dedupe_upsert(spark: SparkSession, d: str) -> DataFrame:
+    incoming = table(spark, d, "ingest_opts").where("absolute_path IS NOT NULL").select("ingest_id", "dataset", "absolute_path", "modified_at")
+    existing = table(spark, d, "files").where("absolute_path IS NOT NULL")
+    return dedupe.upsert(incoming, existing, tie=["ingest_id"])
+
+
+@registered("""
+    SELECT DISTINCT ingest_id FROM ingest_opts i WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.dataset IS NOT DISTINCT FROM i.dataset
+      AND f.absolute_path IS NOT DISTINCT FROM i.absolute_path AND f.size IS NOT DISTINCT FROM i.size AND f.modified_at IS NOT DISTINCT FROM i.modified_at)""")
+def dedupe_file_metadata(spark: SparkSession, d: str) -> DataFrame:
+    return dedupe.by_file_metadata(table(spark, d, "ingest_opts"), table(spark, d, "files")).select("ingest_id").distinct()
+
+
+@registered("SELECT sha256(content) AS checksum, min(id) AS id FROM sqlite_vec WHERE content IS NOT NULL GROUP BY content")
+def dedupe_checksum(spark: SparkSession, d: str) -> DataFrame:
+    return dedupe.by_checksum(table(spark, d, "sqlite_vec").where("content IS NOT NULL").select("id", "content")).select("checksum", "id")
+
+
+@registered("""
+    WITH b AS (SELECT dataset, absolute_path, max(modified_at) AS t FROM files WHERE absolute_path IS NOT NULL AND dataset IS NOT NULL GROUP BY ALL),
+    a AS (SELECT dataset, absolute_path, max(modified_at) AS t FROM ingest_opts WHERE absolute_path IS NOT NULL AND dataset IS NOT NULL GROUP BY ALL)
+    SELECT dataset, absolute_path, CASE WHEN b.absolute_path IS NULL THEN 'insert' WHEN a.absolute_path IS NULL THEN 'delete' ELSE 'update' END AS change
+    FROM (SELECT *, 1 AS o FROM b) b FULL JOIN (SELECT *, 1 AS o FROM a) a USING (dataset, absolute_path) WHERE a.o IS NULL OR b.o IS NULL OR a.t IS DISTINCT FROM b.t""".replace("b.absolute_path IS NULL", "b.o IS NULL").replace("a.absolute_path IS NULL", "a.o IS NULL"))
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
+    newest = lambda name: table(spark, d, name).where("absolute_path IS NOT NULL AND dataset IS NOT NULL").groupBy("dataset", "absolute_path").agg(F.max("modified_at").alias("t"))
+    return dedupe.snapshot_diff(newest("files"), newest("ingest_opts"), ["dataset", "absolute_path"], "t")
+
+
+@registered("""
+    SELECT DISTINCT f.id, f.absolute_path FROM files f WHERE starts_with(f.absolute_path, '/data/') AND f.absolute_path NOT IN (SELECT absolute_path FROM ingest_opts WHERE absolute_path IS NOT NULL AND is_duplicate_func_name IS NOT NULL)""")
+def prune_prefix(spark: SparkSession, d: str) -> DataFrame:
+    keep = table(spark, d, "ingest_opts").where("is_duplicate_func_name IS NOT NULL").select("absolute_path")
+    return dedupe.prune(table(spark, d, "files"), keep, "/data/").select("id", "absolute_path").distinct()
+
+
+@registered(f"""
+    SELECT DISTINCT f.dataset, f.name FROM files f WHERE NOT EXISTS (SELECT 1 FROM sqlite_vec v WHERE v.collection_id = f.dataset AND json_extract_string(CASE WHEN json_valid(v.metadata) THEN CAST(v.metadata AS JSON) END, '$.filename') = f.name)""")
+def orphan_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that no chunk of their dataset names."""
+    held = table(spark, d, "sqlite_vec").select(F.col("collection_id").alias("dataset"), F.from_json("metadata", "filename string")["filename"].alias("file_id"))
+    return dedupe.orphans(table(spark, d, "files").select("dataset", F.col("name").alias("id")), held.where("file_id IS NOT NULL")).select("dataset", F.col("id").alias("name")).distinct()
+
+
+@registered("SELECT CASE WHEN f.absolute_path IS NULL THEN 'ingested' ELSE 'skipped' END AS outcome, count(*) AS n FROM ingest_opts i LEFT JOIN (SELECT DISTINCT absolute_path FROM files) f ON f.absolute_path = i.absolute_path GROUP BY 1")
+def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "files").select(F.col("absolute_path").alias("_p")).distinct()
+    rows = table(spark, d, "ingest_opts").join(seen, F.col("absolute_path") == F.col("_p"), "left")
+    return rows.groupBy(F.when(F.col("_p").isNull(), "ingested").otherwise("skipped").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@registered("SELECT id, sha1(absolute_path) AS dataset_id FROM files WHERE absolute_path IS NOT NULL")
+def path_dataset_id(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "files").where("absolute_path IS NOT NULL").select("id", F.sha1("absolute_path").alias("dataset_id"))
+
+
+@registered("""
+    SELECT lower(regexp_extract(name, '(\\.[^.]+)$', 1)) AS ext, count(*) AS n FROM files WHERE lower(regexp_extract(name, '(\\.[^.]+)$', 1)) IN ('.pdf','.html','.md','.txt','.docx','.csv','.json') GROUP BY 1""")
+def file_types(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "files").select(loaders.file_type(F.col("name")).alias("ext"))
+    return kinds.where(F.col("ext").isin(".pdf", ".html", ".md", ".docx", ".csv", ".json", ".txt")).groupBy("ext").agg(F.count("*").alias("n"))
+
+
+@registered("""
+    WITH k AS (SELECT id, unnest(json_keys(CAST(metadata AS JSON))) AS key, metadata FROM datasets WHERE json_valid(metadata)), v AS (SELECT id, key, json_extract_string(CAST(metadata AS JSON), '$.' || key) AS value FROM k)
+    SELECT id, key, value FROM v WHERE value IS NOT NULL AND value NOT IN ('', '-', 'null', 'nil')""")
+def dataset_metadata_clean(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "datasets").select("id", S.clean_metadata(F.from_json("metadata", "map<string,string>")).alias("m"))
+    return rows.select("id", F.explode("m").alias("key", "value"))
+
+
+@registered("""
+    SELECT id, json_extract_string(CAST(embeddings_provider_config AS JSON), '$.name') AS name, CASE WHEN json_extract_string(CAST(embeddings_provider_config AS JSON), '$.config.apiKey') IS NOT NULL THEN 'REDACTED' END AS api_key
+    FROM datasets""")
+def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
+    config = F.from_json("embeddings_provider_config", "name string, type string, config struct<embeddingModel:string,apiKey:string>")
+    out = S.redact_secrets(table(spark, d, "datasets").select("id", config.alias("c")))
+    return out.select("id", F.col("c.name").alias("name"), F.col("c.config.apiKey").alias("api_key"))
+
+
+@registered("""
+    SELECT s.id AS dataset, count(DISTINCT f.name) AS files, (SELECT count(*) FROM sqlite_vec v WHERE v.collection_id = s.id) AS chunks
+    FROM datasets s LEFT JOIN files f ON f.dataset = s.id GROUP BY s.id""")
+def nested_catalog(spark: SparkSession, d: str) -> DataFrame:
+    sets = table(spark, d, "datasets").select(F.col("id").alias("dataset"))
+    files = table(spark, d, "files").groupBy("dataset").agg(F.count_distinct("name").alias("files"))
+    chunks = table(spark, d, "sqlite_vec").groupBy(F.col("collection_id").alias("dataset")).agg(F.count("*").alias("chunks"))
+    return sets.join(files, "dataset", "left").join(chunks, "dataset", "left").na.fill(0, ["files", "chunks"])
+
+
+@registered()
+def structured_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of a file as structured JSON with shared metadata moved up, and read back."""
+    rows = table(spark, d, "sqlite_vec").select(
+        F.from_json("metadata", "map<string,string>").alias("metadata"), "content", "collection_id", F.get_json_object("metadata", "$.docIndex").try_cast("double").cast("int").alias("doc_index")
+    )
+    rows = rows.where("metadata['absPath'] IS NOT NULL").withColumn("path", F.concat_ws("|", "collection_id", F.col("metadata")["absPath"])).drop("collection_id")
+    return loaders.structured(sinks.structured_json(rows)).select("path", "doc_index", "content", F.to_json("metadata").alias("metadata"))
+
+
+@registered()
+def html_clean_markdown(spark: SparkSession, d: str) -> DataFrame:
+    return page_markdown(table(spark, d, "documents").where(F.col("text").contains("<")), "doc_id", "text", main_only=False)
+
+
+# --- scalars --------------------------------------------------------------------------
+
+
+@registered("""
+    WITH m AS (SELECT message_id, lower(regexp_extract(to_addr, '@(.+)$', 1)) AS h FROM gmail_messages WHERE to_addr IS NOT NULL)
+    SELECT DISTINCT message_id, h AS host, CASE WHEN h IN ('example.com', 'www.example.com') OR (len(string_split(h, '.')) = 3 AND regexp_matches(h, '^www.?\\.example\\.com$')) THEN true ELSE false END AS same FROM m""")
+def same_site_links(spark: SparkSession, d: str) -> DataFrame:
+    host = F.lower(F.regexp_extract("to_addr", "@(.+)$", 1))
+    rows = table(spark, d, "gmail_messages").where("to_addr IS NOT NULL").select("message_id", host.alias("host"))
+    return rows.select("message_id", "host", S.same_site(F.col("host"), F.lit("example.com")).alias("same")).distinct()
+
+
+@registered("SELECT DISTINCT id, 'files.example' || '/' || name || '.html' AS file FROM files WHERE name IS NOT NULL AND regexp_full_match(name, '[A-Za-z0-9._-]+')")
+def url_to_path(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "files").where(F.col("name").rlike("^[A-Za-z0-9._-]+$"))
+    return rows.select("id", S.url_file(F.concat(F.lit("https://files.example/"), "name")).alias("file")).distinct()
+
+
+@registered("SELECT p_partkey, CAST(DATE '1900-01-01' + CAST(p_partkey - 2 AS INT) AS DATE) AS day FROM part")
+def serial_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", S.serial_date(F.col("p_partkey")).alias("day"))
+
+
+@registered("""
+    SELECT p_partkey AS n, CASE WHEN p_partkey > 702 THEN chr(CAST(65 + ((p_partkey - 703) // 676) AS INT)) ELSE '' END
+      || CASE WHEN p_partkey > 26 THEN chr(CAST(65 + (((p_partkey - 27) // 26) % 26) AS INT)) ELSE '' END || chr(CAST(65 + ((p_partkey - 1) % 26) AS INT)) AS letters, p_partkey AS back
+    FROM part WHERE p_partkey BETWEEN 1 AND 18278""")
+def a1_letters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").where("p_partkey BETWEEN 1 AND 18278").select(F.col("p_partkey").alias("n"), S.column_letters(F.col("p_partkey")).alias("letters"))
+    return rows.select("n", "letters", S.column_number(F.col("letters")).alias("back"))
+
+
+@registered("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS rfc FROM events")
+def time_texts(spark: SparkSession, d: str) -> DataFrame:
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", S.epoch_ms_text(ms).alias("text"), S.rfc3339(F.col("ts")).alias("rfc"))
+
+
+@registered("SELECT DISTINCT message_id, trim(string_split(mime_type, ';')[1]) AS media, replace(replace(rtrim(to_base64(encode(to_addr)), '='), '/', '_'), '+', '-') AS token FROM gmail_messages WHERE to_addr IS NOT NULL")
+def mail_encodings(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gmail_messages").where("to_addr IS NOT NULL")
+    return rows.select("message_id", S.media_type(F.col("mime_type")).alias("media"), F.substring(S.share_token(F.col("to_addr")), 3, 10_000).alias("token")).distinct()
+
+
+@registered("""
+    SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS short, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> ''), chr(10)) AS dense FROM documents WHERE text IS NOT NULL""")
+def text_trimming(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", S.truncated(F.col("text"), 500).alias("short"), S.drop_blank_lines(F.col("text")).alias("dense"))
+
+
+@registered("SELECT vec_id, len(embedding) AS dims, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS squares FROM embeddings")
+def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings")
+    return rows.select("vec_id", F.size("embedding").cast("bigint").alias("dims"), r6(S.norm(F.col("embedding")) * S.norm(F.col("embedding"))).alias("squares"))
+
+
+# --- lookups and connectors -----------------------------------------------------------
+
+
+@registered("""
+    WITH m AS (SELECT DISTINCT message_id, thread_id, subject, sent_at FROM gmail_messages)
+    SELECT message_id, subject, sent_at FROM m WHERE sent_at >= TIMESTAMP '2024-01-01' AND contains(subject, 'Search') ORDER BY sent_at DESC, message_id LIMIT 50""")
+def mail_range_search(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gmail_messages").select("message_id", "thread_id", "subject", "sent_at").distinct()
+    hit = rows.where(lookup.in_range(F.col("sent_at"), start="2024-01-01") & lookup.contains_all(subject="Search"))
+    return lookup.newest(hit, "sent_at", 50, "message_id").select("message_id", "subject", "sent_at")
+
+
+@registered("SELECT DISTINCT message_id FROM gmail_messages WHERE contains(lower(subject), 'quota') OR contains(lower(message_text), 'quota')")
+def either_field_search(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "gmail_messages").where(lookup.either_contains(F.col("subject"), F.col("message_text"), "Quota")).select("message_id").distinct()
+
+
+@registered("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100")
+def page_offset(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.page(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 3, 50)
+
+
+@registered("""
+    WITH m AS (SELECT DISTINCT message_id, thread_id, sent_at FROM gmail_messages WHERE thread_id IS NOT NULL),
+    p AS (SELECT thread_id, min(message_id) AS parent FROM m GROUP BY 1),
+    r AS (SELECT parent, message_id, row_number() OVER (PARTITION BY parent ORDER BY sent_at NULLS FIRST, message_id) AS n FROM m JOIN p USING (thread_id) WHERE message_id <> parent)
+    SELECT p.parent AS id, r.message_id AS reply_id, CAST(r.n AS INT) AS reply_no FROM p LEFT JOIN r ON r.parent = p.parent AND r.n <= 3""")
+def chat_with_replies(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gmail_messages").where("thread_id IS NOT NULL").select("message_id", "thread_id", "sent_at").distinct()
+    parents = rows.groupBy("thread_id").agg(F.min("message_id").alias("parent_id"))
+    replies = rows.join(parents, "thread_id").select(F.col("message_id").alias("id"), "parent_id", F.col("sent_at").alias("ts"), F.lit("").alias("text"))
+    return lookup.with_replies(parents.select(F.col("parent_id").alias("id")), replies).select("id", "reply_id", "reply_no")
+
+
+@registered("SELECT c_custkey, coalesce(n_name, CAST(c_nationkey AS VARCHAR)) AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def lookup_left_join(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return lookup.lookup(table(spark, d, "customer").select("c_custkey", "c_nationkey"), names, "c_nationkey", "n_name", "nation").select("c_custkey", "nation")
+
+
+@registered("SELECT 'customer' AS kind, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier")
+def calendar_union(spark: SparkSession, d: str) -> DataFrame:
+    one = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    two = table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return one.unionByName(two)
+
+
+@registered("""
+    WITH e AS (SELECT event_type AS calendar, event_id AS id, ts AS start, ts + INTERVAL 1 HOUR AS e FROM events),
+    r AS (SELECT *, row_number() OVER (PARTITION BY calendar ORDER BY start, id) AS n FROM e WHERE start <= TIMESTAMP '2024-01-20' AND e >= TIMESTAMP '2024-01-10')
+    SELECT calendar, id FROM r WHERE n <= 100""")
+def events_between(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("event_type").alias("calendar"), F.col("event_id").alias("id"), F.col("ts").alias("start"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("end"))
+    bound = lambda x: F.lit(x).cast("timestamp_ntz")
+    return lookup.events_between([rows], bound("2024-01-10"), bound("2024-01-20")).select("calendar", "id")
+
+
+@registered("""
+    WITH k AS (SELECT DISTINCT to_addr AS a FROM gmail_messages WHERE to_addr IS NOT NULL), o AS (SELECT DISTINCT cc AS a FROM gmail_messages WHERE cc IS NOT NULL),
+    n AS (SELECT a, row_number() OVER (ORDER BY a) AS id FROM k), f AS (SELECT a FROM o WHERE a NOT IN (SELECT a FROM k))
+    SELECT a AS external_id, id FROM n UNION ALL SELECT a, (SELECT max(id) FROM n) + row_number() OVER (ORDER BY a) FROM f""")
+def numbered_ids(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gmail_messages")
+    none = spark.createDataFrame([], "external_id string, id bigint")
+    known = lookup.numbered_ids(none, rows.where("to_addr IS NOT NULL").select(F.col("to_addr").alias("external_id")))
+    return lookup.numbered_ids(known, rows.where("cc IS NOT NULL").select(F.col("cc").alias("external_id")))
+
+
+@registered("""
+    SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10 AND p_size <= 40 AND p_brand IN ('Brand#11', 'Brand#23', 'Brand#12') OR p_retailprice * 2 > 3000""")
+def sheet_query(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.sheet_query(table(spark, d, "part"), "10 < p_size <= 40 and p_brand in @brands or `p_retailprice` * 2 > 3000", ["p_partkey", "p_name", "p_size"], {"brands": ["Brand#11", "Brand#23", "Brand#12"]})
+
+
+@registered("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents WHERE text IS NOT NULL),
+    g AS (SELECT *, trim(line, ' ') = '' AS b, sum(CASE WHEN trim(line, ' ') = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS gap FROM l)
+    SELECT doc_id, CAST(n AS INT) AS n, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY gap) AS INT) AS table_no FROM g WHERE NOT b""")
+def blank_row_islands(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    return lookup.blank_row_tables(rows, "n", F.trim("line") == "", ["doc_id"]).select("doc_id", "n", "table_no")
+
+
+@registered("""
+    WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS id, NULL::VARCHAR AS up, r_name AS title FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation),
+    p AS (SELECT id, title AS path, 0 AS depth FROM t WHERE up IS NULL UNION ALL SELECT t.id, p.path || '/' || t.title, p.depth + 1 FROM t JOIN p ON t.up = p.id)
+    SELECT id, path, CAST(depth AS INT) AS depth FROM p""")
+def ancestor_paths(spark: SparkSession, d: str) -> DataFrame:
+    top = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
+    low = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("title"))
+    return lookup.ancestor_paths(top.unionByName(low), 8)
+
+
+@registered("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
+def source_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+
+
+# --- SQL ------------------------------------------------------------------------------
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+
+# Statements that read the same in both engines.
+_STATEMENTS = {
+    "sql_inner_join_agg": """SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey
+        JOIN nation ON n_nationkey = c_nationkey WHERE o_orderstatus = 'F' GROUP BY n_name""",
+    "sql_left": "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+    "sql_full": "SELECT n_name, count(DISTINCT s_suppkey) AS suppliers FROM nation FULL JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
+    "sql_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
+    "sql_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_theta": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal",
+    "sql_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
+    "sql_group_having": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
+    "sql_distinct_agg": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY o_orderpriority",
+    "sql_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    "sql_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "sql_grouping_sets": "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())",
+    "sql_rank": "SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) AS INT) AS place FROM orders",
+    "sql_lag_lead": """SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before,
+        lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events""",
+    "sql_running_sum": "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS total FROM orders",
+    "sql_range_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS n FROM part",
+    "sql_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
+    "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "sql_correlated": "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)",
+    "sql_recursive_cte": """WITH RECURSIVE s AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT n, n * n AS square FROM s""",
+    "sql_case_dates": """SELECT extract(year FROM o_orderdate) AS y, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high, count(*) AS n FROM orders GROUP BY 1""",
+    "sql_pricing_summary": """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS q, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, count(*) AS n
+        FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""",
+    "sql_topk_revenue": """SELECT o_orderkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+        GROUP BY o_orderkey ORDER BY revenue DESC, o_orderkey LIMIT 20""",
+}
+
+
+def _statement(text: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        sql.register(spark, d, _TABLES)
+        return sql.query(spark, text)
+
+    return run
+
+
+for _name, _text in _STATEMENTS.items():
+    _QUERIES[_name] = _statement(_text)
+    _SQL[_name] = _text
+
+
+@registered("SELECT unnest(['customer', 'documents', 'embeddings', 'events', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier']) AS name")
+def list_tables(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark, d, _TABLES)
+    return sql.list_tables(spark).where(F.col("name").isin(*_TABLES))
+
+
+@registered("""
+    SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events') AND column_name NOT IN ('props')""")
+def describe_schema(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark, d, _TABLES)
+    return sql.describe(spark, exclude=("props",)).where(F.col("table_name").isin(*_TABLES[:8])).select("table_name", "column_name")
+
+
+# --- windows over events (extensions) -------------------------------------------------
+
+
+@registered("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    out = sync.tumbling_counts(table(spark, d, "events"), "ts", "1 hour", "1 hour", ["event_type"])
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@registered("""
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events),
+    k AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS session_start, count(*) AS n FROM k GROUP BY user_id, k""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    out = sync.sessions(table(spark, d, "events"), "ts", "30 minutes", "1 hour", "user_id")
+    return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")

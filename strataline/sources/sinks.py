@@ -22,7 +22,7 @@ def append_chunks(df: DataFrame, path: str) -> None:
 def structured_json(df: DataFrame, group: Sequence[str] = ("path",)) -> DataFrame:
     """``(group, json)``: documents of each group with what their metadata share moved up. ``df`` has ``doc_index, content, metadata``."""
     parents, children = factored(df, group)
-    docs = children.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("doc_index", "metadata", "content"))).alias("_docs"))
+    docs = children.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("doc_index", "metadata", "content")), lambda x, y: F.coalesce(x["doc_index"] - y["doc_index"], F.lit(0))).alias("_docs"))
     out = docs.join(parents.withColumnRenamed("metadata", "_m"), list(group), "left")
     documents = F.transform("_docs", lambda d: F.struct(d["metadata"].alias("metadata"), d["content"].alias("content")))
     return out.select(*group, F.to_json(F.struct(F.coalesce("_m", F.from_json(F.lit("{}"), "map<string,string>")).alias("metadata"), documents.alias("documents"))).alias("json"))

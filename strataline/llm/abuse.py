@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 #: Labelled documents that examples are taken from, at most, in the order of a hash of their id.
 MOST_ABUSIVE, MOST_OTHER = 1_200, 6_000
 NEIGHBOURS = 11
+#: Rounds of editing the examples.
+EDITS = 3
 #: Similarity below which an example says nothing about a passage.
 NEAR = 0.22
 THRESHOLD = 0.5
@@ -55,8 +57,8 @@ def plain_words(text: str) -> list[str]:
         if word.isdigit():
             continue
         if not word.isalpha():
-            if word[0].isdigit() and word[1:2].isdigit():
-                continue
+            if word[0].isdigit() and (word[1:2].isdigit() or word[1:2] == "x"):
+                continue  # a number with a unit, or a code
             word = word.translate(_LEET)
         out.append(_RUNS.sub(r"\1", word))
     return out
@@ -175,18 +177,18 @@ class Examples:
 
     def edited(self) -> Examples:
         """Examples that keep the label abusive only where their neighbours, and their own other documents, share it."""
-        new = self.labels.copy()
-        for k in np.flatnonzero(self.labels):
-            ids, w, _ = self.vector(self.texts[k])
-            scores = self.similar(ids, w)
-            near = self.nearest(scores)
-            weight = scores[near].astype(np.float64) ** 2
-            bad, all_ = self.abusive[near], self.documents[near]
-            own = near == k  # without the document that the passage was taken from
-            bad, all_ = bad - own, all_ - own
-            votes = (weight * all_).sum()
-            new[k] = votes > 0 and (weight * bad).sum() / votes >= 0.5
-        self.labels = new
+        for _ in range(EDITS):
+            trusted = np.where(self.labels, self.abusive, 0.0)  # what the former round left
+            new = self.labels.copy()
+            for k in np.flatnonzero(self.labels):
+                ids, w, _ = self.vector(self.texts[k])
+                scores = self.similar(ids, w)
+                near = self.nearest(scores)
+                weight = scores[near].astype(np.float64) ** 2
+                own = near == k  # without the document that the passage was taken from
+                votes = (weight * (self.documents[near] - own)).sum()
+                new[k] = votes > 0 and (weight * (trusted[near] - own)).sum() / votes >= 0.5
+            self.labels = new
         self.bound()
         return self
 

@@ -223,8 +223,8 @@ def scanned_pages(chunks: DataFrame) -> DataFrame:
     """``(id, file, page, content)`` of the rows that may come from scanned pages: they name a path and a page, and no text-layer loader."""
     meta = F.from_json("metadata", _META)
     rows = chunks.where(F.length("content") > 0).select("id", F.col("collection_id").alias("_c"), "content", meta.alias("_m"))
-    rows = rows.where(F.col("_m.absPath").isNotNull() & F.col("_m.page").isNotNull() & ~F.coalesce(F.lower("_m.loader"), F.lit("")).isin(*TEXT_LOADERS))
-    return rows.select("id", F.xxhash64("_c", "_m.absPath").alias("file"), F.col("_m.page").cast("double").cast("int").alias("page"), "content")
+    rows = rows.where(F.col("_m.absPath").isNotNull() & F.col("_m.page").try_cast("double").isNotNull() & ~F.coalesce(F.lower("_m.loader"), F.lit("")).isin(*TEXT_LOADERS))
+    return rows.select("id", F.xxhash64("_c", "_m.absPath").alias("file"), F.col("_m.page").try_cast("double").cast("int").alias("page"), "content")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -65,7 +65,7 @@ def truncated(text: Column, limit: int = 50_000) -> Column:
 def quoted_phrases(text: Column) -> Column:
     """Trimmed, non-empty phrases in double quotes."""
     found = F.regexp_extract_all(text, F.lit('"([^"]*)"'), 1)
-    return F.filter(F.transform(found, F.trim), lambda p: p != "")
+    return F.filter(F.transform(found, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def media_type(mime: Column) -> Column:

@@ -29,10 +29,11 @@ def latest(df: DataFrame, keys: Sequence[str] = KEY, time: str = "modified_at",
 
 
 def upsert(incoming: DataFrame, existing: DataFrame, keys: Sequence[str] = KEY, time: str = "modified_at", tie: Sequence[str] = ()) -> DataFrame:
-    """Incoming files to ingest: the newest of each path, where no existing one is as new; an equal or older time is a duplicate."""
+    """Incoming files to ingest: the newest of each path, where no existing one is as new; an equal or older time is a duplicate, and no time is older than any."""
     new = latest(incoming, keys, time, tie)
-    there = existing.groupBy(*keys).agg(F.max(time).alias("_there"))
-    return new.join(there, list(keys), "left").where(F.col("_there").isNull() | (F.col(time) > F.col("_there"))).select(*incoming.columns)
+    there = existing.groupBy(*keys).agg(F.max(time).alias("_there"), F.lit(True).alias("_known"))
+    newer = (F.col(time) > F.col("_there")) | (F.col("_there").isNull() & F.col(time).isNotNull())
+    return new.join(there, list(keys), "left").where(F.col("_known").isNull() | newer).select(*incoming.columns)
 
 
 def by_checksum(df: DataFrame, content: str = "content", keep: str = "id") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataline.functions.scalars import blend
 from strataline.operators.providers import LLM, Reranker
-from strataline.operators.ranking import B, K1, bm25_scores, keyword_predicate, normalise_scores, top_per
+from strataline.operators.ranking import B, K1, bm25_scores, keyword_predicate, top_per
 
 
 def similarity(df: DataFrame, threshold: float, keep_min: int = 0) -> DataFrame:
@@ -36,17 +36,17 @@ def keywords(df: DataFrame, words: Sequence[str]) -> DataFrame:
     return df.where(keyword_predicate(words, F.col("content")))
 
 
-def bm25_rerank(df: DataFrame, queries: DataFrame, top_n: int = 0, weight: float = 0.5, k1: float = K1, b: float = B, compat: bool = False) -> DataFrame:
-    """BM25 over each result list alone, blended with the similarity, best first; ``top_n`` of 0 keeps all.
+def bm25_rerank(df: DataFrame, queries: DataFrame, top_n: int = 0, sparse_weight: float = 0.5, k1: float = K1, b: float = B, compat: bool = False) -> DataFrame:
+    """BM25 over each result list alone, as it is, blended with the similarity, best first; ``top_n`` of 0 keeps all.
 
     ``compat`` keeps the list's former order and, with ``top_n`` of 0, returns nothing.
     """
     sparse = bm25_scores(queries, df.select("id", "content", "query_id"), k1, b, by=["query_id"])
-    sparse = normalise_scores(sparse).select("query_id", "id", F.col("score").alias("_sparse"))
+    sparse = sparse.select("query_id", "id", F.col("score").alias("_sparse"))
     out = df.join(sparse, ["query_id", "id"], "left").withColumn("_sparse", F.coalesce("_sparse", F.lit(0.0)))
     if compat:
         return top_per(out.drop("_sparse"), ["query_id"], top_n) if top_n > 0 else out.drop("_sparse").limit(0)
-    return top_per(out.withColumn("score", blend(F.col("_sparse"), F.col("score"), weight)).drop("_sparse"), ["query_id"], top_n)
+    return top_per(out.withColumn("score", blend(F.col("_sparse"), F.col("score"), sparse_weight)).drop("_sparse"), ["query_id"], top_n)
 
 
 def content_filter(df: DataFrame, llm: LLM, question: str, include: bool = True) -> DataFrame:

@@ -165,7 +165,17 @@ class BM25:
     normalised: bool = False
 
     def retrieve(self, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-        return top_per(bm25_scores(queries, chunks, self.k1, self.b, self.stopwords), ["query_id"], self.top_n)
+        """The best chunks; where fewer than ``top_n`` hold a query term, others follow with score 0.
+
+        Those come from the ``2 * top_n`` least ids, of which at least ``top_n`` hold no term
+        when they are needed.
+        """
+        scored = bm25_scores(queries, chunks, self.k1, self.b, self.stopwords)
+        if self.top_n > 0:
+            least = F.broadcast(chunks.where(F.col("content").isNotNull()).select("id").orderBy("id").limit(2 * self.top_n))
+            others = queries.select("query_id").crossJoin(least).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
+            scored = scored.unionByName(others.withColumn("score", F.lit(0.0)))
+        return top_per(scored, ["query_id"], self.top_n)
 
 
 # --- combinations ---------------------------------------------------------------------

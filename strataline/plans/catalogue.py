@@ -71,8 +71,9 @@ _BM25 = """
     w AS (SELECT id, len(t) AS l, unnest(t) AS term FROM docs),
     tf AS (SELECT id, l, term, count(*) AS c FROM w WHERE term IN ({terms}) GROUP BY ALL),
     df AS (SELECT term, count(*) AS f FROM tf GROUP BY term),
-    s AS (SELECT tf.id, sum(ln(1 + (n - f + 0.5) / (f + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a))) AS score
-          FROM tf JOIN df USING (term) CROSS JOIN st GROUP BY tf.id)"""
+    s0 AS (SELECT tf.id, sum(ln(1 + (n - f + 0.5) / (f + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a))) AS score
+          FROM tf JOIN df USING (term) CROSS JOIN st GROUP BY tf.id),
+    s AS (SELECT docs.id, coalesce(s0.score, 0) AS score FROM docs LEFT JOIN s0 USING (id))"""
 _TERMS = "'oldest', 'snapshot', 'checksum'"
 
 # --- retrieval ------------------------------------------------------------------------
@@ -229,13 +230,12 @@ def reduce_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("""
-    WITH l AS (SELECT doc_id AS id, text, (doc_id % 997) / 997.0 AS sim FROM documents WHERE contains(text, 'snapshot')),
+    WITH l AS (SELECT doc_id AS id, text, (doc_id % 997) / 997.0::DOUBLE AS sim FROM documents WHERE contains(text, 'snapshot')),
     docs AS (SELECT id, sim, string_split(text, ' ') AS t FROM l), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM docs),
     w AS (SELECT id, len(t) AS l, unnest(t) AS term FROM docs), tf AS (SELECT id, l, term, count(*) AS c FROM w WHERE term IN ('oldest', 'cursor') GROUP BY ALL),
     df AS (SELECT term, count(*) AS f FROM tf GROUP BY term),
     s AS (SELECT tf.id, sum(ln(1 + (n - f + 0.5) / (f + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * l / a))) AS score FROM tf JOIN df USING (term) CROSS JOIN st GROUP BY tf.id),
-    m AS (SELECT id, CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS x FROM s),
-    b AS (SELECT docs.id, 0.5 * coalesce(x, 0) + 0.5 * sim AS score FROM docs LEFT JOIN m USING (id))
+    b AS (SELECT docs.id, 0.5 * coalesce(s.score, 0) + 0.5 * sim AS score FROM docs LEFT JOIN s USING (id))
     SELECT id, round(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 10""")
 def bm25_rerank(spark: SparkSession, d: str) -> DataFrame:
     rows = _texts(spark, d).where(F.col("content").contains("snapshot")).select(F.lit("q0").alias("query_id"), "id", "content", (F.col("id") % 997 / F.lit(997.0)).alias("score"))
@@ -357,7 +357,7 @@ def json_field_filter(spark: SparkSession, d: str) -> DataFrame:
 @registered("""
     WITH r AS (SELECT *, row_number() OVER (PARTITION BY dataset, absolute_path ORDER BY modified_at DESC NULLS LAST, ingest_id DESC) AS k FROM ingest_opts WHERE absolute_path IS NOT NULL),
     f AS (SELECT dataset, absolute_path, max(modified_at) AS t, count(*) AS c FROM files WHERE absolute_path IS NOT NULL GROUP BY ALL)
-    SELECT r.ingest_id, r.dataset, r.absolute_path, r.modified_at FROM r LEFT JOIN f USING (dataset, absolute_path) WHERE k = 1 AND (f.t IS NULL OR r.modified_at > f.t)""")
+    SELECT r.ingest_id, r.dataset, r.absolute_path, r.modified_at FROM r LEFT JOIN f USING (dataset, absolute_path) WHERE k = 1 AND (f.c IS NULL OR r.modified_at > f.t OR (f.t IS NULL AND r.modified_at IS NOT NULL))""")
 def dedupe_upsert(spark: SparkSession, d: str) -> DataFrame:
     incoming = table(spark, d, "ingest_opts").where("absolute_path IS NOT NULL").select("ingest_id", "dataset", "absolute_path", "modified_at")
     existing = table(spark, d, "files").where("absolute_path IS NOT NULL")

@@ -90,7 +90,7 @@ def _postprocessor(spec: dict) -> Callable[[DataFrame, DataFrame], DataFrame]:
     if name == "content_substring_filter":
         return lambda df, q: postprocess.content_substring(df, o.get("contains") or (), o.get("notContains") or ())
     if name == "bm25":
-        return lambda df, q: postprocess.bm25_rerank(df, q, o.get("topN", 0), o.get("weight", 0.5))
+        return lambda df, q: postprocess.bm25_rerank(df, q, o.get("topN", 0), o.get("sparseWeight", 0.5), o.get("k1") or 1.2, o.get("b") or 0.75)
     if name in TRANSFORMS:
         return lambda df, q: TRANSFORMS[name](df, **o)
     raise ConfigError(f"unknown postprocessor: {name}")

@@ -152,7 +152,7 @@ def rtf_pages(data: bytes) -> list[Page]:
 
 
 _PDF_STREAM = re.compile(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\nendstream", re.S)
-_PDF_SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)|\bT[*dD]\b|\bET\b|<([0-9A-Fa-f\s]+)>\s*Tj", re.S)
+_PDF_SHOWN = re.compile(rb"\((?:[^()\\]|\\.)*\)|\bT(?:\*|[dD]\b)|\bET\b|<([0-9A-Fa-f\s]+)>\s*Tj", re.S)
 _PDF_ESCAPE = re.compile(rb"\\([nrtbf()\\]|[0-7]{1,3})")
 _PDF_NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataline.core.runtime import ship, table
 from strataline.functions import scalars as S
 from strataline.functions.html import page_markdown
-from strataline.operators import dedupe, lookup, postprocess, ranking, splitters, sql, transforms
+from strataline.operators import connectors, dedupe, lookup, postprocess, providers, ranking, splitters, sql, transforms
 from strataline.sources import loaders, sinks
 from strataline.streaming import sync
 
@@ -261,19 +261,17 @@ def quoted_phrases(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def format_hits_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks as result lists of their collections, in the order of their files."""
-    vec = table(spark, d, "sqlite_vec").where("content IS NOT NULL")
-    rows = vec.select(
-        F.col("collection_id").alias("query_id"), F.get_json_object("metadata", "$.docIndex").try_cast("double").cast("int").alias("subquery_no"), "id", "content",
-        F.get_json_object("metadata", "$.filename").alias("file"), F.get_json_object("metadata", "$.fileSize").try_cast("double").cast("bigint").alias("file_size"),
-    ).where("file IS NOT NULL AND subquery_no IS NOT NULL")
-    # Only lists that can still be shown take part in the fold: a subquery beyond the tenth adds nothing.
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "subquery_no").orderBy("id")))
-    rows = rows.where(F.col("rank") <= 10).withColumn("url", F.concat(F.lit("file:"), "file"))
-    # Every file gives at least its first hits, so the fold needs ten subqueries of ten rows at most.
-    rows = rows.withColumn("_s", F.dense_rank().over(Window.partitionBy("query_id").orderBy("subquery_no"))).where("_s <= 10").drop("_s")
-    whole = vec.select(F.get_json_object("metadata", "$.filename").alias("file"), "content", "id").where("file IS NOT NULL")
-    sources = whole.join(rows.select("file").distinct(), "file", "left_semi").groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "content"))), lambda x: x["content"]), "\n").alias("text"))
+    """The result lists of two questions of two subqueries each, whole documents in place of the first large hits."""
+    asked = {"q0": ("oldest snapshot", "checksum differs"), "q1": ("the failed batch", "cursor moves")}
+    texts = _texts(spark, d)
+    lists = None
+    for query_id, parts in asked.items():
+        for k, text in enumerate(parts):
+            found = ranking.BM25(10).retrieve(_asked(spark, text), texts).select(F.lit(query_id).alias("query_id"), F.lit(k).alias("subquery_no"), "id", "score")
+            lists = found if lists is None else lists.unionByName(found)
+    lists = ranking.ranked(lists, ["query_id", "subquery_no"]).join(texts.select("id", "content"), "id")
+    rows = lists.select("query_id", "subquery_no", "rank", F.left("content", F.lit(200)).alias("content"), F.concat(F.lit("doc:"), "id").alias("url"), F.col("id").cast("string").alias("file"), (F.char_length("content") * 10).cast("bigint").alias("file_size"))
+    sources = texts.select(F.col("id").cast("string").alias("file"), F.col("content").alias("text"))
     return postprocess.format_hits(rows, sources)
 
 
@@ -696,3 +694,146 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     out = sync.sessions(table(spark, d, "events"), "ts", "30 minutes", "1 hour", "user_id")
     return out.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+# --- more connectors, sources and state -----------------------------------------------
+
+
+@registered("SELECT DISTINCT source FROM documents WHERE contains(source, 'look') OR contains(lang, 'es')")
+def named_like(spark: SparkSession, d: str) -> DataFrame:
+    return connectors.named_like(table(spark, d, "documents").select("source", "lang"), "look", "source").unionByName(connectors.named_like(table(spark, d, "documents").select("source", "lang"), "es", "lang")).select("source").distinct()
+
+
+@registered("""
+    WITH m AS (SELECT DISTINCT message_id, thread_id, sent_at FROM gmail_messages WHERE sent_at IS NOT NULL), c AS (SELECT min(thread_id) AS t FROM m)
+    SELECT message_id AS id FROM m, c WHERE thread_id = t AND epoch(sent_at) >= 0 ORDER BY sent_at DESC, id LIMIT 100""")
+def history_window(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gmail_messages").where("sent_at IS NOT NULL").select("message_id", "thread_id", "sent_at").distinct()
+    first = F.broadcast(rows.agg(F.min("thread_id").alias("thread_id")))
+    own = rows.join(first, "thread_id").select(F.col("message_id").alias("id"), F.lit("c").alias("channel"), F.unix_micros(F.col("sent_at").cast("timestamp")).cast("double").alias("ts"))
+    return connectors.history(own, "c", oldest=0).select("id")
+
+
+@registered("SELECT doc_id AS id, coalesce(source, 'Unassigned') AS assignee FROM documents")
+def issue_defaults(spark: SparkSession, d: str) -> DataFrame:
+    empty = F.lit(None).cast("string")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), empty.alias("key"), empty.alias("summary"), empty.alias("status"), F.col("source").alias("assignee"), empty.alias("reporter"), empty.alias("created"), empty.alias("updated"))
+    return connectors.issue_fields(rows).select("id", "assignee")
+
+
+@registered("SELECT dataset FROM documents WHERE dataset IS NOT NULL GROUP BY dataset HAVING count(DISTINCT CASE WHEN lang IN ('en', 'fr', 'de') THEN lang END) = 3")
+def all_scopes(spark: SparkSession, d: str) -> DataFrame:
+    sets = table(spark, d, "documents").where("dataset IS NOT NULL").groupBy("dataset").agg(F.collect_set("lang").alias("scopes"))
+    return sets.where(lookup.has_scopes(F.col("scopes"), ["en", "fr", "de"])).select("dataset")
+
+
+@registered("""
+    WITH m AS (SELECT DISTINCT message_id, thread_id, sent_at FROM gmail_messages WHERE thread_id IS NOT NULL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY sent_at NULLS FIRST, message_id) AS n FROM m) SELECT thread_id, message_id FROM r WHERE n = 1""")
+def first_of_thread(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gmail_messages").where("thread_id IS NOT NULL").select("message_id", "thread_id", "sent_at").distinct()
+    return dedupe.first_seen(rows, ["thread_id"], ["sent_at", "message_id"]).select("thread_id", "message_id")
+
+
+@registered(f"SELECT id, list_sort(json_keys({_META})) AS keys FROM sqlite_vec WHERE len(json_keys({_META})) > 0")
+def sorted_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sqlite_vec").select("id", F.from_json("metadata", "map<string,string>").alias("params")).where("size(params) > 0 AND params IS NOT NULL")
+    return connectors.task_parameters(rows).select("id", F.transform("params", lambda p: p["key"]).alias("keys"))
+
+
+@registered("""
+    WITH a AS (SELECT to_addr AS k, list(DISTINCT cc) AS v FROM gmail_messages WHERE cc IS NOT NULL AND to_addr IS NOT NULL GROUP BY 1), b AS (SELECT to_addr AS k, list(DISTINCT bcc) AS v FROM gmail_messages WHERE bcc IS NOT NULL AND to_addr IS NOT NULL GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS k, list_concat(coalesce(list_sort(a.v), []), coalesce(list_sort(b.v), [])) AS v FROM a FULL JOIN b ON a.k = b.k""")
+def merged_lists(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gmail_messages").where("to_addr IS NOT NULL")
+    part = lambda c: rows.where(F.col(c).isNotNull()).groupBy(F.col("to_addr").alias("k")).agg(F.sort_array(F.collect_set(c)).alias("v"))
+    return lookup.merged_lists([part("cc"), part("bcc")], "k", "v")
+
+
+@registered(f"""
+    SELECT collection_id AS dataset, json_extract_string({_META}, '$.filename') AS file_id, count(*) AS n FROM sqlite_vec WHERE json_extract_string({_META}, '$.filename') IS NOT NULL GROUP BY ALL""")
+def documents_per_file(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "sqlite_vec").select(F.col("collection_id").alias("dataset"), F.from_json("metadata", "filename string")["filename"].alias("file_id"))
+    return rows.where("file_id IS NOT NULL").groupBy("dataset", "file_id").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_type) AS text FROM events GROUP BY user_id")
+def transcript_join(spark: SparkSession, d: str) -> DataFrame:
+    return loaders.transcript(table(spark, d, "events").select("user_id", "ts", F.col("event_type").alias("text")), "user_id", "ts")
+
+
+@registered("SELECT url FROM (SELECT to_addr AS url, min(message_id) AS position FROM gmail_messages WHERE NOT contains(to_addr, 'youtube.com') GROUP BY 1) ORDER BY position, url LIMIT 20")
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "gmail_messages").where("to_addr IS NOT NULL").select(F.col("to_addr").alias("url"), F.col("message_id").alias("position"))
+    return loaders.search_results(rows, 20).select("url")
+
+
+@registered("SELECT uuid FROM pgvector WHERE octet_length(document) <= 400")
+def readable_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents within a size limit that are valid UTF-8."""
+    return loaders.readable(table(spark, d, "pgvector").select("uuid", F.col("document").alias("data")), 400).select("uuid")
+
+
+@registered("""
+    WITH s AS (SELECT dataset, absolute_path, max(modified_at) AS t FROM files WHERE absolute_path IS NOT NULL AND dataset IS NOT NULL GROUP BY ALL) SELECT * FROM s""")
+def merged_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state that a sync makes of the ingest attempts when the files are the new snapshot."""
+    newest = lambda name: table(spark, d, name).where("absolute_path IS NOT NULL AND dataset IS NOT NULL").groupBy("dataset", "absolute_path").agg(F.max("modified_at").alias("t"))
+    before, after, keys = newest("ingest_opts"), newest("files"), ["dataset", "absolute_path"]
+    return dedupe.merged_state(before, dedupe.snapshot_diff(before, after, keys, "t"), after, keys)
+
+
+@registered("""
+    SELECT d.doc_id AS url FROM documents d LEFT JOIN (SELECT doc_id, sha256(text) AS c, coalesce(source, lang) AS tag FROM documents WHERE text IS NOT NULL AND lang = 'en') o ON o.doc_id = d.doc_id
+    WHERE d.text IS NOT NULL AND o.doc_id IS NULL""")
+def content_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose tag and checksum are not in the state of the English ones."""
+    rows = table(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("url"), F.col("source").alias("etag"), F.col("lang").alias("last_modified"), F.col("text").alias("content"))
+    state = rows.where("last_modified = 'en'").withColumn("checksum", F.sha2("content", 256)).drop("content")
+    return dedupe.content_changes(state, rows).select("url")
+
+
+@registered("""
+    SELECT DISTINCT id, CASE WHEN starts_with(absolute_path, '/data/2023/') THEN 'deep' WHEN starts_with(absolute_path, '/data/') THEN 'top' END AS level FROM files WHERE absolute_path IS NOT NULL""")
+def directory_metadata(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "files").where("absolute_path IS NOT NULL").select("id", F.col("absolute_path").alias("path")).distinct()
+    entries = spark.createDataFrame([("/data", {"level": "top"}), ("/data/2023", {"level": "deep"})], "folder string, metadata map<string,string>")
+    return transforms.directory_metadata(files, entries).select("id", F.col("metadata")["level"].alias("level")).distinct()
+
+
+@registered("SELECT message_id FROM (SELECT DISTINCT message_id, sent_at, subject FROM gmail_messages) WHERE subject = 'Sheet import' ORDER BY sent_at DESC NULLS LAST, message_id LIMIT 1")
+def mail_by_subject(spark: SparkSession, d: str) -> DataFrame:
+    parts = F.array().cast("array<struct<filename:string,attachment_id:string>>")
+    rows = table(spark, d, "gmail_messages").select(F.col("message_id").alias("id"), "sent_at", "subject").distinct().withColumn("parts", parts)
+    return connectors.mail_by(rows, subject="Sheet import").select(F.col("id").alias("message_id"))
+
+
+@registered("SELECT r_name AS name, list_sort(list(n_name)) AS statuses FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def types_with_statuses(spark: SparkSession, d: str) -> DataFrame:
+    types = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"))
+    statuses = table(spark, d, "nation").select(F.col("n_regionkey").alias("type_id"), F.col("n_name").alias("status"))
+    return connectors.types_with_statuses(types, statuses).select("name", "statuses")
+
+
+@registered("""
+    WITH t AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, len(w) AS tokens, len(list_filter(w, lambda x: lower(x) NOT IN ('the', 'a', 'of'))) AS kept FROM t""")
+def token_counts(spark: SparkSession, d: str) -> DataFrame:
+    words = S.space_tokens(F.col("text"))
+    rows = table(spark, d, "documents").where("text IS NOT NULL")
+    return rows.select("doc_id", F.size(words).cast("bigint").alias("tokens"), F.size(S.without_stopwords(words, ("the", "a", "of"))).cast("bigint").alias("kept"))
+
+
+@registered()
+def hashed_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all chunks by the built-in provider."""
+    return providers.embedded(table(spark, d, "sqlite_vec").select("id", "content"), providers.HashingEmbedder(16)).select("id", "embedding")
+
+
+@registered()
+def document_elements(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of documents as elements, rendered again: tables with their rule, the rest as it is."""
+    lines = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    is_row = F.col("text").startswith("| ")
+    rows = lines.select("doc_id", "position", F.when(is_row, "row").otherwise("paragraph").alias("kind"), F.lit(0).alias("level"), "text", F.split(F.trim("text"), "\\s*\\|\\s*").alias("cells"))
+    return connectors.document_markdown(rows)

@@ -253,3 +253,30 @@ def test_sql(spark):
             sql.query(spark, bad)
     sql.execute(spark, "CREATE OR REPLACE TEMP VIEW sql_u AS SELECT 2 AS n")
     assert {"sql_t", "sql_u"} <= {r.name for r in sql.list_tables(spark).collect()} and "CREATE TABLE sql_u (n int);" in sql.context(spark)
+
+
+def test_connectors(spark):
+    from strataline.operators import connectors as C
+
+    users = spark.createDataFrame([("u1", "Ada", None, "person"), ("u2", None, "bot", "app"), ("u3", "x", "Adam", None)], "id string, name string, real_name string, account_type string")
+    assert [r.id for r in C.named_like(users, "Ada", "name", "real_name").collect()] == ["u1", "u3"] and C.users(users).count() == 2 and C.users(users, True).count() == 3
+    urls = spark.createDataFrame([("https://host/owner/repo/issues/3",), ("bad",)], "u string")
+    assert [tuple(r) for r in urls.select(*C.repository(F.col("u"))).collect()] == [("owner", "repo"), (None, None)]
+    assert spark.createDataFrame([("#a, b,,#c",)], "t string").select(C.tags(F.col("t"))).first()[0] == ["a", "b", "c"]
+    types = spark.createDataFrame([("1", "bug"), ("2", "task")], "id string, name string")
+    states = spark.createDataFrame([("1", "open"), ("1", "done"), ("1", "open")], "type_id string, status string")
+    assert rows(C.types_with_statuses(types, states)) == [("1", "bug", ["done", "open"]), ("2", "task", [])]
+    blocks = spark.createDataFrame([("p", 0, 0, "heading_1", "H", None, None), ("p", 1, 1, "to_do", "x", True, None), ("p", 2, 0, "image", "pic", None, "u")], "page_id string, position int, depth int, type string, text string, checked boolean, url string")
+    assert C.rendered_blocks(blocks).first().text == "# H\n  - [x] x\n[pic](u)"
+    parts = spark.createDataFrame([([("text/html", "x"), ("text/plain", "aGk_")],)], "p array<struct<mime_type:string,data:string>>")
+    assert parts.select(C.first_text_part(F.col("p"))).first()[0] == "hi?"
+    doc = spark.createDataFrame([(1, 0, "p", 1, "T", None), (1, 1, "row", 0, None, ["a", "b"]), (1, 2, "row", 0, None, ["1", "2"])], "doc_id int, position int, kind string, level int, text string, cells array<string>")
+    assert C.document_markdown(doc).first().markdown == "# T\n| a | b |\n| --- | --- |\n| 1 | 2 |"
+    rec = spark.createDataFrame([("d", "daily", 2, None, dt.date(2024, 1, 1), dt.date(2024, 1, 6), None), ("w", "weekly", 2, ["monday", "friday"], dt.date(2024, 1, 1), None, 3)], "id string, type string, `interval` int, days_of_week array<string>, start date, end date, occurrences int")
+    got = {k: [r.day.day for r in C.recurrence_dates(rec).where(F.col("id") == k).orderBy("day").collect()] for k in "dw"}
+    assert got == {"d": [1, 3, 5], "w": [1, 5, 15]}
+    mail = spark.createDataFrame([("1", "s", T(1), [("f", "i")]), ("2", "s", T(2), [("", "i")])], "id string, subject string, sent_at timestamp, parts array<struct<filename:string,attachment_id:string>>")
+    assert C.mail_by(mail, subject="s").first().id == "2" and C.mail_by(mail, id="1").first().has_attachment
+    labels = spark.createDataFrame([(1,), (2,)], "n int").select(C.reply_label(F.col("n")))
+    assert [r[0] for r in labels.collect()] == ["1 reply", "2 replies"]
+    assert C.priorities(spark.createDataFrame([("s", ["hi", "lo"]), ("t", ["x"])], "scheme string, priorities array<string>"), "s").count() == 2

@@ -8,10 +8,12 @@ joined only to the rows that were kept.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +74,11 @@ def keyword_predicate(words: Sequence[str], content: Column) -> Column:
 
 
 def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Cosine of every query with every chunk of its dimension.
+    """Cosine of every query with every chunk of its dimension, for operators that need whole lists.
 
     ``queries`` is ``(query_id, vector)``, a stated set; it is sent to the chunks in batches
     of ``QUERY_BATCH`` rows, so the chunks are scanned once per batch and never shuffled.
+    ``dense_top`` finds the nearest ones without making the lists.
     """
     count = queries.count()
     q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_qn")).where(F.col("_qn") > 0)
@@ -90,6 +93,91 @@ def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return out
 
 
+def _units(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and unit vectors of the rows of one dimension that have a finite, positive norm."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(lengths == dims)
+    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    with np.errstate(invalid="ignore", over="ignore"):
+        norms = np.sqrt((flat * flat).sum(axis=1))
+    good = np.isfinite(norms) & (norms > 0)
+    return rows[good], flat[good] / norms[good, None]
+
+
+def _best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best scores, equal ones by id."""
+    if len(scores) > k:
+        place = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    else:
+        place = np.arange(len(scores))
+    return np.array(sorted(place.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+
+
+def _scored(asked: np.ndarray, unit: np.ndarray, block: int = 64) -> Iterator[tuple[int, np.ndarray]]:
+    """Scores of each query, computed a block of queries at a time."""
+    for start in range(0, len(asked), block):
+        for q, scores in enumerate(np.round(asked[start : start + block] @ unit.T, 12), start):
+            yield q, scores
+
+
+def dense_top(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest chunks of every query by cosine, as ``(query_id, id, score)``.
+
+    A batch of chunks is compared with all queries by one matrix product, and a task keeps
+    only its ``k`` best of each query, so what is shuffled is tasks x queries x k rows
+    however many chunks there are. Queries are read ``QUERY_BATCH`` at a time, a pass over
+    the chunks for each batch. Zero, null and non-finite vectors take no part; scores are
+    rounded to 12 places, so equal vectors are equal and rank by id.
+    """
+    query_kind, id_kind = dict(queries.dtypes)["query_id"], dict(chunks.dtypes)["id"]
+    source = chunks.where(F.col("id").isNotNull()).select("id", "embedding")
+    found, held = None, []
+
+    def search(batch: list[tuple]) -> DataFrame:
+        by_dims: dict[int, tuple[list, np.ndarray]] = {}
+        for dims in {len(v) for _, v in batch}:
+            own = [(q, v) for q, v in batch if len(v) == dims]
+            rows, unit = _units(pa.array([v for _, v in own], pa.list_(pa.float64())), dims)
+            if len(rows):
+                by_dims[dims] = [own[r][0] for r in rows], unit
+        shared = queries.sparkSession.sparkContext.broadcast(by_dims)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+            kinds = None
+            for rb in batches:
+                kinds = kinds or rb.schema.field(0).type
+                for dims, (_, asked) in shared.value.items():
+                    rows, unit = _units(rb.column(1), dims)
+                    if not len(rows):
+                        continue
+                    ids = np.array(rb.column(0).take(pa.array(rows)).to_pylist(), dtype=object)
+                    for q, scores in _scored(asked, unit):
+                        place = _best_of(scores, ids, k)
+                        new = scores[place], ids[place]
+                        if (dims, q) in top:
+                            new = tuple(np.concatenate(x) for x in zip(top[dims, q], new))
+                            place = _best_of(new[0], new[1], k)
+                            new = new[0][place], new[1][place]
+                        top[dims, q] = new
+            rows_out = [(shared.value[dims][0][q], i, s) for (dims, q), (scores, ids) in top.items() for s, i in zip(scores.tolist(), ids)]
+            if rows_out:
+                names, ids, scores = zip(*rows_out)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(ids, kinds), pa.array(scores, pa.float64())], names=["query_id", "id", "score"])
+
+        return source.mapInArrow(best, f"query_id {query_kind}, id {id_kind}, score double")
+
+    for row in queries.where(F.col("vector").isNotNull()).select("query_id", "vector").toLocalIterator():
+        held.append((row[0], row[1]))
+        if len(held) == QUERY_BATCH:
+            part, held = search(held), []
+            found = part if found is None else found.unionByName(part)
+    if held or found is None:
+        part = search(held)
+        found = part if found is None else found.unionByName(part)
+    return top_per(found, ["query_id"], k)
+
+
 @dataclass
 class Dense:
     """Top ``top_k`` chunks by cosine. Filters apply before ranking; per-dataset limits never change the global result."""
@@ -107,8 +195,7 @@ class Dense:
             chunks = chunks.where(metadata_equals(self.where))
         if self.keywords:
             chunks = chunks.where(keyword_predicate(self.keywords, F.col("content")))
-        scored = dense_scores(queries, chunks).select("query_id", "id", "score")
-        return top_per(scored, ["query_id"], self.top_k or TOP_K)
+        return dense_top(queries, chunks, self.top_k or TOP_K)
 
 
 def top_per_dataset(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -228,8 +315,9 @@ def subquery_search(queries: DataFrame, subqueries: DataFrame, chunks: DataFrame
         raise ValueError("limit must be at least 1")
     own = subqueries.join(queries.select("query_id"), "query_id", "left_semi").where(F.col("subquery_no") < limit)
     asked = own.select(F.struct("query_id", "subquery_no").alias("query_id"), "vector")
+    asked = asked.withColumn("query_id", F.to_json("query_id"))
     found = Dense(top_k).retrieve(asked, chunks)
-    return top_per(fuse_subqueries(found.select(F.col("query_id.query_id").alias("query_id"), "id", "score")), ["query_id"], top_k)
+    return top_per(fuse_subqueries(found.select(F.get_json_object("query_id", "$.query_id").alias("query_id"), "id", "score")), ["query_id"], top_k)
 
 
 def routed_search(queries: DataFrame, routes: DataFrame, chunks: DataFrame, top_k: int = TOP_K) -> DataFrame:

@@ -21,7 +21,7 @@ from strataline.sources.loaders import loader
 BLUEPRINTS: dict[str, dict] = {
     "default": {
         "flows": {
-            "knowledge": {
+            "documents": {
                 "default": True,
                 "globals": {"ingestion": {"textsplitter": {"chunkSize": 800, "chunkOverlap": 400}}},
                 "ingestion": [{"filetypes": ["*"]}],
@@ -49,15 +49,15 @@ BLUEPRINTS: dict[str, dict] = {
             }
         }
     },
-    "obot": {
+    "hosted": {
         "flows": {
-            "obot": {
+            "hosted": {
                 "default": True,
                 "globals": {"ingestion": {"textsplitter": {"chunkSize": 2048, "chunkOverlap": 256}}},
                 "ingestion": [{"filetypes": [".json"], "documentloader": {"name": "structured"}}],
                 "retrieval": {"retriever": {"name": "basic", "options": {"topK": 10}}},
             },
-            "obotload": {
+            "hostedload": {
                 "globals": {"ingestion": {"textsplitter": {"chunkSize": 2048, "chunkOverlap": 256}}},
                 "ingestion": [{"filetypes": [".pdf"], "documentloader": {"name": "smartpdf"}}],
             },

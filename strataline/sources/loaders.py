@@ -222,7 +222,7 @@ def files(spark: SparkSession, path: str, recursive: bool = True, hidden: bool =
 
 
 # Always ignored.
-BUILTIN_IGNORES = (".git/", ".DS_Store", "~$*", ".knowledge.json", ".knowledgeignore")
+BUILTIN_IGNORES = (".git/", ".DS_Store", "~$*")
 
 
 def ignored(path: Column, patterns: Sequence[str], extensions: Sequence[str] = ()) -> Column:

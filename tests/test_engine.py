@@ -38,7 +38,7 @@ def test_flow_config():
         with pytest.raises(ConfigError):
             FlowConfig.parse(bad)
     assert FlowConfig.parse(json.dumps({"flows": {"a": {"default": True}}})).select().name == "a"
-    for name in ("default", "context", "obot"):
+    for name in ("default", "context", "hosted"):
         assert FlowConfig.blueprint(name).select().default
     assert selected_providers({"providers": [{"name": "a"}, {"name": "b"}]}, "b") == {"providers": [{"name": "b"}]}
 

@@ -123,7 +123,7 @@ def correct_line(model: Model, tokens: list[str]) -> list[str]:
 
 # --- page furniture -------------------------------------------------------------------
 
-_CANON = [("m", "rn"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("w", "vv"), ("li", "h"), ("|", "l"), ("1", "l"), ("i", "l"), ("!", "l"), ("0", "o"), ("5", "s"), ("$", "s"), ("@", "a"), ("†", "t"), ("e", "c"), ("€", "c"), ("h", "b"), ("8", "b"), ("6", "b"), ("ß", "b"), ("y", "v"), ("9", "g")]
+_CANON = [("m", "rn"), ("n", "ri"), ("u", "ii"), ("d", "cl"), ("w", "vv"), ("h", "li"), ("b", "li"), ("ß", "li"), ("8", "li"), ("6", "li"), ("|", "l"), ("1", "l"), ("i", "l"), ("!", "l"), ("0", "o"), ("5", "s"), ("$", "s"), ("@", "a"), ("†", "t"), ("e", "c"), ("€", "c"), ("y", "v"), ("9", "g")]
 
 
 def look(line: str) -> str:

@@ -37,40 +37,49 @@ _INVISIBLE = dict.fromkeys([0xAD, 0x180E, 0xFEFF, 0x2060, *range(0x200B, 0x2010)
 _ALIKE = str.maketrans("абвгеёзкмнорстухіїјѕԁαβεικνορτυχ", "aбbгeeзkmнopcтyxiijsdaбeikvoptux")
 _LEET = str.maketrans("013457@$!€|", "oieastasiel")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*]){2,}[^\W_](?![^\W_])")
-_WORD = re.compile(r"(?:[^\W_]|[@$!€|*](?=[^\W_@$!€|*])|(?<=[^\W_])[@$€*]+)+")
+_WORD = re.compile(r"(?:[@$€](?=[^\W\d_]))?[^\W_]+(?:[@$!€|*]+[^\W_]+)*[@$€*]*")
 _RUNS = re.compile(r"(.)\1+")
-_END = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+|\n+|(?<=[。！？])")
+_END = re.compile(r"(?<=[.!?…。])[\"'”»)]*\s+|\n+")
 _MARKUP = re.compile(r"<[^<>]{1,40}>|&[a-z]{2,6};")
 
 
-def plain_words(text: str) -> list[str]:
-    """Words with their disguises taken off: look-alikes, stretched and spaced letters, invisible characters."""
-    text = text.translate(_INVISIBLE)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.lower().translate(_ALIKE))
-        text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
+def plain_text(text: str) -> str:
+    """A text in lower case with its disguises taken off: look-alikes, stretched and spaced letters, accents, invisible characters."""
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
     text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text.translate(_INVISIBLE).translate(_ALIKE))
+        if not text.isascii():
+            text = "".join(c for c in text if not unicodedata.combining(c))
     if _SPACED.search(text):
         text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
+    return _RUNS.sub(r"\1", text)
+
+
+def _words(plain: str) -> list[str]:
     out = []
-    for word in _WORD.findall(text):
-        if word.isdigit():
-            continue
+    for word in _WORD.findall(plain):
         if not word.isalpha():
-            if word[0].isdigit() and (word[1:2].isdigit() or word[1:2] == "x"):
-                continue  # a number with a unit, or a code
-            word = word.translate(_LEET)
-        out.append(_RUNS.sub(r"\1", word))
+            # Numbers, numbers with a unit and codes say nothing.
+            if word.isdigit() or word[0].isdigit() and (word[1].isdigit() or word[1] == "x"):
+                continue
+            word = _RUNS.sub(r"\1", word.translate(_LEET))
+        out.append(word)
     return out
 
 
+def plain_words(text: str) -> list[str]:
+    return _words(plain_text(text))
+
+
 def passages(text: str) -> list[list[str]]:
     """The words of each sentence or line of a text; those of fewer than two words join the next."""
     out, held = [], []
-    for part in _END.split(_MARKUP.sub(" ", text) if "<" in text or "&" in text else text):
+    for part in _END.split(plain_text(text)):
         if not part:
             continue
-        held = held + plain_words(part)
+        held = held + _words(part)
         if len(held) >= 2:
             # A long line is taken in overlapping stretches, so that one abusive clause in it is not thinned out.
             if len(held) <= 40:

@@ -71,7 +71,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.verb == "delete-file":
         found = client.catalog.get_file(a.dataset, a.ref)
         if found:
-            client.catalog.delete_files(spark.createDataFrame([(a.dataset, found["id"])], "dataset string, id string"))
+            client.catalog.delete_files(spark.createDataFrame([(a.dataset, found["id"])], "dataset string, id string"), [a.dataset])
     elif a.verb == "ingest":
         show(client.ingest(a.dataset, a.path, a.duplicates))
     elif a.verb == "retrieve":

@@ -1,14 +1,17 @@
-"""Datasets, files, documents and chunks as versioned Parquet tables under one root.
+"""Datasets, files, documents and chunks as Parquet segments under one root.
 
-A change writes a new version of a table and then moves the pointer to it, so a reader
-never sees half a change and a failed job leaves the old version. Chunks are partitioned
-by dataset: a dataset is one folder to read or to drop.
+A table is a manifest of segments. Adding rows writes one segment and a new manifest;
+removing or changing rows rewrites only the segments that hold the datasets concerned.
+The manifest is replaced last and as a whole, so a reader never sees half a change and a
+failed job leaves the old state. Chunks are partitioned by dataset within a segment, so a
+search reads the folders of its datasets only.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
@@ -29,41 +32,70 @@ class Catalog:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
-
-    def _version(self, name: str) -> str | None:
-        fs, p = self._fs(self._pointer(name))
+    def _manifest(self, name: str) -> list[dict]:
+        """Segments of a table: their folders, and the datasets that each holds (null where any may be)."""
+        fs, p = self._fs(f"{self.root}/{name}/MANIFEST")
         if not fs.exists(p):
-            return None
+            return []
         stream = fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def read(self, name: str) -> DataFrame:
-        version = self._version(name)
-        if version is None:
-            return self.spark.createDataFrame([], ALL[name])
-        return self.spark.read.schema(ALL[name]).parquet(f"{self.root}/{name}/{version}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALL[name].fields])
-        writer = rows.write
-        if name == "chunks":
-            writer = writer.partitionBy("dataset")
-        writer.parquet(f"{self.root}/{name}/{version}")
-        fs, p = self._fs(self._pointer(name))
-        out = fs.create(p, True)
+    def _replace(self, name: str, manifest: list[dict]) -> None:
+        """A manifest written beside the old one and renamed over it in one step."""
+        fs, new = self._fs(f"{self.root}/{name}/MANIFEST-{uuid.uuid4().hex}")
+        _, old = self._fs(f"{self.root}/{name}/MANIFEST")
+        out = fs.create(new, True)
         try:
-            out.write(bytearray(version.encode()))
+            out.write(bytearray(json.dumps(manifest).encode()))
         finally:
             out.close()
+        sc = self.spark.sparkContext
+        hadoop = sc._jvm.org.apache.hadoop.fs
+        kind = getattr(hadoop, "Options$Rename")
+        how = sc._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(old), how)
+
+    def _read(self, name: str, segments: list[dict]) -> DataFrame:
+        if not segments:
+            return self.spark.createDataFrame([], ALL[name])
+        parts = [self.spark.read.schema(ALL[name]).parquet(f"{self.root}/{name}/{s['path']}") for s in segments] if name == "chunks" else None
+        if parts is None:
+            return self.spark.read.schema(ALL[name]).parquet(*[f"{self.root}/{name}/{s['path']}" for s in segments])
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
-    def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(df.select(*ALL[name].fieldNames())))
+    def _segment(self, name: str, df: DataFrame, datasets: Sequence[str] | None) -> dict:
+        path = f"s-{uuid.uuid4().hex}"
+        rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALL[name].fields])
+        writer = rows.write.partitionBy("dataset") if name == "chunks" else rows.write
+        writer.parquet(f"{self.root}/{name}/{path}")
+        return {"path": path, "datasets": list(datasets) if datasets is not None else None}
+
+    def read(self, name: str, datasets: Sequence[str] | None = None) -> DataFrame:
+        """A table, or its rows of some datasets, read from the segments that may hold them."""
+        key = "id" if name == "datasets" else "dataset"
+        out = self._read(name, [s for s in self._manifest(name) if datasets is None or s["datasets"] is None or set(s["datasets"]) & set(datasets)])
+        return out if datasets is None else out.where(F.col(key).isin(list(datasets)))
+
+    def append(self, name: str, df: DataFrame, datasets: Sequence[str] | None = None) -> None:
+        """Rows added as a segment of their own; what is there is not read."""
+        self._replace(name, [*self._manifest(name), self._segment(name, df.select(*ALL[name].fieldNames()), datasets)])
+
+    def rewrite(self, name: str, change: Callable[[DataFrame], DataFrame], datasets: Sequence[str] | None = None) -> None:
+        """Segments that hold the datasets, rewritten as one by a change of their rows."""
+        manifest = self._manifest(name)
+        touched = [s for s in manifest if datasets is None or s["datasets"] is None or set(s["datasets"]) & set(datasets)]
+        if not touched:
+            return
+        held = None if any(s["datasets"] is None for s in touched) else sorted({d for s in touched for d in s["datasets"]})
+        new = self._segment(name, change(self._read(name, touched)), held)
+        self._replace(name, [*[s for s in manifest if s not in touched], new])
 
     # --- datasets ---------------------------------------------------------------------
 
@@ -73,34 +105,33 @@ class Catalog:
                 raise ValueError(f"dataset exists: {id}")
             return
         row = self.spark.createDataFrame([(id, config, dict(metadata or {}))], ALL["datasets"])
-        self.append("datasets", row.withColumn("metadata", clean_metadata(F.col("metadata"))))
+        self.append("datasets", row.withColumn("metadata", clean_metadata(F.col("metadata"))), [id])
 
     def datasets(self) -> DataFrame:
         return self.read("datasets").orderBy("id")
 
     def dataset(self, id: str) -> dict | None:
-        row = self.read("datasets").where(F.col("id") == id).first()
+        row = self.read("datasets", [id]).first()
         return row.asDict(recursive=True) if row else None
 
     def delete_dataset(self, id: str) -> None:
         """The dataset with its files, documents and chunks."""
-        self.write("chunks", self.read("chunks").where(F.col("dataset") != id))
-        self.write("documents", self.read("documents").where(F.col("dataset") != id))
-        self.write("files", self.read("files").where(F.col("dataset") != id))
-        self.write("datasets", self.read("datasets").where(F.col("id") != id))
+        for name in ("chunks", "documents", "files"):
+            self.rewrite(name, lambda df: df.where(F.col("dataset") != id), [id])
+        self.rewrite("datasets", lambda df: df.where(F.col("id") != id), [id])
 
     def update_dataset(self, id: str, metadata: Mapping[str, str | None], replace: bool = False) -> None:
         """Metadata overwritten by key, or swapped as a whole; values that stand for none are dropped."""
         pairs = [c for k, v in metadata.items() for c in (F.lit(k), F.lit(v).cast("string"))]
         new = F.create_map(*pairs) if pairs else F.from_json(F.lit("{}"), "map<string,string>")
         value = clean_metadata(new) if replace else updated_metadata(F.col("metadata"), new)
-        self.write("datasets", self.read("datasets").withColumn("metadata", F.when(F.col("id") == id, value).otherwise(F.col("metadata"))))
+        self.rewrite("datasets", lambda df: df.withColumn("metadata", F.when(F.col("id") == id, value).otherwise(F.col("metadata"))), [id])
 
     # --- files ------------------------------------------------------------------------
 
     def find_files(self, dataset: str, **wanted) -> DataFrame:
         """Files by any of id, name, absolute_path, size, modified_at; empty values ask for nothing."""
-        out = self.read("files").where(F.col("dataset") == dataset)
+        out = self.read("files", [dataset])
         for k, v in wanted.items():
             if v:
                 out = out.where(F.col(k) == F.lit(v))
@@ -108,59 +139,61 @@ class Catalog:
 
     def get_file(self, dataset: str, ref: str) -> dict | None:
         """A file by id, absolute path, or the end of its path."""
-        files = self.read("files").where(F.col("dataset") == dataset)
+        files = self.read("files", [dataset])
         rank = F.when(F.col("id") == ref, 0).when(F.col("absolute_path") == ref, 1).when(F.col("absolute_path").endswith("/" + ref.lstrip("./")), 2)
         row = files.withColumn("_r", rank).where("_r IS NOT NULL").orderBy("_r", "id").drop("_r").first()
         return row.asDict() if row else None
 
-    def add(self, files: DataFrame, chunks: DataFrame) -> None:
+    def add(self, files: DataFrame, chunks: DataFrame, datasets: Sequence[str] | None = None) -> None:
         """Files with their chunks: chunks first, then documents, then files, so that a listed file always has its chunks."""
-        self.append("chunks", chunks)
+        self.append("chunks", chunks, datasets)
         documents = chunks.select("id", "dataset", "file_id", F.col("metadata")["docIndex"].try_cast("double").cast("int").alias("doc_index"))
-        self.append("documents", documents)
-        self.append("files", files)
+        self.append("documents", documents, datasets)
+        self.append("files", files, datasets)
 
-    def delete_files(self, files: DataFrame) -> None:
+    def delete_files(self, files: DataFrame, datasets: Sequence[str] | None = None) -> None:
         """Files ``(dataset, id)`` with their documents and chunks."""
         gone = files.select("dataset", F.col("id").alias("file_id")).distinct()
-        self.write("chunks", self.read("chunks").join(gone, ["dataset", "file_id"], "left_anti"))
-        self.write("documents", self.read("documents").join(gone, ["dataset", "file_id"], "left_anti"))
-        self.write("files", self.read("files").join(gone.select("dataset", F.col("file_id").alias("id")), ["dataset", "id"], "left_anti"))
+        for name in ("chunks", "documents"):
+            self.rewrite(name, lambda df: df.join(gone, ["dataset", "file_id"], "left_anti"), datasets)
+        self.rewrite("files", lambda df: df.join(gone.select("dataset", F.col("file_id").alias("id")), ["dataset", "id"], "left_anti"), datasets)
 
-    def delete_documents(self, documents: DataFrame) -> None:
+    def delete_documents(self, documents: DataFrame, datasets: Sequence[str] | None = None) -> None:
         """Documents ``(dataset, id)`` with their chunks; a file left without documents goes too."""
         gone = documents.select("dataset", "id").distinct()
-        touched = self.read("documents").join(gone, ["dataset", "id"], "left_semi").select("dataset", "file_id").distinct()
-        left = self.read("documents").join(gone, ["dataset", "id"], "left_anti")
-        empty = touched.join(left.select("dataset", "file_id").distinct(), ["dataset", "file_id"], "left_anti")
-        files = self.read("files").join(empty.select("dataset", F.col("file_id").alias("id")), ["dataset", "id"], "left_anti")
-        self.write("files", files)
-        self.write("chunks", self.read("chunks").join(gone, ["dataset", "id"], "left_anti"))
-        self.write("documents", left)
+        there = self.read("documents", datasets)
+        touched = there.join(gone, ["dataset", "id"], "left_semi").select("dataset", "file_id").distinct()
+        left = there.join(gone, ["dataset", "id"], "left_anti")
+        empty = touched.join(left.select("dataset", "file_id").distinct(), ["dataset", "file_id"], "left_anti").select("dataset", F.col("file_id").alias("id"))
+        self.rewrite("files", lambda df: df.join(empty, ["dataset", "id"], "left_anti"), datasets)
+        for name in ("chunks", "documents"):
+            self.rewrite(name, lambda df: df.join(gone, ["dataset", "id"], "left_anti"), datasets)
 
     def remove_chunks(self, dataset: str, where=None, id: str | None = None) -> None:
         """Chunks by a condition or an id; the condition counts where both are given."""
         hit = F.col("dataset") == dataset
         hit = hit & (where if where is not None else F.col("id") == id)
-        self.write("chunks", self.read("chunks").where(~F.coalesce(hit, F.lit(False))))
+        self.rewrite("chunks", lambda df: df.where(~F.coalesce(hit, F.lit(False))), [dataset])
 
     def prune(self, dataset: str, prefix: str, keep: DataFrame) -> None:
         """Files of a dataset below a prefix that are not in the keep list go, with their chunks."""
         from strataline.operators.dedupe import prune
 
-        self.delete_files(prune(self.read("files").where(F.col("dataset") == dataset), keep, prefix))
+        self.delete_files(prune(self.read("files", [dataset]), keep, prefix), [dataset])
 
     def size(self, dataset: str) -> int:
-        return self.read("chunks").where(F.col("dataset") == dataset).count()
+        return self.read("chunks", [dataset]).count()
+
+    def compact(self, name: str) -> None:
+        """All segments of a table as one."""
+        self.rewrite(name, lambda df: df)
 
     # --- archives ---------------------------------------------------------------------
 
     def export(self, target: str, dataset: str | None = None) -> None:
         """All tables, or those rows of one dataset, as plain Parquet folders."""
         for name in ALL:
-            df = self.read(name)
-            if dataset is not None:
-                df = df.where(F.col("id" if name == "datasets" else "dataset") == dataset)
+            df = self.read(name, None if dataset is None else [dataset])
             df.write.mode("errorifexists").parquet(f"{target}/{name}")
 
     def import_(self, source: str) -> None:

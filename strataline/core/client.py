@@ -45,7 +45,7 @@ class Client:
         found = loaders.files(self.spark, path).where(~loaders.ignored(F.col("path"), ignore))
         name = F.regexp_extract("path", "([^/]+)$", 1)
         incoming = found.select(F.lit(dataset).alias("dataset"), name.alias("name"), F.col("path").alias("absolute_path"), "size", "modified_at", "data")
-        existing = self.catalog.read("files").where(F.col("dataset") == dataset)
+        existing = self.catalog.read("files", [dataset])
         new = dedupe.strategy(duplicates)(incoming, existing).withColumn("id", F.sha2(F.concat_ws("|", "dataset", "absolute_path", F.col("modified_at").cast("string")), 256))
         taken = new.count()
         total = found.count()
@@ -71,15 +71,15 @@ class Client:
         chunks = embedded(chunks, self.embedder).select("id", "dataset", "file_id", "content", "metadata", "embedding")
         older = existing.join(new.select("absolute_path").distinct(), "absolute_path", "left_semi")
         old = [r for r in older.select("dataset", "id").toLocalIterator()]
-        self.catalog.add(new.select("id", "dataset", "name", "absolute_path", "size", "modified_at"), chunks)
+        self.catalog.add(new.select("id", "dataset", "name", "absolute_path", "size", "modified_at"), chunks, [dataset])
         if old:
-            self.catalog.delete_files(self.spark.createDataFrame(old, "dataset string, id string"))
+            self.catalog.delete_files(self.spark.createDataFrame(old, "dataset string, id string"), [dataset])
         return {"ingested": taken, "skipped": total - taken}
 
     def retrieve(self, query: str, datasets: Sequence[str], top_k: int = 10, flow: str | None = None) -> DataFrame:
         vector = self.embedder.embed([query])[0]
         asked = self.spark.createDataFrame([("q", query, [float(x) for x in vector])], "query_id string, query string, vector array<float>")
-        chunks = self.catalog.read("chunks").where(F.col("dataset").isin(list(datasets)))
+        chunks = self.catalog.read("chunks", datasets)
         return self.config.select(flow, datasets[0] if datasets else None).retrieve(asked, chunks, top_k)
 
     def ask_directory(self, path: str, query: str, **options) -> DataFrame:

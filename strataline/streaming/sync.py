@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,25 +18,50 @@ def newest_of_batch(batch: DataFrame, keys: Sequence[str], time: str) -> DataFra
     return batch.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(row, time).alias("_r")).select("_r.*")
 
 
-def sync(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], time: str, deleted: str | None = None, once: bool = True) -> StreamingQuery:
-    """Upserts of a change stream into a versioned Parquet state; rows flagged ``deleted`` remove their key.
+def _manifest(spark: SparkSession, path: str, batch_id: int) -> dict[str, int]:
+    """Bucket to the batch that last wrote it, as of a batch."""
+    if batch_id < 0:
+        return {}
+    return {r[0]: r[1] for r in spark.read.schema("bucket string, batch int").json(f"{path}/manifest/batch={batch_id}").collect()}  # a row a bucket
 
-    Each micro-batch writes a version named by its id, so a batch that runs again after a
-    failure replaces its own version and nothing else: the result is the same.
+
+def read_state(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
+    """The state as of a batch."""
+    folders = [f"{path}/batch={n}/bucket={b}" for b, n in _manifest(spark, path, batch_id).items()]
+    folders = [f for f in folders if _exists(spark, f)]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def sync(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], time: str, deleted: str | None = None, buckets: int = 64, once: bool = True) -> StreamingQuery:
+    """Upserts of a change stream into a Parquet state of hash buckets; rows flagged ``deleted`` remove their key.
+
+    A micro-batch rewrites only the buckets that its keys fall into and writes them, and a
+    manifest, under its own id, so a batch that runs again after a failure replaces its own
+    work and nothing else: the result is the same.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        schema = batch.schema
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
         new = newest_of_batch(batch, keys, time)
-        target = f"{path}/v={batch_id}"
-        if batch_id > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}")
-            both = old.unionByName(new)
-            order = Window.partitionBy(*keys).orderBy(F.desc(time))
-            new = both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        manifest = _manifest(spark, path, batch_id - 1)
+        touched = sorted(r[0] for r in new.select(bucket.alias("b")).distinct().collect())  # at most one row a bucket
+        old = [f"{path}/batch={manifest[b]}/bucket={b}" for b in touched if b in manifest]
+        old = [f for f in old if _exists(spark, f)]
+        both = new.unionByName(spark.read.schema(schema).parquet(*old)) if old else new
+        state = newest_of_batch(both, keys, time)
         if deleted:
-            new = new.where(~F.coalesce(F.col(deleted), F.lit(False)))
-        new.write.mode("overwrite").parquet(target)
+            state = state.where(~F.coalesce(F.col(deleted), F.lit(False)))
+        state.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
+        manifest |= dict.fromkeys(touched, batch_id)
+        rows = spark.createDataFrame(sorted(manifest.items()) or [("", -1)], "bucket string, batch int").where("batch >= 0")
+        rows.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -154,7 +154,8 @@ def test_sync_stream(spark, tmp_path):
     run()
     spark.createDataFrame([("a", "0", 1, False), ("b", None, 5, True), ("c", "1", 5, False)], schema).coalesce(1).write.mode("append").parquet(str(src))
     run()
-    assert sorted((r.key, r.value) for r in spark.read.parquet(str(tmp_path / "state/v=1")).collect()) == [("a", "2"), ("c", "1")]
+    assert sorted((r.key, r.value) for r in sync.read_state(spark, str(tmp_path / "state"), schema, 1).collect()) == [("a", "2"), ("c", "1")]
+    assert sorted((r.key, r.value) for r in sync.read_state(spark, str(tmp_path / "state"), schema, 0).collect()) == [("a", "2"), ("b", "1")]
 
 
 def test_windows_drop_late_rows(spark, tmp_path):

@@ -142,6 +142,17 @@ class Examples:
         own = place[self.post_row] >= 0
         np.maximum.at(self.maxima, (feature[own], place[self.post_row[own]]), self.post_weight[own])
         self.best = self.maxima.max(axis=1)
+        names = list(self.vocabulary)
+        self.reach = {names[k]: float(self.best[k]) ** 2 for k in np.flatnonzero(self.best)}
+
+    def near(self, words: list[str]) -> bool:
+        """Whether a passage may be similar to an abusive example at all.
+
+        Its weights have norm 1 at most, so its product with the largest weights of its
+        features is at most the norm of those.
+        """
+        reach = self.reach
+        return sum([reach[f] for f in features(words) if f in reach]) >= NEAR * NEAR
 
     def similar(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
         scores = np.zeros(len(self.texts), np.float32)
@@ -168,7 +179,8 @@ class Examples:
         out: list[tuple[float, int]] = [(0.0, -1)] * len(words)
         if not self.labels.any():
             return out
-        vectors = [self.vector(w)[:2] for w in words]
+        none = np.zeros(0, np.int64), np.zeros(0)
+        vectors = [self.vector(w)[:2] if self.near(w) else none for w in words]
         sizes = np.array([len(v[0]) for v in vectors])
         full = np.flatnonzero(sizes)
         if not len(full):

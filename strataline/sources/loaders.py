@@ -14,6 +14,7 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 from fnmatch import translate
+from typing import Protocol
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -333,3 +334,40 @@ def sheet_range(cells: DataFrame, first_row: int, last_row: int, columns: Sequen
 
 def header_peek(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("row_no") <= 3)
+
+
+# --- interfaces to what runs elsewhere ------------------------------------------------
+
+
+class Converter(Protocol):
+    """Turns a file of one format into another, such as an office document into a PDF."""
+
+    name: str
+
+    def convert(self, data: bytes, source: str, target: str) -> bytes: ...
+
+
+def converted(df: DataFrame, converter: Converter, kinds: Sequence[str], target: str = ".pdf") -> DataFrame:
+    """Files ``(path, data)`` with those of some types converted; the path keeps its name and takes the new ending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, datas = [], []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ending = next((k for k in kinds if path.lower().endswith(k)), None)
+                paths.append(path if ending is None else path[: -len(ending)] + target)
+                datas.append(data if ending is None else converter.convert(data, ending, target))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(datas, pa.binary())], names=["path", "data"])
+
+    return df.select("path", "data").mapInArrow(run, "path string, data binary")
+
+
+_GIT = re.compile(r"^(https?://[^/@]+/[^@]+?)(?:\.git)?(?:@([^@/]+))?$")
+
+
+def remote_repository(url: str, hosts: Sequence[str]) -> tuple[str, str | None] | None:
+    """(clone URL, wanted revision) of a link to a repository on one of the hosts; None for another link. A resolver fetches it."""
+    m = _GIT.match(url)
+    if not m or not any(h in url for h in hosts):
+        return None
+    return m.group(1) + ".git", m.group(2)

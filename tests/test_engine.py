@@ -173,3 +173,45 @@ def test_windows_drop_late_rows(spark, tmp_path):
     go()
     got = sorted((r.window_start.minute, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got[0] == (0, 2) and all(n <= 2 for _, n in got)
+
+
+def test_workbooks(spark):
+    from strataline.sources import workbooks
+
+    ns, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}" xmlns:r="{rel}"><sheets><sheet name="One" r:id="r1"/><sheet name="Two" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><t>name</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="b"><v>1</v></c></row><row><c r="A2" t="s"><v>1</v></c><c r="B2"><f>1+1</f><v>2</v></c><c r="C2"/></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet2.xml", f'<worksheet xmlns="{ns}"><sheetData/></worksheet>')
+        z.writestr("xl/worksheets/_rels/sheet1.xml.rels", f'<Relationships><Relationship Id="t" Type="{rel}/table" Target="x"/></Relationships>')
+    df = spark.createDataFrame([("w.xlsx", bytearray(out.getvalue()))], "path string, data binary")
+    assert [tuple(r)[1:] for r in workbooks.sheets(df).collect()] == [(0, "One", 1), (1, "Two", 0)]
+    assert [tuple(r)[2:] for r in workbooks.cells(df, "One").collect()] == [(1, "A", "name", None), (1, "B", "TRUE", None), (2, "A", "ab", None), (2, "B", "2", "=1+1")]
+    assert {(r.row_no, r.A, r.B) for r in workbooks.grid(workbooks.cells(df), ["A", "B"]).collect()} == {(1, "name", "TRUE"), (2, "ab", "2")}
+
+
+def test_interfaces(spark):
+    class Upper:
+        name = "upper"
+
+        def convert(self, data, source, target):
+            return data.upper()
+
+    df = spark.createDataFrame([("a.doc", bytearray(b"x")), ("b.txt", bytearray(b"y"))], "path string, data binary")
+    assert {(r.path, bytes(r.data)) for r in loaders.converted(df, Upper(), [".doc"]).collect()} == {("a.pdf", b"X"), ("b.txt", b"y")}
+    assert loaders.remote_repository("https://host.example/o/r@v1", ["host.example"]) == ("https://host.example/o/r.git", "v1")
+    assert loaders.remote_repository("https://host.example/o/r.git", ["host.example"]) == ("https://host.example/o/r.git", None)
+    assert loaders.remote_repository("https://other.example/o/r", ["host.example"]) is None
+
+    class Reads:
+        def read(self, image):
+            return image.decode()[::-1]
+
+    images = spark.createDataFrame([("p", 1, bytearray(b"abc"))], "path string, page int, image binary")
+    assert loaders.recognised(images, Reads()).first().content == "cba"
+    pages = spark.createDataFrame([("", 0, False), ("x", 2, False), ("x", 0, True), ("x", 0, None)], "content string, images int, has_table boolean")
+    ask = lambda **o: [r[0] for r in pages.select(loaders.needs_ocr(F.col("content"), F.col("images"), F.col("has_table"), **o)).collect()]
+    assert ask() == [True, False, False, False] and ask(on_images=1, on_table=True) == [True, True, True, False]

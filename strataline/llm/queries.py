@@ -97,9 +97,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {q.__name__: (lambda spark, d, q=q: q(ship(spark), d)) for q in QUERIES}
 
 
+_WORDS = "regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')"
+_RUNS = "SELECT DISTINCT {key}, array_to_string(list_slice(t, i, i + {n} - 1), ' ') AS s FROM (SELECT {key}, t, unnest(generate_series(1, len(t) - {n} + 1)) AS i FROM {source} WHERE len(t) >= {least})"
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that SQL can state, over the whole tables."""
     return {
         "p1_found": """
             SELECT DISTINCT v.id FROM sqlite_vec v LEFT JOIN textsplitter_opts o ON o.dataset = v.collection_id
             WHERE length(v.content) > coalesce(o.chunk_size, 2048)""",
+        "p4_found": """
+            WITH u AS (SELECT collection_id AS c, uuid, CAST(embedding AS DOUBLE[]) AS e FROM pgvector WHERE len(embedding) > 0),
+            v AS (SELECT * FROM u WHERE isfinite(list_sum(e)) AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+            p AS (SELECT a.uuid AS x, b.uuid AS y, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.c IS NOT DISTINCT FROM b.c AND len(a.e) = len(b.e) AND a.uuid <> b.uuid),
+            r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY s DESC, y) AS k FROM p)
+            SELECT DISTINCT least(x, y) AS uuid_a, greatest(x, y) AS uuid_b FROM r WHERE k <= 5 AND s >= 0.90""",
+        "p5_found": f"""
+            WITH w AS (SELECT id, {_WORDS.format(text="content")} AS t FROM sqlite_vec WHERE content IS NOT NULL),
+            s AS ({_RUNS.format(key="id", n=3, source="w", least=20)}), n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+            p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+            SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE k >= 0.6 * (x.n + y.n - k)""",
+        "p7_found": f"""
+            WITH d AS (SELECT doc_id, {_WORDS.format(text="text")} AS t FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS.format(text="text")} AS t FROM benchmark WHERE text IS NOT NULL),
+            ds AS ({_RUNS.format(key="doc_id", n=10, source="d", least=10)}), it AS ({_RUNS.format(key="item_id", n=10, source="i", least=10)})
+            SELECT DISTINCT doc_id, item_id FROM ds JOIN it USING (s)""",
     }

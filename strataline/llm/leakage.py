@@ -10,7 +10,6 @@ item's own windows, so retrieval loses no case. Word runs are then verified.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

@@ -62,3 +62,41 @@ def test_operators(spark):
     repaired = {r.id: r.text for r in scans.repair_pages(df).collect()}
     assert repaired["p1"] == "The vector store counts the missing columns. The lock is held."
     assert scans.scan_noise(df.limit(0)).count() == 0 and set(repaired) == {"p1", "p2"}
+
+
+def test_accuracy_on_noise_put_into_clean_pages():
+    """Held-out accuracy: known confusions put into clean chunks of the tables, and the clean ones left as they are."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/sqlite_vec.parquet", columns=["content"]).column(0).to_pylist() if t and t.isascii() and "|" not in t and "\n" not in t and not any(c in t for c in "@$`{")]
+    half = len(texts) // 2
+    batch = scans._count(iter([__import__("pyarrow").RecordBatch.from_pydict({"t": texts[:half]})]))
+    words, pairs = {}, {}
+    for rb in batch:
+        for a, b, n in zip(*(c.to_pylist() for c in rb.columns)):
+            if b is None:
+                words[a] = words.get(a, 0) + n
+            else:
+                pairs[a, b] = pairs.get((a, b), 0) + n
+    model = scans.Model(words, {k: n for k, n in pairs.items() if n >= scans.LEAST_COUNT})
+    rnd = random.Random(1)
+    rules = [(true, seen) for seen, true, share in scans.CONFUSIONS if share >= 0.01 and true.isascii()]
+    hit = put = right = false = 0
+    for text in texts[half : half + 400]:
+        false += bool(scans.corrections(model, text))
+        spots = [m for m in scans._LETTERS.finditer(text) if len(m.group()) > 4 and m.group().islower() and "-" not in m.group() and words.get(m.group(), 0) > 20]
+        if not spots:
+            continue
+        m = rnd.choice(spots)
+        true, seen = rnd.choice(rules)
+        at = m.group().find(true)
+        if at < 0:
+            continue
+        noisy = text[: m.start() + at] + seen + text[m.start() + at + len(true) :]
+        put += 1
+        found = scans.corrections(model, noisy)
+        hit += bool(found)
+        right += any(w == m.group() for _, _, w in found)
+    assert put > 80 and hit >= 0.97 * put and right >= 0.97 * put and false <= 4, (put, hit, right, false)

@@ -18,13 +18,6 @@ CELLS = "path string, sheet string, row_no int, column string, value string, for
 SHEETS = "path string, position int, sheet string, tables int"
 
 
-def _number(letters: str) -> int:
-    n = 0
-    for c in letters:
-        n = 26 * n + ord(c) - 64
-    return n
-
-
 class Workbook:
     def __init__(self, data: bytes):
         self.archive = zipfile.ZipFile(io.BytesIO(data))

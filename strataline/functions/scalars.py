@@ -242,8 +242,8 @@ def updated_metadata(old: Column, new: Column) -> Column:
 def property_text(kind: Column, value: Column) -> Column:
     """A typed page property, given as JSON, as text."""
     get = lambda path: F.get_json_object(value, path)
-    names = F.array_join(F.from_json(get("$[*].name"), "array<string>"), ", ")
-    plain = F.array_join(F.from_json(get("$[*].plain_text"), "array<string>"), "")
+    listed = lambda field, glue: F.array_join(F.transform(F.from_json(value, f"array<struct<{field}:string>>"), lambda x: x[field]), glue)
+    names, plain = listed("name", ", "), listed("plain_text", "")
     start, end = get("$.start"), get("$.end")
     return (
         F.when(kind == "checkbox", get("$"))
@@ -253,6 +253,6 @@ def property_text(kind: Column, value: Column) -> Column:
         .when(kind.isin("select", "status"), get("$.name"))
         .when(kind == "unique_id", F.concat_ws("-", get("$.prefix"), get("$.number")))
         .when(kind == "formula", F.coalesce(get("$.string"), get("$.number"), get("$.boolean"), get("$.date.start")))
-        .when(kind == "relation", F.array_join(F.from_json(get("$[*].id"), "array<string>"), ", "))
+        .when(kind == "relation", listed("id", ", "))
         .otherwise(get("$"))
     )

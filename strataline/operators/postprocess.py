@@ -63,7 +63,7 @@ def external_rerank(df: DataFrame, queries: DataFrame, reranker: Reranker, top_n
     """New scores from a reranking model, one list of results at a time."""
     schema = "query_id string, id string, score double"
 
-    def rerank(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def rerank(rows: pd.DataFrame) -> pd.DataFrame:
         scores = reranker.rerank(rows["query"].iloc[0], rows["content"].tolist())
         return pd.DataFrame({"query_id": rows["query_id"].astype(str), "id": rows["id"].astype(str), "score": scores})
 

@@ -18,7 +18,8 @@ def _empty() -> Column:
 
 def _overwritten(old: Column, new: Column) -> Column:
     """Entries of both maps, the new one's where a key is in both."""
-    kept = F.map_filter(F.coalesce(old, _empty()), lambda k, v: ~F.map_contains_key(new, k))
+    keys = F.map_keys(new)
+    kept = F.map_filter(F.coalesce(old, _empty()), lambda k, v: ~F.array_contains(keys, k))
     return F.map_concat(kept, new)
 
 
@@ -113,7 +114,8 @@ def llm_keywords(df: DataFrame, llm: LLM, count: int = 10) -> DataFrame:
     def ask(contents: pd.Series) -> pd.Series:
         return contents.map(lambda c: ",".join(w.strip() for w in llm.prompt(f"List {count} keywords.\n{c}").split(",")))
 
-    return df.withColumn("metadata", _overwritten(F.col("metadata"), F.create_map(F.lit("keywords"), ask("content"))))
+    asked = df.withColumn("_keywords", ask("content"))
+    return asked.withColumn("metadata", _overwritten(F.col("metadata"), F.create_map(F.lit("keywords"), F.col("_keywords")))).drop("_keywords")
 
 
 def merge_pages(pages: DataFrame, budget: int, file: str = "file_id") -> DataFrame:

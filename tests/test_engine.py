@@ -215,3 +215,34 @@ def test_interfaces(spark):
     pages = spark.createDataFrame([("", 0, False), ("x", 2, False), ("x", 0, True), ("x", 0, None)], "content string, images int, has_table boolean")
     ask = lambda **o: [r[0] for r in pages.select(loaders.needs_ocr(F.col("content"), F.col("images"), F.col("has_table"), **o)).collect()]
     assert ask() == [True, False, False, False] and ask(on_images=1, on_table=True) == [True, True, True, False]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from strataline.__main__ import main, parser
+
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.txt").write_text("green apples and pears")
+    root = ["--root", str(tmp_path / "data")]
+    main([*root, "create-dataset", "d"])
+    main([*root, "ingest", "d", str(folder)])
+    main([*root, "retrieve", "apples", "d"])
+    main([*root, "edit-dataset", "d", "--metadata", '{"k": "v"}'])
+    main([*root, "get-dataset", "d"])
+    main([*root, "load", str(folder)])
+    main([*root, "export", str(tmp_path / "out")])
+    main([*root, "query", "/root/testdata/sf0.001", "SELECT count(*) AS n FROM nation"])
+    main([*root, "delete-dataset", "d"])
+    main([*root, "list-datasets"])
+    out = capsys.readouterr().out
+    assert '{"ingested": 1, "skipped": 0}' in out and "green apples" in out and '"k": "v"' in out and '{"columns": ["n"], "rows": [{"n": 25}]}' in out and '"documents"' in out
+    with pytest.raises(SystemExit):
+        parser().parse_args(["nothing"])
+
+
+def test_keywords_by_a_model(spark):
+    from strataline.operators.providers import EchoLLM
+    from strataline.operators.transforms import TRANSFORMS
+
+    df = spark.createDataFrame([("a", {"k": "v"})], "content string, metadata map<string,string>")
+    assert TRANSFORMS["keywords"](df, llm=EchoLLM(lambda t: "x, y")).first().metadata == {"k": "v", "keywords": "x,y"}

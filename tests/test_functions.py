@@ -106,3 +106,24 @@ def test_html_frames(spark):
     df = spark.createDataFrame([(1, PAGE, "https://h.org/"), (2, None, None), (3, "", "x")], "id int, html string, url string")
     assert {r.id: (r.markdown or "")[:6] for r in html.page_markdown(df, "id").collect()} == {1: "# Head", 2: "", 3: ""}
     assert html.page_links(df, "id").count() == 2 and html.page_texts(df.limit(0), "id").count() == 0
+
+
+def test_sql_functions(spark):
+    from strataline.functions.sql_functions import register_functions
+
+    assert "vector_cosine" in register_functions(spark)
+    row = spark.sql(
+        """SELECT vector_cosine(array(3, 4), array(6, 8)) AS c, vector_cosine(array(1), array(1, 2)) AS n, vector_cosine(array(0), array(1)) AS z, vector_norm(array(3, 4)) AS l,
+        score_minmax(3, 1, 5) AS m, serial_date(45000) AS d, column_number('JAZZ') AS k, quoted_phrases('a "b c" " "') AS q"""
+    ).first()
+    assert (row.c, row.n, row.z, row.l, row.m, row.d, row.k, row.q) == (1.0, None, None, 5.0, 0.5, dt.date(2023, 3, 15), 177138, ["b c"])
+
+
+def test_properties_as_text(spark):
+    data = [
+        ("checkbox", "true", "true"), ("date", '{"start": "2024-01-01"}', "2024-01-01"), ("date", '{"start": "a", "end": "b"}', "a - b"), ("multi_select", '[{"name": "x"}, {"name": "y"}]', "x, y"),
+        ("people", '[{"name": "one"}]', "one"), ("rich_text", '[{"plain_text": "a"}, {"plain_text": "b"}]', "ab"), ("select", '{"name": "s"}', "s"), ("unique_id", '{"prefix": "P", "number": 7}', "P-7"),
+        ("formula", '{"number": 3}', "3"), ("relation", '[{"id": "1"}, {"id": "2"}]', "1, 2"), ("number", "5", "5"), ("url", None, None),
+    ]
+    df = spark.createDataFrame(data, "kind string, value string, want string")
+    assert [tuple(r) for r in df.select("want", S.property_text(F.col("kind"), F.col("value")).alias("got")).collect() if r.want != r.got] == []

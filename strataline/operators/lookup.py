@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.core.runtime import cut
+
 
 def in_range(ts: Column, start=None, end=None) -> Column:
     """Both bounds are optional and inclusive."""
@@ -70,11 +72,20 @@ def has_scopes(scopes: Column, required: Sequence[str]) -> Column:
     return F.size(F.array_except(F.array(*[F.lit(s) for s in required]), scopes)) == 0
 
 
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """Rows numbered from 1 in the order of a unique key, without bringing them to one task: places within range partitions plus the counts of those before."""
+    ranged = cut(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))  # a row a partition
+    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn(out, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+
+
 def numbered_ids(known: DataFrame, incoming: DataFrame) -> DataFrame:
     """``(external_id, id)`` of the known and the new external ids, new ones numbered on from the largest."""
     fresh = incoming.select("external_id").distinct().join(known, "external_id", "left_anti")
     top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    ordered = fresh.withColumn("_n", F.row_number().over(Window.orderBy("external_id")))
+    ordered = numbered(fresh, "external_id", "_n")
     return known.unionByName(ordered.crossJoin(F.broadcast(top)).select("external_id", (F.col("_top") + F.col("_n")).cast("bigint").alias("id")))
 
 

@@ -24,6 +24,8 @@ SUBQUERY_TOP_K = 3
 K1, B = 1.2, 0.75
 #: Queries scored in one pass over the chunks. A larger set is scored in several.
 QUERY_BATCH = 1_000
+#: Distinct query terms up to which chunks are filtered by a list of them; more are joined.
+LISTED_TERMS = 1_000
 
 
 class Retriever(Protocol):
@@ -232,15 +234,19 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float
     stats = sized.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     asked = queries.select("query_id", *[c for c in by if c in queries.columns], F.explode(space_tokens(F.col("query"))).alias("term"))
     asked = asked.groupBy("query_id", *[c for c in by if c in queries.columns], "term").agg(F.count("*").alias("_times"))
-    terms = F.broadcast(asked.select(F.col("term").alias("_q")).distinct().agg(F.collect_set("_q").alias("_terms")))
-    matched = sized.crossJoin(terms).select("id", *by, "_len", F.explode(F.filter("_t", lambda t: F.array_contains("_terms", t))).alias("term"))
+    terms = asked.select("term").distinct()
+    listed = [r[0] for r in terms.limit(LISTED_TERMS + 1).collect()]
+    if len(listed) <= LISTED_TERMS:
+        matched = sized.select("id", *by, "_len", F.explode(F.filter("_t", lambda t: t.isin(listed))).alias("term"))
+    else:
+        matched = sized.select("id", *by, "_len", F.explode("_t").alias("term")).join(terms, "term", "left_semi")
     tf = matched.groupBy("id", *by, "_len", "term").agg(F.count("*").alias("_tf"))
     df = tf.groupBy(*by, "term").agg(F.count("*").alias("_df"))
     weighted = tf.join(df, [*by, "term"])
     weighted = weighted.join(F.broadcast(stats), by) if by else weighted.crossJoin(F.broadcast(stats))
     weight = bm25_idf(F.col("_n"), F.col("_df")) * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
     weighted = weighted.select("id", *by, "term", weight.alias("_w"))
-    return weighted.join(F.broadcast(asked), ["term", *[c for c in by if c in queries.columns]]).groupBy("query_id", "id").agg(F.sum(F.col("_w") * F.col("_times")).alias("score"))
+    return weighted.join(asked, ["term", *[c for c in by if c in queries.columns]]).groupBy("query_id", "id").agg(F.sum(F.col("_w") * F.col("_times")).alias("score"))
 
 
 @dataclass
@@ -323,7 +329,7 @@ def subquery_search(queries: DataFrame, subqueries: DataFrame, chunks: DataFrame
 def routed_search(queries: DataFrame, routes: DataFrame, chunks: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """Dense search of each query in the one dataset that ``routes (query_id, dataset)`` picks for it."""
     scored = dense_scores(queries, chunks).select("query_id", "dataset", "id", "score")
-    return top_per(scored.join(F.broadcast(routes), ["query_id", "dataset"], "left_semi"), ["query_id"], top_k)
+    return top_per(scored.join(routes, ["query_id", "dataset"], "left_semi"), ["query_id"], top_k)
 
 
 def check_embedding_model(datasets: DataFrame, dataset: str, model: str, prefer_new: bool = False) -> str:

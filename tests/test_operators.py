@@ -280,3 +280,18 @@ def test_connectors(spark):
     labels = spark.createDataFrame([(1,), (2,)], "n int").select(C.reply_label(F.col("n")))
     assert [r[0] for r in labels.collect()] == ["1 reply", "2 replies"]
     assert C.priorities(spark.createDataFrame([("s", ["hi", "lo"]), ("t", ["x"])], "scheme string, priorities array<string>"), "s").count() == 2
+
+
+def test_many_query_terms_are_joined(spark, chunks, asked, monkeypatch):
+    want = rows(ranking.bm25_scores(asked, chunks))
+    monkeypatch.setattr(ranking, "LISTED_TERMS", 1)
+    assert rows(ranking.bm25_scores(asked, chunks)) == want
+
+
+def test_numbering_is_by_key_and_without_gaps(spark):
+    df = spark.range(5000).select(F.format_string("k%05d", (F.col("id") * 7919) % 5000).alias("k")).repartition(7)
+    out = lookup.numbered(df, "k", "n").orderBy("n").collect()
+    assert [r.n for r in out] == list(range(1, 5001)) and [r.k for r in out] == sorted(r.k for r in out)
+    known = spark.createDataFrame([("k00003", 10)], "external_id string, id bigint")
+    got = {r.external_id: r.id for r in lookup.numbered_ids(known, spark.createDataFrame([("b",), ("a",), ("k00003",)], "external_id string")).collect()}
+    assert got == {"k00003": 10, "a": 11, "b": 12}

@@ -70,10 +70,9 @@ class Client:
         chunks = renumber(chunks, order=F.col("_doc") * 1_000_000 + F.col("docIndex"))
         chunks = embedded(chunks, self.embedder).select("id", "dataset", "file_id", "content", "metadata", "embedding")
         older = existing.join(new.select("absolute_path").distinct(), "absolute_path", "left_semi")
-        old = [r for r in older.select("dataset", "id").toLocalIterator()]
         self.catalog.add(new.select("id", "dataset", "name", "absolute_path", "size", "modified_at"), chunks, [dataset])
-        if old:
-            self.catalog.delete_files(self.spark.createDataFrame(old, "dataset string, id string"), [dataset])
+        if not older.isEmpty():  # read from the segments as they were before the files came in
+            self.catalog.delete_files(older.select("dataset", "id"), [dataset])
         return {"ingested": taken, "skipped": total - taken}
 
     def retrieve(self, query: str, datasets: Sequence[str], top_k: int = 10, flow: str | None = None) -> DataFrame:

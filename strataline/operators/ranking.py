@@ -243,7 +243,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float
     tf = matched.groupBy("id", *by, "_len", "term").agg(F.count("*").alias("_tf"))
     df = tf.groupBy(*by, "term").agg(F.count("*").alias("_df"))
     weighted = tf.join(df, [*by, "term"])
-    weighted = weighted.join(F.broadcast(stats), by) if by else weighted.crossJoin(F.broadcast(stats))
+    weighted = weighted.join(stats, by) if by else weighted.crossJoin(F.broadcast(stats))
     weight = bm25_idf(F.col("_n"), F.col("_df")) * F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
     weighted = weighted.select("id", *by, "term", weight.alias("_w"))
     return weighted.join(asked, ["term", *[c for c in by if c in queries.columns]]).groupBy("query_id", "id").agg(F.sum(F.col("_w") * F.col("_times")).alias("score"))

@@ -270,7 +270,7 @@ def format_hits_budget(spark: SparkSession, d: str) -> DataFrame:
             found = ranking.BM25(10).retrieve(_asked(spark, text), texts).select(F.lit(query_id).alias("query_id"), F.lit(k).alias("subquery_no"), "id", "score")
             lists = found if lists is None else lists.unionByName(found)
     lists = ranking.ranked(lists, ["query_id", "subquery_no"]).join(texts.select("id", "content"), "id")
-    rows = lists.select("query_id", "subquery_no", "rank", F.left("content", F.lit(200)).alias("content"), F.concat(F.lit("doc:"), "id").alias("url"), F.col("id").cast("string").alias("file"), (F.char_length("content") * 10).cast("bigint").alias("file_size"))
+    rows = lists.select("query_id", "subquery_no", "rank", "content", F.concat(F.lit("doc:"), "id").alias("url"), F.col("id").cast("string").alias("file"), F.octet_length("content").cast("bigint").alias("file_size"))
     sources = texts.select(F.col("id").cast("string").alias("file"), F.col("content").alias("text"))
     return postprocess.format_hits(rows, sources)
 

@@ -42,3 +42,10 @@ def test_query(spark, duck, name):
         names = [x[0] for x in r.description]
         want = sorted(repr(tuple(plain(x[names.index(c)]) for c in columns)) for x in r.fetchall())
         assert sorted(names) == columns and got == want
+
+
+def test_hits_have_their_whole_content(spark):
+    texts = {f"doc:{r.doc_id}": r.text for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    hits = catalogue.queries()["format_hits_budget"](spark, DIR).collect()
+    assert any(len(texts[r.url]) > 200 for r in hits)
+    assert all(r.content == texts[r.url] for r in hits)

@@ -2,9 +2,10 @@
 
 A table is a manifest of segments. Adding rows writes one segment and a new manifest;
 removing or changing rows rewrites only the segments that hold the datasets concerned.
-The manifest is replaced last and as a whole, so a reader never sees half a change and a
-failed job leaves the old state. Chunks are partitioned by dataset within a segment, so a
-search reads the folders of its datasets only.
+Each manifest is a file with a number of its own, written last and as a whole: a reader
+never sees half a change, a failed job leaves the old state, and of two writers that come
+to the same number one fails to write it, reads the other's and tries again. Chunks are
+partitioned by dataset within a segment, so a search reads the folders of its datasets only.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from py4j.java_gateway import JavaObject
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,21 +34,30 @@ class Catalog:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _manifest(self, name: str) -> list[dict]:
+    def _version(self, name: str) -> int:
+        """Number of the newest manifest; 0 without any."""
+        fs, folder = self._fs(f"{self.root}/{name}")
+        if not fs.exists(folder):
+            return 0
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return max((int(n[9:]) for n in names if n.startswith("MANIFEST-") and n[9:].isdigit()), default=0)
+
+    def _manifest(self, name: str, version: int | None = None) -> list[dict]:
         """Segments of a table: their folders, and the datasets that each holds (null where any may be)."""
-        fs, p = self._fs(f"{self.root}/{name}/MANIFEST")
-        if not fs.exists(p):
+        version = self._version(name) if version is None else version
+        if not version:
             return []
+        fs, p = self._fs(f"{self.root}/{name}/MANIFEST-{version:012}")
         stream = fs.open(p)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _replace(self, name: str, manifest: list[dict]) -> None:
-        """A manifest written beside the old one and renamed over it in one step."""
-        fs, new = self._fs(f"{self.root}/{name}/MANIFEST-{uuid.uuid4().hex}")
-        _, old = self._fs(f"{self.root}/{name}/MANIFEST")
+    def _write(self, name: str, version: int, manifest: list[dict]) -> bool:
+        """The manifest under its number, by a rename that replaces nothing; False where another writer has taken the number."""
+        fs, new = self._fs(f"{self.root}/{name}/_new-{uuid.uuid4().hex}")
+        _, named = self._fs(f"{self.root}/{name}/MANIFEST-{version:012}")
         out = fs.create(new, True)
         try:
             out.write(bytearray(json.dumps(manifest).encode()))
@@ -56,25 +67,36 @@ class Catalog:
         hadoop = sc._jvm.org.apache.hadoop.fs
         kind = getattr(hadoop, "Options$Rename")
         how = sc._gateway.new_array(kind, 1)
-        how[0] = kind.OVERWRITE
-        hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(old), how)
+        how[0] = kind.NONE
+        try:
+            hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(new), fs.makeQualified(named), how)
+        except Py4JJavaError as e:
+            fs.delete(new, False)
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def _commit(self, name: str, change: Callable[[list[dict]], list[dict] | None], tries: int = 20) -> None:
+        """A changed manifest, of the newest one there is; the change is made again where another writer came first."""
+        for _ in range(tries):
+            version = self._version(name)
+            new = change(self._manifest(name, version))
+            if new is None or self._write(name, version + 1, new):
+                return
+        raise RuntimeError(f"{name}: other writers came first {tries} times")
 
     def _read(self, name: str, segments: list[dict]) -> DataFrame:
         if not segments:
             return self.spark.createDataFrame([], ALL[name])
-        parts = [self.spark.read.schema(ALL[name]).parquet(f"{self.root}/{name}/{s['path']}") for s in segments] if name == "chunks" else None
-        if parts is None:
-            return self.spark.read.schema(ALL[name]).parquet(*[f"{self.root}/{name}/{s['path']}" for s in segments])
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        paths = [f"{self.root}/{name}/segment={s['path']}" for s in segments]
+        return self.spark.read.schema(ALL[name]).option("basePath", f"{self.root}/{name}").parquet(*paths)
 
     def _segment(self, name: str, df: DataFrame, datasets: Sequence[str] | None) -> dict:
         path = f"s-{uuid.uuid4().hex}"
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALL[name].fields])
         writer = rows.write.partitionBy("dataset") if name == "chunks" else rows.write
-        writer.parquet(f"{self.root}/{name}/{path}")
+        writer.parquet(f"{self.root}/{name}/segment={path}")
         return {"path": path, "datasets": list(datasets) if datasets is not None else None}
 
     def read(self, name: str, datasets: Sequence[str] | None = None) -> DataFrame:
@@ -85,17 +107,20 @@ class Catalog:
 
     def append(self, name: str, df: DataFrame, datasets: Sequence[str] | None = None) -> None:
         """Rows added as a segment of their own; what is there is not read."""
-        self._replace(name, [*self._manifest(name), self._segment(name, df.select(*ALL[name].fieldNames()), datasets)])
+        segment = self._segment(name, df.select(*ALL[name].fieldNames()), datasets)
+        self._commit(name, lambda manifest: [*manifest, segment])
 
     def rewrite(self, name: str, change: Callable[[DataFrame], DataFrame], datasets: Sequence[str] | None = None) -> None:
         """Segments that hold the datasets, rewritten as one by a change of their rows."""
-        manifest = self._manifest(name)
-        touched = [s for s in manifest if datasets is None or s["datasets"] is None or set(s["datasets"]) & set(datasets)]
-        if not touched:
-            return
-        held = None if any(s["datasets"] is None for s in touched) else sorted({d for s in touched for d in s["datasets"]})
-        new = self._segment(name, change(self._read(name, touched)), held)
-        self._replace(name, [*[s for s in manifest if s not in touched], new])
+
+        def changed(manifest: list[dict]) -> list[dict] | None:
+            touched = [s for s in manifest if datasets is None or s["datasets"] is None or set(s["datasets"]) & set(datasets)]
+            if not touched:
+                return None
+            held = None if any(s["datasets"] is None for s in touched) else sorted({d for s in touched for d in s["datasets"]})
+            return [*[s for s in manifest if s not in touched], self._segment(name, change(self._read(name, touched)), held)]
+
+        self._commit(name, changed)
 
     # --- datasets ---------------------------------------------------------------------
 

@@ -86,5 +86,5 @@ class Client:
         dataset = directory_dataset(path)
         self.ingest(dataset, path)
         keep = loaders.files(self.spark, path).select(F.col("path").alias("absolute_path"))
-        self.catalog.prune(dataset, keep.first()[0].rsplit("/", 1)[0] if keep.first() else path, keep)
+        self.catalog.prune(dataset, loaders.folder_uri(self.spark, path), keep)
         return self.retrieve(query, [dataset], **options)

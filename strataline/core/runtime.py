@@ -31,13 +31,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """The frame with its lineage cut by a reliable checkpoint.
 
-    The folder is the one that spark.checkpoint.dir names; a session without one
-    (tests on one machine) gets a folder of its own.
+    The folder is the one that spark.checkpoint.dir names. A session on one machine
+    (tests) gets a folder of its own where that is unset; on a cluster, whose executors
+    could not read it, that is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataline-"))
     return df.checkpoint(eager=True)
 

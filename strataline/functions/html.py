@@ -212,25 +212,44 @@ def selected(html: str, selector: str) -> list[str]:
     return [" ".join(n.text().split()) for n in parse(html).nodes() if n.matches(selector)]
 
 
+_REACH = {"siblings": 1, "two_siblings": 2}
+_UP = {"parent": 1, "grandparent": 2}
+
+
 def matching(html: str, keywords: list[str], mode: str = "all", whole_html: bool = False) -> list[str]:
-    """Texts of elements that keywords select: ``all`` or ``any`` in the element's own text, or of its ``siblings`` (one step), ``two_siblings``, ``parent`` or ``grandparent``; case is ignored."""
+    """Texts that keywords select: of elements whose own text holds all of them (``all``) or any (``any``), or
+    of the neighbourhood of an element with text that holds them all: the element with its neighbours on
+    one level (``siblings``, ``two_siblings``), or the one above it (``parent``, ``grandparent``), each once.
+
+    Case is ignored. ``whole_html`` also looks at what is inside and at attributes; an element's ``value`` counts as its text.
+    """
     words = [k.lower() for k in keywords]
-    out = []
+    out: list[str] = []
+    done: set[int] = set()
     for node in parse(html).nodes():
-        own = "".join(c for c in node.children if isinstance(c, str)) if not whole_html else node.text() + " ".join(node.attrs.values())
-        hit = (any if mode == "any" else all)(w in own.lower() for w in words)
-        if not own.strip() or not hit:
+        own = "".join(c for c in node.children if isinstance(c, str)) + " " + node.attrs.get("value", "")
+        if not whole_html and not own.strip():
             continue
-        if mode in ("siblings", "two_siblings") and node.parent:
-            near = [c for c in node.parent.children if isinstance(c, Node)]
-            k, reach = near.index(node), 2 if mode == "two_siblings" else 1
-            out.append(" ".join(" ".join(x.text().split()) for x in near[max(0, k - reach) : k + reach + 1]))
+        if mode in _UP:
+            above = node
+            for _ in range(_UP[mode]):
+                above = above.parent if above is not None else None
+            if above is None or id(above) in done:
+                continue
+            done.add(id(above))
+            around = [above]
+        elif mode in _REACH and node.parent:
+            level = [c for c in node.parent.children if isinstance(c, Node)]
+            k = next(i for i, c in enumerate(level) if c is node)
+            around = level[max(0, k - _REACH[mode]) : k + _REACH[mode] + 1]
         else:
-            up = {"parent": 1, "grandparent": 2}.get(mode, 0)
-            target = node
-            for _ in range(up):
-                target = target.parent or target
-            out.append(" ".join(target.text().split()))
+            around = [node]
+        text = " ".join(" ".join(x.text().split()) for x in around).strip()
+        looked = f"{text} {own}" if whole_html or mode in _UP or mode in _REACH else own
+        if whole_html:
+            looked += " " + " ".join(" ".join(y.attrs.values()) for x in around for y in (x, *x.nodes()))
+        if text and (any if mode == "any" else all)(w in looked.lower() for w in words):
+            out.append(text)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,14 +120,20 @@ def issue_search(issues: DataFrame, text: str, page_no: int = 1, per_page: int =
     return page(issues, ["id"], page_no, per_page)
 
 
-def ancestor_paths(df: DataFrame, root_depth: int = 64) -> DataFrame:
-    """``(id, path, depth)`` of a tree ``(id, parent_id, title)``: titles from the root, by doubling the reach of every row's ancestor link."""
-    at = df.select("id", F.col("parent_id").alias("_up"), F.array("title").alias("_titles"))
-    reach = 1
-    while reach < root_depth:
+def ancestor_paths(df: DataFrame) -> DataFrame:
+    """``(id, path, depth)`` of a tree ``(id, parent_id, title)``: titles from the root, by doubling the reach of every row's ancestor link.
+
+    Rounds go on until every row has reached its root, however deep the tree is; a row whose
+    ancestors run in a circle is an error. An unknown parent counts as none.
+    """
+    at = cut(df.select("id", F.col("parent_id").alias("_up"), F.array("title").alias("_titles")))
+    rounds, most = 0, math.log2(max(2, at.count())) + 2
+    while not at.where("_up IS NOT NULL").isEmpty():
+        if rounds > most:
+            raise ValueError("the parents of some rows run in a circle")
         above = at.select(F.col("id").alias("_up"), F.col("_up").alias("_next"), F.col("_titles").alias("_more"))
-        at = at.join(above, "_up", "left").select("id", F.col("_next").alias("_up"), F.concat(F.coalesce("_more", F.expr("array()").cast("array<string>")), "_titles").alias("_titles"))
-        reach *= 2
+        at = cut(at.join(above, "_up", "left").select("id", F.col("_next").alias("_up"), F.concat(F.coalesce("_more", F.expr("array()").cast("array<string>")), "_titles").alias("_titles")))
+        rounds += 1
     return at.select("id", F.array_join("_titles", "/").alias("path"), (F.size("_titles") - 1).alias("depth"))
 
 
@@ -208,8 +215,22 @@ def sheet_query(df: DataFrame, expression: str, columns: Sequence[str] | None =
     return out.select(*[F.col(f"`{c}`") for c in columns]) if columns else out
 
 
-def blank_row_tables(rows: DataFrame, number: str, blank: Column, group: Sequence[str] = ()) -> DataFrame:
-    """Rows that are not blank, with the number from 1 of the table they belong to; any run of blank rows separates tables."""
-    order = Window.partitionBy(*group).orderBy(number)
-    marked = rows.withColumn("_blank", blank).withColumn("_gaps", F.sum(F.when(F.col("_blank"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.where(~F.col("_blank")).withColumn("table_no", F.dense_rank().over(Window.partitionBy(*group).orderBy("_gaps"))).drop("_blank", "_gaps")
+def blank_row_tables(rows: DataFrame, number: str, blank: Column, group: Sequence[str] = (), bucket: int = 100_000) -> DataFrame:
+    """Rows that are not blank, with the number from 1 of the table they belong to; any run of blank rows separates tables.
+
+    Without a ``group`` the rows are one sheet of any length: its rows are numbered over
+    range partitions, and buckets of them carry on the count of the tables before.
+    """
+    if group:
+        order = Window.partitionBy(*group).orderBy(number)
+        marked = rows.withColumn("_blank", blank).withColumn("_gaps", F.sum(F.when(F.col("_blank"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.where(~F.col("_blank")).withColumn("table_no", F.dense_rank().over(Window.partitionBy(*group).orderBy("_gaps"))).drop("_blank", "_gaps")
+    placed = numbered(rows.withColumn("_blank", blank), number, "_n")
+    before = placed.select((F.col("_n") + 1).alias("_n"), (~F.col("_blank")).alias("_goes_on"))
+    marked = placed.where(~F.col("_blank")).join(before, "_n", "left").withColumn("_starts", F.when(F.coalesce("_goes_on", F.lit(False)), 0).otherwise(1))
+    marked = marked.withColumn("_b", F.floor(F.col("_n") / bucket))
+    sums = marked.groupBy("_b").agg(F.sum("_starts").alias("_s"))
+    earlier = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_earlier"))  # a row a bucket
+    inside = F.sum("_starts").over(Window.partitionBy("_b").orderBy("_n"))
+    out = marked.join(earlier, "_b").withColumn("table_no", (F.col("_earlier") + inside).cast("int"))
+    return out.drop("_blank", "_n", "_b", "_goes_on", "_starts", "_earlier")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions.scalars import blend
@@ -15,8 +15,8 @@ from strataline.operators.ranking import B, K1, bm25_scores, keyword_predicate,
 
 def similarity(df: DataFrame, threshold: float, keep_min: int = 0) -> DataFrame:
     """Scores of at least the threshold, and the best ``keep_min`` in any case."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    return df.withColumn("_rank", F.row_number().over(order)).where((F.col("score") >= threshold) | (F.col("_rank") <= keep_min)).drop("_rank")
+    kept = df.where(F.col("score") >= threshold)
+    return kept if keep_min <= 0 else kept.unionByName(top_per(df, ["query_id"], keep_min).where(~F.coalesce(F.col("score") >= threshold, F.lit(False))))
 
 
 def reduce(df: DataFrame, top_k: int) -> DataFrame:

@@ -24,6 +24,7 @@ SUBQUERY_TOP_K = 3
 K1, B = 1.2, 0.75
 #: Queries scored in one pass over the chunks. A larger set is scored in several.
 QUERY_BATCH = 1_000
+QUERY_BYTES = 64 << 20
 #: Distinct query terms up to which chunks are filtered by a list of them; more are joined.
 LISTED_TERMS = 1_000
 
@@ -79,13 +80,14 @@ def dense_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Cosine of every query with every chunk of its dimension, for operators that need whole lists.
 
     ``queries`` is ``(query_id, vector)``, a stated set; it is sent to the chunks in batches
-    of ``QUERY_BATCH`` rows, so the chunks are scanned once per batch and never shuffled.
-    ``dense_top`` finds the nearest ones without making the lists.
+    of at most ``QUERY_BATCH`` rows and ``QUERY_BYTES``, so the chunks are scanned once per
+    batch and never shuffled. ``dense_top`` finds the nearest ones without making the lists.
     """
-    count = queries.count()
+    count, longest = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    batch = max(1, min(QUERY_BATCH, QUERY_BYTES // (8 * max(1, longest or 1))))
     q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_qn")).where(F.col("_qn") > 0)
     c = chunks.withColumn("_cn", norm(F.col("embedding"))).where(F.col("_cn") > 0)
-    parts = 1 if count <= QUERY_BATCH else -(-count // QUERY_BATCH)
+    parts = max(1, -(-count // batch))
     out = None
     for part in range(parts):
         own = q if parts == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
@@ -201,8 +203,8 @@ class Dense:
 
 
 def top_per_dataset(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of every dataset, ranked within it."""
-    scored = dense_scores(queries, chunks).select("query_id", "dataset", "id", "score")
+    """The ``k`` best of every dataset, ranked within it; what a task keeps is limited before anything is shuffled."""
+    scored = dense_scores(queries, chunks).select("query_id", "dataset", "id", F.round("score", 12).alias("score"))
     order = Window.partitionBy("query_id", "dataset").orderBy(F.desc("score"), F.asc("id"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -276,8 +278,8 @@ class BM25:
 
 def normalise_scores(df: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
     """Scores scaled to [0, 1] within each list."""
-    over = Window.partitionBy(*keys)
-    return df.withColumn("score", minmax(F.col("score"), F.min("score").over(over), F.max("score").over(over)))
+    ranges = df.groupBy(*keys).agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+    return df.join(ranges, list(keys)).withColumn("score", minmax(F.col("score"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
 
 
 @dataclass
@@ -327,9 +329,34 @@ def subquery_search(queries: DataFrame, subqueries: DataFrame, chunks: DataFrame
 
 
 def routed_search(queries: DataFrame, routes: DataFrame, chunks: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """Dense search of each query in the one dataset that ``routes (query_id, dataset)`` picks for it."""
-    scored = dense_scores(queries, chunks).select("query_id", "dataset", "id", "score")
-    return top_per(scored.join(routes, ["query_id", "dataset"], "left_semi"), ["query_id"], top_k)
+    """Dense search of each query in the one dataset that ``routes (query_id, dataset)`` picks for it.
+
+    Queries meet only the chunks of their own dataset, and only ids and scores go on.
+    """
+    asked = queries.join(routes, "query_id").select("query_id", "dataset", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_qn")).where("_qn > 0")
+    held = chunks.select("dataset", "id", "embedding", norm(F.col("embedding")).alias("_cn")).where("_cn > 0")
+    met = held.join(asked, (held["dataset"] == asked["dataset"]) & (F.size("embedding") == F.size("_q")))
+    scored = met.select("query_id", "id", F.round(dot(F.col("embedding"), F.col("_q")) / (F.col("_cn") * F.col("_qn")), 12).alias("score"))
+    return top_per(scored, ["query_id"], top_k)
+
+
+def in_collections(vectors: DataFrame, collections: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Vectors ``(id, collection_id, embedding)`` with the name of their collection ``(collection_id, dataset)``, of all or some collections."""
+    wanted = collections if names is None else collections.where(F.col("dataset").isin(list(names)))
+    return vectors.join(wanted.select("collection_id", "dataset"), "collection_id")
+
+
+def collection_sizes(chunks: DataFrame) -> DataFrame:
+    """``(dataset, dims, n)``: chunks of each dataset by the length of their vectors; null vectors count for none."""
+    rows = chunks.where(F.col("embedding").isNotNull()).select("dataset", F.size("embedding").cast("bigint").alias("dims"))
+    return rows.groupBy("dataset", "dims").agg(F.count("*").alias("n"))
+
+
+def bm25_corpus(chunks: DataFrame, stopwords: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Statistics of a corpus: one row ``(n, avgdl)``, and ``(term, df)``."""
+    sized = chunks.where(F.col("content").isNotNull()).select(without_stopwords(space_tokens(F.col("content")), stopwords).alias("_t"))
+    overall = sized.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
+    return overall, sized.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def check_embedding_model(datasets: DataFrame, dataset: str, model: str, prefer_new: bool = False) -> str:

@@ -48,11 +48,14 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("dataset"), "embedding")
 
 
-def _first_vectors(spark: SparkSession, d: str, count: int) -> DataFrame:
-    """The ``count`` first vectors as queries q0, q1, ..."""
-    first = _vectors(spark, d).orderBy("id").limit(count)
-    place = (F.row_number().over(Window.orderBy("id")) - 1).cast("string")
-    return first.select(F.concat(F.lit("q"), place).alias("query_id"), F.col("embedding").alias("vector"))
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 100, as a query."""
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred best of each query."""
+    return ranking.Dense(100).retrieve(_asked_vectors(spark, d), _vectors(spark, d))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +67,11 @@ def _asked(spark: SparkSession, text: str) -> DataFrame:
 
 
 _COS = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-_Q = "SELECT 'q' || (row_number() OVER (ORDER BY vec_id) - 1) AS query_id, embedding FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT {n})"
+_Q = "SELECT vec_id AS query_id, embedding, label FROM embeddings WHERE vec_id % 100 = 0"
+# The best of each query: lists of them are what postprocessors take.
+_LISTS = f"""
+    WITH q AS ({_Q}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS k FROM s), l AS (SELECT * FROM r WHERE k <= 100)"""
 _BM25 = """
     WITH docs AS (SELECT doc_id AS id, string_split(text, ' ') AS t FROM documents WHERE text IS NOT NULL),
     st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM docs),
@@ -81,25 +88,26 @@ _TERMS = "'oldest', 'snapshot', 'checksum'"
 
 @registered(f"SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY {_COS} DESC, id LIMIT 10")
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = ranking.Dense(10).retrieve(_first_vectors(spark, d, 1), _vectors(spark, d))
-    return found.select("id", r6("score").alias("score"))
+    first = _vectors(spark, d).orderBy("id").limit(1).select(F.lit("q0").alias("query_id"), F.col("embedding").alias("vector"))
+    return ranking.Dense(10).retrieve(first, _vectors(spark, d)).select("id", r6("score").alias("score"))
 
 
 @registered(f"""
-    WITH q AS ({_Q.format(n=1)})
-    SELECT e.vec_id AS id, round({_COS}, 6) AS score FROM embeddings e, q WHERE e.label = 3 ORDER BY {_COS} DESC, id LIMIT 10""")
+    WITH q AS ({_Q}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q WHERE e.label = 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS k FROM s)
+    SELECT query_id, id, round(score, 6) AS score FROM r WHERE k <= 10""")
 def dense_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     chunks = _vectors(spark, d).withColumn("metadata", F.create_map(F.lit("label"), F.col("dataset")))
-    return ranking.Dense(10, where={"label": "3"}).retrieve(_first_vectors(spark, d, 1), chunks).select("id", r6("score").alias("score"))
+    return ranking.Dense(10, where={"label": "3"}).retrieve(_asked_vectors(spark, d), chunks).select("query_id", "id", r6("score").alias("score"))
 
 
 @registered(f"""
-    WITH q AS ({_Q.format(n=1)}), s AS (SELECT CAST(e.label AS VARCHAR) AS dataset, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY score DESC, id) AS rank FROM s)
-    SELECT dataset, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
+    WITH q AS ({_Q}), s AS (SELECT q.query_id, CAST(e.label AS VARCHAR) AS dataset, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id, dataset ORDER BY round(score, 12) DESC, id) AS rank FROM s)
+    SELECT query_id, dataset, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 3""")
 def dense_topk_per_dataset(spark: SparkSession, d: str) -> DataFrame:
-    found = ranking.top_per_dataset(_first_vectors(spark, d, 1), _vectors(spark, d), 3)
-    return found.select("dataset", "id", r6("score").alias("score"), "rank")
+    found = ranking.top_per_dataset(_asked_vectors(spark, d), _vectors(spark, d), 3)
+    return found.select("query_id", "dataset", "id", r6("score").alias("score"), "rank")
 
 
 @registered(f"""
@@ -108,23 +116,25 @@ def dense_topk_per_dataset(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, id, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def dense_many_queries(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 100 against all."""
-    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return ranking.Dense(10).retrieve(asked, _vectors(spark, d)).select("query_id", "id", r6("score").alias("score"))
+    return ranking.Dense(10).retrieve(_asked_vectors(spark, d), _vectors(spark, d)).select("query_id", "id", r6("score").alias("score"))
 
 
 @registered("""
-    WITH c AS (SELECT p.uuid, CAST(p.embedding AS DOUBLE[]) AS e FROM pgvector p JOIN datasets s ON s.pg_collection_uuid = p.collection_id
-               WHERE s.id = 'company-handbook' AND len(p.embedding) = 64 AND list_sum(CAST(p.embedding AS DOUBLE[])) > -1e300
-                 AND NOT isnan(list_sum(CAST(p.embedding AS DOUBLE[]))) AND len(list_filter(p.embedding, lambda x: x <> 0)) > 0),
-    q AS (SELECT * FROM c ORDER BY uuid LIMIT 1)
-    SELECT c.uuid AS id, round(list_cosine_similarity(c.e, q.e), 6) AS score FROM c, q ORDER BY list_cosine_similarity(c.e, q.e) DESC, id LIMIT 10""")
+    WITH c AS (SELECT p.uuid, s.id AS dataset, len(p.embedding) AS n, CAST(p.embedding AS DOUBLE[]) AS e FROM pgvector p JOIN datasets s ON s.pg_collection_uuid = p.collection_id
+               WHERE len(p.embedding) > 0 AND isfinite(list_sum(CAST(p.embedding AS DOUBLE[]))) AND len(list_filter(p.embedding, lambda x: x <> 0)) > 0),
+    q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY uuid) AS k FROM c) WHERE k % 100 = 1),
+    s AS (SELECT q.uuid AS query_id, c.uuid AS id, list_cosine_similarity(c.e, q.e) AS score FROM c JOIN q ON c.dataset = q.dataset AND c.n = q.n),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS k FROM s)
+    SELECT query_id, id, round(score, 6) AS score FROM r WHERE k <= 10""")
 def collection_search(spark: SparkSession, d: str) -> DataFrame:
-    """Search in one collection: rows joined to its name, of the query's dimension, usable vectors only."""
-    sets = table(spark, d, "datasets").where("id = 'company-handbook'").select(F.col("pg_collection_uuid").alias("collection_id"))
-    rows = table(spark, d, "pgvector").where((F.size("embedding") == 64) & ~F.exists("embedding", F.isnan) & F.exists("embedding", lambda x: x != 0))
-    chunks = rows.join(sets, "collection_id").select(F.col("uuid").alias("id"), "embedding")
-    asked = chunks.orderBy("id").limit(1).select(F.lit("q0").alias("query_id"), F.col("embedding").alias("vector"))
-    return ranking.Dense(10).retrieve(asked, chunks).select("id", r6("score").alias("score"))
+    """Searches in all collections: every hundredth usable row of each against the rows of that collection that have its dimension."""
+    sets = table(spark, d, "datasets").select(F.col("pg_collection_uuid").alias("collection_id"), F.col("id").alias("dataset"))
+    usable = ~F.exists("embedding", F.isnan) & F.exists("embedding", lambda x: x != 0)
+    chunks = ranking.in_collections(table(spark, d, "pgvector").where(usable).select(F.col("uuid").alias("id"), "collection_id", "embedding"), sets)
+    place = F.row_number().over(Window.partitionBy("dataset").orderBy("id"))
+    asked = chunks.select(F.col("id").alias("query_id"), "dataset", place.alias("_k"), F.col("embedding").alias("vector")).where("_k % 100 = 1")
+    found = ranking.routed_search(asked.select("query_id", "vector"), asked.select("query_id", "dataset"), chunks)
+    return found.select("query_id", "id", r6("score").alias("score"))
 
 
 @registered("""
@@ -132,8 +142,7 @@ def collection_search(spark: SparkSession, d: str) -> DataFrame:
     WHERE p.embedding IS NOT NULL GROUP BY ALL""")
 def collection_dimensions(spark: SparkSession, d: str) -> DataFrame:
     sets = table(spark, d, "datasets").select(F.col("id").alias("dataset"), F.col("pg_collection_uuid").alias("collection_id"))
-    rows = table(spark, d, "pgvector").where("embedding IS NOT NULL").select("collection_id", F.size("embedding").cast("bigint").alias("dims"))
-    return rows.join(sets, "collection_id").groupBy("dataset", "dims").agg(F.count("*").alias("n"))
+    return ranking.collection_sizes(ranking.in_collections(table(spark, d, "pgvector").select(F.col("uuid").alias("id"), "collection_id", "embedding"), sets))
 
 
 @registered(f"{_BM25.format(terms=_TERMS)} SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 20")
@@ -152,19 +161,15 @@ def bm25_topn_stopwords(spark: SparkSession, d: str) -> DataFrame:
     WITH docs AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(t) AS term FROM docs)
     SELECT term, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM docs) AS n, round((SELECT avg(len(t)) FROM docs), 6) AS avgdl FROM w GROUP BY term""")
 def bm25_statistics(spark: SparkSession, d: str) -> DataFrame:
-    docs = _texts(spark, d).select("id", S.space_tokens(F.col("content")).alias("t"))
-    stats = docs.agg(F.count("*").alias("n"), r6(F.avg(F.size("t"))).alias("avgdl"))
-    df = docs.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.crossJoin(F.broadcast(stats)).select("term", "df", "n", "avgdl")
+    overall, terms = ranking.bm25_corpus(_texts(spark, d))
+    return terms.crossJoin(F.broadcast(overall)).select("term", "df", "n", r6("avgdl").alias("avgdl"))  # one row of statistics
 
 
-@registered(f"""
-    WITH q AS ({_Q.format(n=2)}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
-    m AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM s)
+@registered(f"""{_LISTS},
+    m AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM l)
     SELECT query_id, id, round(CASE WHEN hi = 0 THEN 0 WHEN hi = lo THEN 1 ELSE (score - lo) / (hi - lo) END, 6) AS score FROM m""")
 def score_normalize(spark: SparkSession, d: str) -> DataFrame:
-    scored = ranking.dense_scores(_first_vectors(spark, d, 2), _vectors(spark, d)).select("query_id", "id", "score")
-    return ranking.normalise_scores(scored).select("query_id", "id", r6("score").alias("score"))
+    return ranking.normalise_scores(_lists(spark, d)).select("query_id", "id", r6("score").alias("score"))
 
 
 @registered(f"""
@@ -189,44 +194,57 @@ def merge_hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered(f"""
-    WITH q AS ({_Q.format(n=3)}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
-    SELECT id, round(max(score), 6) AS score FROM r WHERE k <= 3 GROUP BY id ORDER BY max(score) DESC, id LIMIT 3""")
+    WITH q AS ({_Q}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS k FROM s),
+    m AS (SELECT query_id // 300 AS query_id, id, max(round(score, 12)) AS score FROM r WHERE k <= 3 GROUP BY ALL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM m)
+    SELECT CAST(query_id AS VARCHAR) AS query_id, id, round(score, 6) AS score FROM f WHERE k <= 3""")
 def subquery_fusion(spark: SparkSession, d: str) -> DataFrame:
-    parts = _first_vectors(spark, d, 3).select(F.lit("q").alias("query_id"), F.substring("query_id", 2, 9).cast("int").alias("subquery_no"), "vector")
-    asked = spark.range(1).select(F.lit("q").alias("query_id"))
-    return ranking.subquery_search(asked, parts, _vectors(spark, d)).select("id", r6("score").alias("score"))
+    """Three of the query vectors at a time are the subqueries of one query."""
+    vectors = _asked_vectors(spark, d)
+    parts = vectors.select(F.floor(F.col("query_id") / 300).cast("string").alias("query_id"), (F.col("query_id") / 100 % 3).cast("int").alias("subquery_no"), "vector")
+    return ranking.subquery_search(parts.select("query_id").distinct(), parts, _vectors(spark, d)).select("query_id", "id", r6("score").alias("score"))
 
 
 @registered(f"""
-    WITH q AS (SELECT 'q' || (row_number() OVER (ORDER BY vec_id) - 1) AS query_id, embedding, label FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 4)),
-    s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q WHERE e.label = q.label),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
+    WITH q AS ({_Q}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q WHERE e.label = q.label),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) AS k FROM s)
     SELECT query_id, id, round(score, 6) AS score FROM r WHERE k <= 10""")
 def route_then_search(spark: SparkSession, d: str) -> DataFrame:
     """Each query goes to the dataset of its own label."""
-    first = _vectors(spark, d).orderBy("id").limit(4)
-    asked = first.select(F.concat(F.lit("q"), (F.row_number().over(Window.orderBy("id")) - 1).cast("string")).alias("query_id"), F.col("embedding").alias("vector"), "dataset")
-    found = ranking.routed_search(asked.select("query_id", "vector"), asked.select("query_id", "dataset"), _vectors(spark, d))
+    routes = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("dataset"))
+    found = ranking.routed_search(_asked_vectors(spark, d), routes, _vectors(spark, d))
     return found.select("query_id", "id", r6("score").alias("score"))
 
 
-@registered(f"""
-    WITH q AS ({_Q.format(n=3)}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
-    SELECT query_id, id, round(score, 6) AS score FROM r WHERE score >= 0.4 OR k <= 5""")
+@registered(f"{_LISTS} SELECT query_id, id, round(score, 6) AS score FROM l WHERE score >= 0.4 OR k <= 5")
 def similarity_keepmin(spark: SparkSession, d: str) -> DataFrame:
-    scored = ranking.dense_scores(_first_vectors(spark, d, 3), _vectors(spark, d)).select("query_id", "id", "score")
-    return postprocess.similarity(scored, 0.4, 5).select("query_id", "id", r6("score").alias("score"))
+    return postprocess.similarity(_lists(spark, d), 0.4, 5).select("query_id", "id", r6("score").alias("score"))
 
 
-@registered(f"""
-    WITH q AS ({_Q.format(n=3)}), s AS (SELECT q.query_id, e.vec_id AS id, {_COS} AS score FROM embeddings e, q),
-    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s)
-    SELECT query_id, id, round(score, 6) AS score FROM r WHERE k <= 20""")
+@registered(f"{_LISTS} SELECT query_id, id, round(score, 6) AS score FROM l WHERE k <= 20")
 def reduce_topk(spark: SparkSession, d: str) -> DataFrame:
-    scored = ranking.dense_scores(_first_vectors(spark, d, 3), _vectors(spark, d)).select("query_id", "id", "score")
-    return postprocess.reduce(scored, 20).select("query_id", "id", r6("score").alias("score"))
+    return postprocess.reduce(_lists(spark, d), 20).select("query_id", "id", r6("score").alias("score"))
+
+
+@registered(f"""
+    {_BM25.format(terms="'oldest', 'snapshot'")},
+    e AS (SELECT d.doc_id AS id, {_COS} AS score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 1) q WHERE d.text IS NOT NULL),
+    a AS (SELECT id, 0.7 * round(score, 12) AS x, 'basic' AS r FROM (SELECT * FROM e ORDER BY round(score, 12) DESC, id LIMIT 30)), b AS (SELECT * FROM s ORDER BY score DESC, id LIMIT 30),
+    n AS (SELECT id, 0.3 * CASE WHEN max(score) OVER () = 0 THEN 0 WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS x, 'bm25' AS r FROM b)
+    SELECT id, round(sum(x), 6) AS score, string_agg(r, ',' ORDER BY r) AS retrievers FROM (SELECT * FROM a UNION ALL SELECT * FROM n) GROUP BY id ORDER BY round(sum(x), 9) DESC, id LIMIT 10""")
+def merge_dense_and_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """Similarities as they are and BM25 scores scaled, weighted and summed; documents have the vector of their number."""
+    vectors = _vectors(spark, d).select("id", "embedding")
+    chunks = _texts(spark, d).join(vectors, "id")
+    first = vectors.orderBy("id").limit(1).select(F.lit("q0").alias("query_id"), F.lit("oldest snapshot").alias("query"), F.col("embedding").alias("vector"))
+
+    class OfAllTexts(ranking.BM25):
+        def retrieve(self, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+            return super().retrieve(queries, _texts(spark, d))
+
+    merge = ranking.Merge([("basic", 0.7, ranking.Dense(30)), ("bm25", 0.3, OfAllTexts(30))], 10)
+    return merge.retrieve(first, chunks).select("id", r6("score").alias("score"), "retrievers")
 
 
 @registered("""
@@ -408,14 +426,16 @@ def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT id, sha1(absolute_path) AS dataset_id FROM files WHERE absolute_path IS NOT NULL")
 def path_dataset_id(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "files").where("absolute_path IS NOT NULL").select("id", F.sha1("absolute_path").alias("dataset_id"))
+    return table(spark, d, "files").where("absolute_path IS NOT NULL").select("id", S.path_dataset(F.col("absolute_path")).alias("dataset_id"))
 
 
-@registered("""
-    SELECT lower(regexp_extract(name, '(\\.[^.]+)$', 1)) AS ext, count(*) AS n FROM files WHERE lower(regexp_extract(name, '(\\.[^.]+)$', 1)) IN ('.pdf','.html','.md','.txt','.docx','.csv','.json') GROUP BY 1""")
+_KNOWN = ", ".join(f"'{e}'" for e in loaders.FIRST_CLASS)
+
+
+@registered(f"""
+    WITH e AS (SELECT lower(regexp_extract(name, '(\\.[^./\\\\]+)$', 1)) AS x FROM files) SELECT CASE WHEN x IN ({_KNOWN}) THEN x ELSE '.txt' END AS ext, count(*) AS n FROM e GROUP BY 1""")
 def file_types(spark: SparkSession, d: str) -> DataFrame:
-    kinds = table(spark, d, "files").select(loaders.file_type(F.col("name")).alias("ext"))
-    return kinds.where(F.col("ext").isin(".pdf", ".html", ".md", ".docx", ".csv", ".json", ".txt")).groupBy("ext").agg(F.count("*").alias("n"))
+    return table(spark, d, "files").select(loaders.file_type(F.col("name")).alias("ext")).groupBy("ext").agg(F.count("*").alias("n"))
 
 
 @registered("""
@@ -457,7 +477,7 @@ def structured_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @registered()
 def html_clean_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return page_markdown(table(spark, d, "documents").where(F.col("text").contains("<")), "doc_id", "text", main_only=False)
+    return page_markdown(table(spark, d, "documents"), "doc_id", "text", main_only=False)
 
 
 # --- scalars --------------------------------------------------------------------------
@@ -483,12 +503,14 @@ def serial_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", S.serial_date(F.col("p_partkey")).alias("day"))
 
 
-@registered("""
-    SELECT p_partkey AS n, CASE WHEN p_partkey > 702 THEN chr(CAST(65 + ((p_partkey - 703) // 676) AS INT)) ELSE '' END
-      || CASE WHEN p_partkey > 26 THEN chr(CAST(65 + (((p_partkey - 27) // 26) % 26) AS INT)) ELSE '' END || chr(CAST(65 + ((p_partkey - 1) % 26) AS INT)) AS letters, p_partkey AS back
-    FROM part WHERE p_partkey BETWEEN 1 AND 18278""")
+_DIGITS = 14  # of base 26, as many as a 64-bit number has
+_REST = ", ".join(["p_partkey AS n0", *(f"CASE WHEN n{k} > 0 THEN (n{k} - 1) // 26 ELSE 0 END AS n{k + 1}" for k in range(_DIGITS - 1))])
+_LETTERS = " || ".join(f"CASE WHEN n{k} > 0 THEN chr(CAST(65 + (n{k} - 1) % 26 AS INT)) ELSE '' END" for k in reversed(range(_DIGITS)))
+
+
+@registered(f"SELECT n0 AS n, {_LETTERS} AS letters, n0 AS back FROM (SELECT {_REST} FROM part)")
 def a1_letters(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").where("p_partkey BETWEEN 1 AND 18278").select(F.col("p_partkey").alias("n"), S.column_letters(F.col("p_partkey")).alias("letters"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("n"), S.column_letters(F.col("p_partkey")).alias("letters"))
     return rows.select("n", "letters", S.column_number(F.col("letters")).alias("back"))
 
 
@@ -607,7 +629,7 @@ def blank_row_islands(spark: SparkSession, d: str) -> DataFrame:
 def ancestor_paths(spark: SparkSession, d: str) -> DataFrame:
     top = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("title"))
     low = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("title"))
-    return lookup.ancestor_paths(top.unionByName(low), 8)
+    return lookup.ancestor_paths(top.unionByName(low))
 
 
 @registered("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
@@ -617,7 +639,11 @@ def source_counts(spark: SparkSession, d: str) -> DataFrame:
 
 # --- SQL ------------------------------------------------------------------------------
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings")
+_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels", "benchmark",
+    "datasets", "textsplitter_opts", "smartpdf_config", "files", "ingest_opts", "sqlite_vec", "pgvector", "gmail_messages",
+)
+_NAMES = ", ".join(f"'{t}'" for t in sorted(_TABLES))
 
 # Statements that read the same in both engines.
 _STATEMENTS = {
@@ -626,7 +652,7 @@ _STATEMENTS = {
     "sql_left": "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "sql_full": "SELECT n_name, count(DISTINCT s_suppkey) AS suppliers FROM nation FULL JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name",
     "sql_semi": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
-    "sql_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "sql_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')",
     "sql_theta": "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_acctbal < b.s_acctbal",
     "sql_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
     "sql_group_having": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS quantity FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
@@ -641,7 +667,7 @@ _STATEMENTS = {
     "sql_range_frame": "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS n FROM part",
     "sql_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "sql_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
-    "sql_except": "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier",
+    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier",
     "sql_correlated": "SELECT p_partkey FROM part p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)",
     "sql_recursive_cte": """WITH RECURSIVE s AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM s WHERE n < 50) SELECT n, n * n AS square FROM s""",
     "sql_case_dates": """SELECT extract(year FROM o_orderdate) AS y, sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS high, count(*) AS n FROM orders GROUP BY 1""",
@@ -665,17 +691,16 @@ for _name, _text in _STATEMENTS.items():
     _SQL[_name] = _text
 
 
-@registered("SELECT unnest(['customer', 'documents', 'embeddings', 'events', 'lineitem', 'nation', 'orders', 'part', 'region', 'supplier']) AS name")
+@registered(f"SELECT unnest([{_NAMES}]) AS name")
 def list_tables(spark: SparkSession, d: str) -> DataFrame:
     sql.register(spark, d, _TABLES)
-    return sql.list_tables(spark).where(F.col("name").isin(*_TABLES))
+    return sql.list_tables(spark).where(F.col("name").isin(*_TABLES))  # the session may hold others
 
 
-@registered("""
-    SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events') AND column_name NOT IN ('props')""")
+@registered(f"SELECT table_name, column_name FROM information_schema.columns WHERE table_name IN ({_NAMES}) AND column_name NOT IN ('props')")
 def describe_schema(spark: SparkSession, d: str) -> DataFrame:
     sql.register(spark, d, _TABLES)
-    return sql.describe(spark, exclude=("props",)).where(F.col("table_name").isin(*_TABLES[:8])).select("table_name", "column_name")
+    return sql.describe(spark, exclude=("props",)).where(F.col("table_name").isin(*_TABLES)).select("table_name", "column_name")
 
 
 # --- windows over events (extensions) -------------------------------------------------

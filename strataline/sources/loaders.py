@@ -13,6 +13,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from fnmatch import translate
 from typing import Protocol
 from xml.etree import ElementTree
@@ -29,7 +30,7 @@ DOCUMENTS = "path string, doc_index int, content string, metadata map<string,str
 Page = tuple[str, dict[str, str]]
 
 # Extensions that name their type without a look at the content.
-FIRST_CLASS = (".pdf", ".html", ".md", ".txt", ".docx", ".odt", ".rtf", ".csv", ".ipynb", ".json", ".go", ".py", ".js", ".ts", ".c", ".cpp", ".java", ".sql", ".yaml", ".yml")
+FIRST_CLASS = (".pdf", ".html", ".md", ".txt", ".docx", ".doc", ".odt", ".rtf", ".pptx", ".ppt", ".pages", ".csv", ".ipynb", ".json", ".go", ".py", ".js", ".ts", ".c", ".cpp", ".java", ".sql", ".yaml", ".yml")
 
 
 def file_type(path: Column, head: Column | None = None, mime: Column | None = None) -> Column:
@@ -59,13 +60,29 @@ def html_pages(data: bytes) -> list[Page]:
     return [(to_text(data.decode("utf-8", "replace")), {})]
 
 
+def csv_rows(text: str) -> list[list[str]]:
+    """Rows of a CSV text. Where strict reading fails at a row, that line is read leniently and strict reading goes on behind it."""
+    lines = text.splitlines(keepends=True)
+    rows: list[list[str]] = []
+    at = 0
+    while at < len(lines):
+        reader = csv.reader(iter(lines[at:]), strict=True)
+        used = 0
+        try:
+            for row in reader:
+                rows.append(row)
+                used = reader.line_num
+            return rows
+        except csv.Error:
+            at += used
+            rows.extend(csv.reader([lines[at]]) if lines[at].count('"') % 2 == 0 else csv.reader([lines[at]], quoting=csv.QUOTE_NONE))
+            at += 1
+    return rows
+
+
 def csv_pages(data: bytes) -> list[Page]:
-    """A document per row, ``column: value`` lines; rows with stray quotes are read with quoting off."""
-    text = data.decode("utf-8-sig", "replace")
-    try:
-        rows = list(csv.reader(io.StringIO(text), strict=True))
-    except csv.Error:
-        rows = list(csv.reader(io.StringIO(text), quoting=csv.QUOTE_NONE))
+    """A document per row, ``column: value`` lines; a row with a stray quote, and no other, is read with its quotes as they stand."""
+    rows = csv_rows(data.decode("utf-8-sig", "replace"))
     if not rows:
         return []
     return [("\n".join(f"{h}: {v}" for h, v in zip(rows[0], r)), {"row": str(n)}) for n, r in enumerate(rows[1:]) if r]
@@ -222,6 +239,13 @@ def files(spark: SparkSession, path: str, recursive: bool = True, hidden: bool =
     return df if hidden else df.where(~F.col("path").rlike("/\\.[^/]"))
 
 
+def folder_uri(spark: SparkSession, path: str) -> str:
+    """A folder's path in the form of its files' paths, with a slash at its end."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(p).toString().rstrip("/") + "/"
+
+
 # Always ignored.
 BUILTIN_IGNORES = (".git/", ".DS_Store", "~$*")
 
@@ -279,13 +303,15 @@ def needs_ocr(content: Column, images: Column, has_table: Column, on_empty: bool
 
 
 def recognised(pages: DataFrame, ocr: OCR, concurrency: int = 3) -> DataFrame:
-    """``(path, page, content)`` of page images by an OCR provider, at most ``concurrency`` calls at a time."""
+    """``(path, page, content)`` of page images by an OCR provider, at most ``concurrency`` calls of one task at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([ocr.read(x) for x in batch.column(2).to_pylist()], pa.string())], names=["path", "page", "content"])
+            with ThreadPoolExecutor(max(1, concurrency)) as calls:
+                texts = list(calls.map(ocr.read, batch.column(2).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["path", "page", "content"])
 
-    return pages.select("path", F.col("page").cast("int"), "image").repartition(concurrency).mapInArrow(read, "path string, page int, content string")
+    return pages.select("path", F.col("page").cast("int"), "image").mapInArrow(read, "path string, page int, content string")
 
 
 def structured(df: DataFrame, json_column: str = "json") -> DataFrame:

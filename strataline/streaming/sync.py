@@ -14,8 +14,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def newest_of_batch(batch: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """The newest row of each key; a null time is older than any other."""
     row = F.struct(*[F.col(c) for c in batch.columns])
-    return batch.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(row, time).alias("_r")).select("_r.*")
+    return batch.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max_by(row, F.struct(F.col(time).isNotNull(), F.col(time))).alias("_r")).select("_r.*")
 
 
 def _manifest(spark: SparkSession, path: str, batch_id: int) -> dict[str, int]:
@@ -26,10 +27,14 @@ def _manifest(spark: SparkSession, path: str, batch_id: int) -> dict[str, int]:
 
 
 def read_state(spark: SparkSession, path: str, schema, batch_id: int) -> DataFrame:
-    """The state as of a batch."""
+    """The state as of a batch, without the rows that are kept only to mark a deletion."""
     folders = [f"{path}/batch={n}/bucket={b}" for b, n in _manifest(spark, path, batch_id).items()]
     folders = [f for f in folders if _exists(spark, f)]
-    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+    if not folders:
+        return spark.createDataFrame([], schema)
+    flag = spark.read.schema("deleted string").json(f"{path}/manifest/batch={batch_id}").agg(F.max("deleted")).first()[0]
+    state = spark.read.schema(schema).parquet(*folders)
+    return state.where(~F.coalesce(F.col(flag), F.lit(False))) if flag else state
 
 
 def _exists(spark: SparkSession, folder: str) -> bool:
@@ -37,9 +42,13 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def sync(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], time: str, deleted: str | None = None, buckets: int = 64, once: bool = True) -> StreamingQuery:
+def sync(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], time: str, deleted: str | None = None, buckets: int = 64, once: bool = True, keep_deleted: str | None = None) -> StreamingQuery:
     """Upserts of a change stream into a Parquet state of hash buckets; rows flagged ``deleted`` remove their key.
 
+    A deletion stays in the state as a row of its own, so an older change of the key that
+    arrives late does not bring it back; with ``keep_deleted``, such as ``INTERVAL 30 DAYS``,
+    until its bucket gets a change that is newer by so much. ``read_state`` leaves these rows out.
+
     A micro-batch rewrites only the buckets that its keys fall into and writes them, and a
     manifest, under its own id, so a batch that runs again after a failure replaces its own
     work and nothing else: the result is the same.
@@ -56,11 +65,12 @@ def sync(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], tim
         old = [f for f in old if _exists(spark, f)]
         both = new.unionByName(spark.read.schema(schema).parquet(*old)) if old else new
         state = newest_of_batch(both, keys, time)
-        if deleted:
-            state = state.where(~F.coalesce(F.col(deleted), F.lit(False)))
+        if deleted and keep_deleted and (newest := batch.agg(F.max(time)).first()[0]) is not None:
+            old_deletion = F.coalesce(F.col(deleted), F.lit(False)) & (F.col(time) < F.lit(newest) - F.expr(keep_deleted))
+            state = state.where(~F.coalesce(old_deletion, F.lit(False)))
         state.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch_id}")
         manifest |= dict.fromkeys(touched, batch_id)
-        rows = spark.createDataFrame(sorted(manifest.items()) or [("", -1)], "bucket string, batch int").where("batch >= 0")
+        rows = spark.createDataFrame(sorted(manifest.items()) or [("", -1)], "bucket string, batch int").where("batch >= 0").withColumn("deleted", F.lit(deleted))
         rows.coalesce(1).write.mode("overwrite").json(f"{path}/manifest/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)

@@ -156,6 +156,9 @@ def test_sync_stream(spark, tmp_path):
     run()
     assert sorted((r.key, r.value) for r in sync.read_state(spark, str(tmp_path / "state"), schema, 1).collect()) == [("a", "2"), ("c", "1")]
     assert sorted((r.key, r.value) for r in sync.read_state(spark, str(tmp_path / "state"), schema, 0).collect()) == [("a", "2"), ("b", "1")]
+    spark.createDataFrame([("b", "late", 3, False), ("d", "x", None, False), ("d", "y", 1, False), ("e", "z", None, False)], schema).coalesce(1).write.mode("append").parquet(str(src))
+    run()  # an older change does not bring back what was deleted; a null time is the oldest, and its row stays whole
+    assert sorted((r.key, r.value) for r in sync.read_state(spark, str(tmp_path / "state"), schema, 2).collect()) == [("a", "2"), ("c", "1"), ("d", "y"), ("e", "z")]
 
 
 def test_windows_drop_late_rows(spark, tmp_path):
@@ -246,3 +249,43 @@ def test_keywords_by_a_model(spark):
 
     df = spark.createDataFrame([("a", {"k": "v"})], "content string, metadata map<string,string>")
     assert TRANSFORMS["keywords"](df, llm=EchoLLM(lambda t: "x, y")).first().metadata == {"k": "v", "keywords": "x,y"}
+
+
+def test_stray_quotes_spoil_only_their_own_row():
+    from strataline.sources.loaders import csv_rows
+
+    text = 'name,n\n"Smith, J",1\n12" pipe,2\n"open,3\n"Roe, A",4\n'
+    assert csv_rows(text) == [["name", "n"], ["Smith, J", "1"], ['12" pipe', "2"], ['"open', "3"], ["Roe, A", "4"]]
+    assert csv_rows('a,b\n"two\nlines",1\n') == [["a", "b"], ["two\nlines", "1"]] and csv_rows("") == []
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    from strataline.core.catalog import Catalog
+
+    one = Catalog(spark, str(tmp_path / "root"))
+    two = Catalog(spark, str(tmp_path / "root"))
+    write = one._write
+    raced = []
+
+    def late(name, version, manifest):
+        if not raced:
+            raced.append(version)
+            two.create_dataset("second")  # takes the number that the first was about to take
+        return write(name, version, manifest)
+
+    one._write = late
+    one.create_dataset("first")
+    assert [r.id for r in one.datasets().collect()] == ["first", "second"]
+
+
+def test_askdir_prunes_files_of_any_folder(spark, tmp_path):
+    from strataline.core.client import Client
+
+    folder = tmp_path / "docs"
+    for sub in ("a", "b"):
+        (folder / sub).mkdir(parents=True)
+        (folder / sub / f"{sub}.txt").write_text(f"text of {sub}")
+    client = Client(spark, str(tmp_path / "root"))
+    assert client.ask_directory(str(folder), "text").count() == 2
+    (folder / "b" / "b.txt").unlink()
+    assert [r.content for r in client.ask_directory(str(folder), "text").collect()] == ["text of a"]

@@ -100,6 +100,9 @@ def test_html():
     assert html.images(PAGE, "https://h.org/a/") == [("pic", "https://h.org/a/i.png")] and html.selected(PAGE, "#main")[0].startswith("Head x")
     assert html.matching(PAGE, ["ONE"], "all") == ["One two link"] and html.matching(PAGE, ["zzz"]) == []
     assert html.to_text("<p>a</p>\n<style>x</style><p>b") == "a\nb"
+    form = "<form><div><label>Your name</label><input value='Ann'></div><div><p>Other</p></div></form>"
+    assert html.matching(form, ["name", "ann"], "siblings") == ["Your name"] and html.matching(form, ["name", "other"], "siblings") == []
+    assert html.matching(form, ["your name"], "parent") == ["Your name"] and html.matching(form, ["name", "other"], "grandparent") == ["Your nameOther"]
 
 
 def test_html_frames(spark):
@@ -127,3 +130,13 @@ def test_properties_as_text(spark):
     ]
     df = spark.createDataFrame(data, "kind string, value string, want string")
     assert [tuple(r) for r in df.select("want", S.property_text(F.col("kind"), F.col("value")).alias("got")).collect() if r.want != r.got] == []
+
+
+def test_ids_of_linked_files(spark):
+    from strataline.functions import scalars
+
+    known = "a1B2" * 8 + "-_"
+    refs = [known, f"https://docs.google.com/document/d/{known}/edit", f"https://drive.google.com/file/d/{known}", f"https://drive.google.com/open?id={known}", f"https://drive.google.com/uc?x=1&id={known}",
+            f"https://other.example/file/d/{known}", "https://drive.google.com/file/d/short", "short", "https://drive.google.com/", None]
+    df = spark.createDataFrame([(r,) for r in refs], "ref string")
+    assert [r[0] for r in df.select(scalars.drive_file_id(F.col("ref"))).collect()] == [known] * 5 + [None] * 5

@@ -240,7 +240,7 @@ def test_lookups(spark):
     sites = spark.createDataFrame([(["a", "b"],), (["a"],)], "s array<string>")
     assert sites.where(lookup.has_scopes(F.col("s"), ["a", "b"])).count() == 1
     tree = spark.createDataFrame([("1", None, "A"), ("2", "1", "B"), ("3", "2", "C"), ("4", "3", "D")], "id string, parent_id string, title string")
-    assert rows(lookup.ancestor_paths(tree, 8)) == [("1", "A", 0), ("2", "A/B", 1), ("3", "A/B/C", 2), ("4", "A/B/C/D", 3)]
+    assert rows(lookup.ancestor_paths(tree)) == [("1", "A", 0), ("2", "A/B", 1), ("3", "A/B/C", 2), ("4", "A/B/C/D", 3)]
     issues = spark.createDataFrame([(1, "Crash on start", "r"), (2, "crash later", "s"), (3, "other", "r")], "id int, title string, repo string")
     assert [r.id for r in lookup.issue_search(issues, "crash", repo="r").collect()] == [1]
 

@@ -30,10 +30,10 @@ def find():
         ("Checksum 0082019934417 did not match", []),
         ("national id 38220981204, phone 555-0160", [("id_number", "38220981204"), ("phone", "555-0160")]),
         ("QQ 50 01 45 C belongs to", [("id_number", "QQ 50 01 45 C")]),
-        ("Ship to 55 Old Mill Rd, Kilburn 48342", [("address", "55 Old Mill Rd")]),
-        ("in der Unterkunft Alte Webergasse 171, 74157 Altenfeld", [("address", "Alte Webergasse 171")]),
-        ("au 12 bis rue des Lilas, 75000 X", [("address", "12 bis rue des Lilas")]),
-        ("vive en Calle de los Olmos 133, bajo", [("address", "Calle de los Olmos 133")]),
+        ("Ship to 55 Old Mill Rd, Kilburn 48342", [("address", "55 Old Mill Rd, Kilburn 48342")]),
+        ("in der Unterkunft Alte Webergasse 171, 74157 Altenfeld", [("address", "Alte Webergasse 171, 74157 Altenfeld")]),
+        ("au 12 bis rue des Lilas, 75000 X", [("address", "12 bis rue des Lilas, 75000 X")]),
+        ("vive en Calle de los Olmos 133, bajo", [("address", "Calle de los Olmos 133, bajo")]),
         ("Marrow Bay 77 is the name of a meeting room", []),
         ("it takes 15 ms. Under load", []),
     ],
@@ -62,3 +62,39 @@ def test_lexicon_and_operators(spark):
 
 def test_characters_that_grow_in_lower_case(find):
     assert find("İİ Dear Ada Lindqvist, x") == [("name", "Ada Lindqvist")]
+
+
+HAND = [
+    ("Pay to IBAN DE89 3704 0044 0532 0130 00 today.", "Pay to IBAN [ACCOUNT] today."),
+    ("IBAN GB82 WEST 1234 5698 7654 32 ok", "IBAN [ACCOUNT] ok"),
+    ("Card 4111 1111 1111 1111 was used.", "Card [ACCOUNT] was used."),
+    ("Card 4111 1111 1111 1112 is mistyped.", "Card 4111 1111 1111 1112 is mistyped."),
+    ("Keplerstraße 5, 10115 Berlin, and more.", "[ADDRESS], and more."),
+    ("1600 Pennsylvania Avenue NW, Washington, DC 20500 is known.", "[ADDRESS] is known."),
+    ("He lives at 10 Downing Street, London SW1A 2AA.", "He lives at [ADDRESS]."),
+    ("C/ Mayor 12, 3º B, 28013 Madrid es.", "[ADDRESS] es."),
+    ("12 rue de la Paix, 75002 Paris, merci", "[ADDRESS], merci"),
+    ("Via Roma 12, 00184 Roma is old.", "[ADDRESS] is old."),
+    ("Send it to P.O. Box 123, Springfield 12345.", "Send it to [ADDRESS]."),
+    ("Call 555-010-1234 ext. 12 now.", "Call [PHONE] now."),
+    ("Maria Gonzalez wrote the plan and John Baker agreed.", "[NAME] wrote the plan and [NAME] agreed."),
+    ("x" * 70 + "@example.org wrote.", "[EMAIL] wrote."),
+    ("see https://bob@example.org/x", "see https://bob@example.org/x"),
+    ("Ann Lee, 72600982886, came", "[NAME], [ID_NUMBER], came"),
+    ("Order 202400123456 is late, build 12.0.592 too.", "Order 202400123456 is late, build 12.0.592 too."),
+    ("Her SSN is 123-45-6789.", "Her SSN is [ID_NUMBER]."),
+    ("Rows:\n12\n345\n678\n901\n", "Rows:\n12\n345\n678\n901\n"),
+]
+
+
+@pytest.mark.parametrize("text,want", HAND)
+def test_redacted_sentences(text, want):
+    search = pii.Finder([("ann", True, False), ("lee", False, True)])
+    assert pii.redact(text, search(text)) == want
+
+
+def test_a_lexicon_too_large_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LEXICON_TOKENS", 1)
+    rows = [("Ann Lee <ann.lee@example.org>",), ("Bob Roe <bob.roe@example.org>",)]
+    with pytest.raises(ValueError):
+        pii.name_lexicon(spark.createDataFrame(rows, "text string"))

@@ -3,19 +3,23 @@
 A document is as abusive as its worst passage. A passage is scored by its nearest labelled
 passages in exact TF-IDF cosine, each voting with the square of its similarity; the
 nearest one is the evidence. Examples lie in an inverted index whose blocks keep the
-largest weight of every feature, so a passage that can reach no abusive example's
-neighbourhood is settled by a bound, and only the others are compared.
+largest weight of every feature. A passage that can reach no abusive example is settled by
+a bound; for the others the block maxima of their features bound every block, blocks are
+read from the best bound on, and what lies below the worst of the nearest is never read.
 
 Labels are of documents, noisy, and an abusive document is mostly harmless text. So the
 passages of abusive documents are edited by their own neighbours: those that look like
-passages of harmless documents become harmless examples.
+passages of harmless documents become harmless examples. Labelled documents are scored
+once more without their own passages, which gives the probability that belongs to a score.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,20 +45,48 @@ _WORD = re.compile(r"(?:[@$€](?=[^\W\d_]))?[^\W_]+(?:[@$!€|*]+[^\W_]+)*[@$
 _RUNS = re.compile(r"(.)\1+")
 _END = re.compile(r"(?<=[.!?…。])[\"'”»)]*\s+|\n+")
 _MARKUP = re.compile(r"<[^<>]{1,40}>|&[a-z]{2,6};")
+_FOLDED = {**_INVISIBLE, **_ALIKE}
+_TO_FOLD = re.compile("[" + "".join(re.escape(chr(c)) for c in _FOLDED) + "]")
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[re.Pattern, np.ndarray, np.ndarray]:
+    """Combining marks; which code points are letters or digits; which ASCII ones part spaced letters."""
+    points = np.array([c for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))])
+    ranges = np.split(points, np.flatnonzero(np.diff(points) != 1) + 1)
+    marks = re.compile("[" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in ranges) + "]+")
+    return marks, np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1), np.isin(np.arange(128), [ord(c) for c in " .-_*"])
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def plain_text(text: str) -> str:
     """A text in lower case with its disguises taken off: look-alikes, stretched and spaced letters, accents, invisible characters."""
+    marks, alnum, parting = _tables()
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
     text = text.lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.translate(_INVISIBLE).translate(_ALIKE))
+        text = unicodedata.normalize("NFKD", text.translate(_FOLDED) if _TO_FOLD.search(text) else text)
         if not text.isascii():
-            text = "".join(c for c in text if not unicodedata.combining(c))
-    if _SPACED.search(text):
+            text = marks.sub("", text)
+    codes = _codes(text)
+    letter = alnum[codes]
+    alone = letter.copy()
+    alone[1:] &= ~letter[:-1]
+    alone[:-1] &= ~letter[1:]
+    # Three single letters with a parting character between them make a spaced word.
+    three = np.flatnonzero(alone[:-4] & alone[2:-2] & alone[4:])
+    if len(three) and (parting[np.minimum(codes[three + 1], 127)] & parting[np.minimum(codes[three + 3], 127)]).any():
         text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
-    return _RUNS.sub(r"\1", text)
+        codes = _codes(text)
+    once = np.ones(len(codes), bool)
+    once[1:] = (codes[1:] != codes[:-1]) | (codes[1:] == 10)
+    if once.all():
+        return text
+    return codes[once].tobytes().decode("ascii" if codes.dtype == np.uint8 else "utf-32-le", "surrogatepass")
 
 
 def _words(plain: str) -> list[str]:
@@ -96,28 +128,69 @@ def features(words: list[str]) -> list[str]:
     return [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]
 
 
+class Values:
+    """A value for some features; pairs are looked up by their words, without joining them."""
+
+    def __init__(self, values: dict[str, float]):
+        self.single: dict[str, float] = {}
+        self.pairs: dict[str, dict[str, float]] = {}
+        for f, v in values.items():
+            a, space, b = f.partition(" ")
+            if space:
+                self.pairs.setdefault(a, {})[b] = v
+            else:
+                self.single[f] = v
+
+    def of(self, words: list[str]) -> list[float]:
+        single, pairs = self.single, self.pairs
+        out = [single[w] for w in words if w in single]
+        for k, word in enumerate(words[:-1]):
+            if word in pairs:
+                v = pairs[word].get(words[k + 1])
+                if v is not None:
+                    out.append(v)
+        return out
+
+
 class Examples:
-    """Labelled passages as unit TF-IDF vectors in an inverted index with block maxima."""
+    """Labelled passages as unit TF-IDF vectors in an inverted index of blocks.
+
+    A feature's posting list is cut into segments, one for each block of examples that holds
+    it, with the largest weight of each segment.
+    """
 
-    def __init__(self, texts: list[list[str]], abusive: np.ndarray, documents: np.ndarray, vocabulary: dict[str, int], idf: np.ndarray, unknown: float):
-        # Of each distinct passage: in how many abusive documents it stands, and in how many at all.
-        self.texts, self.abusive, self.documents = texts, abusive.astype(np.float64), documents.astype(np.float64)
-        self.labels = abusive > 0
+    def __init__(
+        self, texts: list[list[str]], abusive: np.ndarray, documents: np.ndarray, vocabulary: dict[str, int], idf: np.ndarray, unknown: float, owners: list[tuple] | None = None
+    ):
+        # Like examples share a block, which keeps the maxima low. Of each distinct passage: in how many abusive documents it stands, and in how many at all.
+        order = sorted(range(len(texts)), key=lambda k: texts[k][:3])
+        self.texts = [texts[k] for k in order]
+        self.abusive, self.documents = (np.asarray(x, np.float64)[order] for x in (abusive, documents))
+        self.owners = [owners[k] for k in order] if owners else [()] * len(texts)
+        self.labels = self.abusive > 0
         self.vocabulary, self.idf, self.unknown = vocabulary, idf, unknown
         rows, cols, weights = [], [], []
-        for k, words in enumerate(texts):
-            ids, w, _ = self.vector(words)
-            rows.append(np.full(len(ids), k, np.int32))
+        for k, words in enumerate(self.texts):
+            ids, w = self.vector(words)
+            rows.append(np.full(len(ids), k, np.int64))
             cols.append(ids)
             weights.append(w)
-        row, col, weight = (np.concatenate(x) if x else np.zeros(0) for x in (rows, cols, weights))
-        order = np.argsort(col, kind="stable")
-        self.post_row, self.post_weight = row[order].astype(np.int32), weight[order].astype(np.float32)
-        self.post_at = np.searchsorted(col[order], np.arange(len(vocabulary) + 1))
+        row, col, weight = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((rows, np.int64), (cols, np.int64), (weights, np.float64)))
+        by = np.lexsort((row, col))
+        row, col = row[by], col[by]
+        self.post_row, self.post_weight = row.astype(np.int32), weight[by].astype(np.float32)
+        self.blocks = max(1, -(-len(texts) // BLOCK))
+        key = col * self.blocks + row // BLOCK
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.seg_at = np.searchsorted(col[heads], np.arange(len(vocabulary) + 1))
+        self.seg_block = (row[heads] // BLOCK).astype(np.int64)
+        self.seg_start, self.seg_size = heads, np.diff(np.append(heads, len(key)))
+        self.seg_max = np.maximum.reduceat(self.post_weight, heads) if len(heads) else np.zeros(0, np.float32)
+        self.post_feature = col
         self.bound()
 
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
-        """Known features, their weights in the unit vector, and the share of the known ones."""
+    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Known features and their weights in the unit vector, of which unknown ones are a part too."""
         counts: dict[int, int] = {}
         rest = 0.0
         for f in features(words):
@@ -129,21 +202,17 @@ class Examples:
         ids = np.fromiter(counts, np.int64, len(counts))
         w = self.idf[ids] * (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) if counts else np.zeros(0)
         norm = np.sqrt((w * w).sum() + rest)
-        return ids, w / norm if norm > 0 else w, norm
+        return ids, w / norm if norm > 0 else w
 
     def bound(self) -> None:
-        """Largest weight of each feature in each block of abusive examples; like examples share a block."""
-        bad = np.flatnonzero(self.labels)
-        bad = np.array(sorted(bad.tolist(), key=lambda k: self.texts[k][:3]), dtype=np.int64)
-        place = np.full(len(self.texts), -1)
-        place[bad] = np.arange(len(bad)) // BLOCK
-        self.maxima = np.zeros((len(self.vocabulary), max(1, -(-len(bad) // BLOCK))), np.float32)
-        feature = np.repeat(np.arange(len(self.vocabulary)), np.diff(self.post_at))
-        own = place[self.post_row] >= 0
-        np.maximum.at(self.maxima, (feature[own], place[self.post_row[own]]), self.post_weight[own])
-        self.best = self.maxima.max(axis=1)
+        """Largest weight of each feature in abusive examples, and the blocks that hold any."""
+        bad = self.labels[self.post_row]
+        best = np.zeros(len(self.vocabulary), np.float32)
+        np.maximum.at(best, self.post_feature[bad], self.post_weight[bad])
         names = list(self.vocabulary)
-        self.reach = {names[k]: float(self.best[k]) ** 2 for k in np.flatnonzero(self.best)}
+        self.reach = Values({names[k]: float(best[k]) ** 2 for k in np.flatnonzero(best)})
+        self.bad_block = np.zeros(self.blocks, bool)
+        self.bad_block[np.flatnonzero(self.labels) // BLOCK] = True
 
     def near(self, words: list[str]) -> bool:
         """Whether a passage may be similar to an abusive example at all.
@@ -151,61 +220,70 @@ class Examples:
         Its weights have norm 1 at most, so its product with the largest weights of its
         features is at most the norm of those.
         """
-        reach = self.reach
-        return sum([reach[f] for f in features(words) if f in reach]) >= NEAR * NEAR
-
-    def similar(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
-        scores = np.zeros(len(self.texts), np.float32)
-        for k, x in zip(ids, w):
-            a, b = self.post_at[k], self.post_at[k + 1]
-            scores[self.post_row[a:b]] += np.float32(x) * self.post_weight[a:b]
-        return scores
-
-    def nearest(self, scores: np.ndarray) -> np.ndarray:
-        near = np.argpartition(-scores, min(NEIGHBOURS, len(scores) - 1))[:NEIGHBOURS]
-        return near[scores[near] >= NEAR]
-
-    def vote(self, scores: np.ndarray) -> tuple[float, int]:
-        """Share of the votes of the nearest examples that say abusive, and the nearest of those."""
-        near = self.nearest(scores)
+        return sum(self.reach.of(words)) >= NEAR * NEAR
+
+    def nearest(self, ids: np.ndarray, w: np.ndarray, without: object = None, only_bad: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples of a passage and their similarities, of at least ``NEAR``; none where no abusive one can be that near."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        counts = self.seg_at[ids + 1] - self.seg_at[ids]
+        if not counts.sum():
+            return none
+        seg = np.repeat(self.seg_at[ids] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        weight = np.repeat(w.astype(np.float32), counts)
+        bounds = np.bincount(self.seg_block[seg], weight * self.seg_max[seg], self.blocks)
+        open_ = bounds >= NEAR - 1e-6
+        if only_bad and not (open_ & self.bad_block).any():
+            return none
+        found, scores, worst = [], [], NEAR
+        rest = np.flatnonzero(open_)
+        rest = rest[np.argsort(-bounds[rest])]
+        step = 2
+        while len(rest) and bounds[rest[0]] >= worst - 1e-6:
+            now, rest = rest[:step], rest[step:]
+            step *= 2
+            chosen = np.zeros(self.blocks, bool)
+            chosen[now] = True
+            own = np.flatnonzero(chosen[self.seg_block[seg]])
+            sizes = self.seg_size[seg[own]]
+            at = np.repeat(self.seg_start[seg[own]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            rows = self.post_row[at].astype(np.int64)
+            order = np.argsort(rows, kind="stable")
+            rows = rows[order]
+            heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            sums = np.add.reduceat((np.repeat(weight[own], sizes) * self.post_weight[at])[order], heads)
+            hit = np.flatnonzero(sums >= NEAR)
+            hit = hit[np.array([self.owners[k] != (without,) for k in rows[heads][hit]], bool)] if without is not None and len(hit) else hit
+            found.append(rows[heads][hit])
+            scores.append(sums[hit])
+            all_ = np.concatenate(scores)
+            if len(all_) >= NEIGHBOURS:
+                worst = max(NEAR, float(np.partition(all_, len(all_) - NEIGHBOURS)[len(all_) - NEIGHBOURS]))
+        if not found:
+            return none
+        rows, sums = np.concatenate(found), np.concatenate(scores)
+        top = np.lexsort((rows, -sums))[:NEIGHBOURS]
+        return rows[top], sums[top]
+
+    def score(self, words: list[str], without: object = None) -> tuple[float, int]:
+        """Share of the votes of the nearest examples that say abusive, and the nearest of those; ``without`` leaves out the passages of one document."""
+        if not self.labels.any() or not self.near(words):
+            return 0.0, -1
+        near, scores = self.nearest(*self.vector(words), without)
         bad = self.labels[near]
         if not bad.any():
             return 0.0, -1
-        votes = scores[near].astype(np.float64) ** 2
-        return float(votes[bad].sum() / votes.sum()), int(near[bad][np.argmax(scores[near][bad])])
-
-    def score(self, words: list[list[str]]) -> list[tuple[float, int]]:
-        """Score and evidence of each passage."""
-        out: list[tuple[float, int]] = [(0.0, -1)] * len(words)
-        if not self.labels.any():
-            return out
-        none = np.zeros(0, np.int64), np.zeros(0)
-        vectors = [self.vector(w)[:2] if self.near(w) else none for w in words]
-        sizes = np.array([len(v[0]) for v in vectors])
-        full = np.flatnonzero(sizes)
-        if not len(full):
-            return out
-        ids = np.concatenate([vectors[k][0] for k in full])
-        weights = np.concatenate([vectors[k][1] for k in full]).astype(np.float32)
-        starts = np.cumsum(sizes[full]) - sizes[full]
-        # First the bound over all blocks, then that of every block.
-        open_ = np.flatnonzero(np.add.reduceat(weights * self.best[ids], starts) >= NEAR)
-        for k in open_:
-            own = slice(starts[k], starts[k] + sizes[full[k]])
-            if (weights[own] @ self.maxima[ids[own]]).max() >= NEAR:
-                out[full[k]] = self.vote(self.similar(ids[own], weights[own]))
-        return out
+        votes = scores.astype(np.float64) ** 2
+        return float(votes[bad].sum() / votes.sum()), int(near[bad][np.argmax(scores[bad])])
 
     def edited(self) -> Examples:
         """Examples that keep the label abusive only where their neighbours, and their own other documents, share it."""
+        around = {k: self.nearest(*self.vector(self.texts[k]), only_bad=False) for k in np.flatnonzero(self.labels).tolist()}
         for _ in range(EDITS):
             trusted = np.where(self.labels, self.abusive, 0.0)  # what the former round left
             new = self.labels.copy()
-            for k in np.flatnonzero(self.labels):
-                ids, w, _ = self.vector(self.texts[k])
-                scores = self.similar(ids, w)
-                near = self.nearest(scores)
-                weight = scores[near].astype(np.float64) ** 2
+            for k in np.flatnonzero(self.labels).tolist():
+                near, scores = around[k]
+                weight = scores.astype(np.float64) ** 2
                 own = near == k  # without the document that the passage was taken from
                 votes = (weight * (self.documents[near] - own)).sum()
                 new[k] = votes > 0 and (weight * (trusted[near] - own)).sum() / votes >= 0.5
@@ -214,9 +292,30 @@ class Examples:
         return self
 
 
-def _passage_batch(texts: list[str | None]) -> tuple[list[list[str]], np.ndarray]:
-    parts = [passages(t) if t else [] for t in texts]
-    return [p for own in parts for p in own], np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+def _best_passage(examples: Examples, text: str | None, without: object = None) -> tuple[float, list[str], int]:
+    """Score, words and evidence of the worst passage of a text."""
+    best: tuple[float, list[str], int] = (0.0, [], -1)
+    for words in passages(text) if text else ():
+        value, nearest = examples.score(words, without)
+        if value > best[0]:
+            best = value, words, nearest
+    return best
+
+
+def calibrated(scores: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores in order and the probability of each, never falling: neighbours that would fall are pooled."""
+    order = np.argsort(scores, kind="stable")
+    blocks: list[list[float]] = []  # sum, count, highest score
+    for x, y in zip(scores[order].tolist(), truth[order].tolist()):
+        if blocks and blocks[-1][2] == x:
+            blocks[-1][0] += y
+            blocks[-1][1] += 1
+        else:
+            blocks.append([float(y), 1, x])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], last[2]]
+    return np.array([b[2] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
 def labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -233,31 +332,32 @@ def fit(documents: DataFrame, labels: DataFrame) -> Examples:
     """The example index; feature frequencies are counted over all documents."""
     spark = documents.sparkSession
     rows = sorted((r[0], r[1], r[2]) for r in labelled(documents, labels).dropDuplicates(["doc_id"]).collect())
-    seen: dict[tuple, list[int]] = {}
-    for _, text, abusive in rows:
+    seen: dict[tuple, list] = {}
+    for doc, text, abusive in rows:
         for words in {tuple(words) for words in passages(text)}:
-            counts = seen.setdefault(words, [0, 0])
+            counts = seen.setdefault(words, [0, 0, []])
             counts[0] += abusive
             counts[1] += 1
+            counts[2].append(doc)
     texts = [list(words) for words in seen]
     vocabulary: dict[str, int] = {}
     for words in texts:
         for f in features(words):
             vocabulary.setdefault(f, len(vocabulary))
-    shared = spark.sparkContext.broadcast(vocabulary)
+    shared = spark.sparkContext.broadcast(Values(vocabulary))
+
+    size = len(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        total = np.zeros(len(known) + 1, np.int64)
+        total = np.zeros(size + 1, np.int64)
         for batch in batches:
             found: list[int] = []
             for text in batch.column(0).to_pylist():
-                own = {known.get(f) for words in passages(text) for f in features(words)}
-                own.discard(None)
-                found.extend(own)
+                found.extend({f for words in passages(text) for f in known.of(words)})
                 total[-1] += 1
             if found:
-                total[:-1] += np.bincount(np.array(found), minlength=len(known))
+                total[:-1] += np.bincount(np.array(found), minlength=size)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], names=["f", "n"])
 
@@ -267,41 +367,58 @@ def fit(documents: DataFrame, labels: DataFrame) -> Examples:
         df[f] = n
     docs = max(1.0, df[-1])
     idf = np.log((1 + docs) / (1 + df[:-1])) + 0.1
-    counted = np.array(list(seen.values()) or np.zeros((0, 2)))
-    return Examples(texts, counted[:, 0], counted[:, 1], vocabulary, idf, float(np.log(1 + docs)) + 0.1).edited()
+    counted = np.array([x[:2] for x in seen.values()] or np.zeros((0, 2)))
+    return Examples(texts, counted[:, 0], counted[:, 1], vocabulary, idf, float(np.log(1 + docs)) + 0.1, [tuple(x[2]) for x in seen.values()]).edited()
+
+
+def held_out_scores(documents: DataFrame, labels: DataFrame, shared) -> DataFrame:
+    """``(doc_id, abusive, score)`` of the labelled sample, each document scored without its own passages."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_best_passage(shared.value, t, d)[0] for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.float64())], names=["doc_id", "abusive", "score"])
+
+    return labelled(documents, labels).select("doc_id", "text", "abusive").mapInArrow(score, f"doc_id {kind}, abusive boolean, score double")
 
 
-def abuse_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, source, score, passage, evidence)`` for every document.
+def abuse_scores(documents: DataFrame, labels: DataFrame, calibrate: bool = False) -> DataFrame:
+    """``(doc_id, source, score, passage, evidence)`` for every document, with ``calibrate`` also ``probability``.
 
     The score is that of the worst passage, 0 for a null, empty or blank text; ``passage``
     (its words) and ``evidence`` (the words of the nearest abusive example) are null where
-    the score is 0. Without any abusive label all scores are 0. Labels other than 0 and 1
-    and those of unknown documents are ignored.
+    the score is 0. ``probability`` is the share of abusive labels among labelled documents of
+    such a score, which were scored without their own passages; null without any labels.
+    Without any abusive label all scores are 0. Labels other than 0 and 1 and those of unknown
+    documents are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
     kind = documents.schema["doc_id"].dataType.simpleString()
+    steps: tuple[np.ndarray, np.ndarray] = np.zeros(0), np.zeros(0)
+    if calibrate:
+        held = [(r[0], r[1]) for r in held_out_scores(documents, labels, shared).select("score", "abusive").collect()]  # MOST_ABUSIVE + MOST_OTHER rows
+        steps = calibrated(np.array([x for x, _ in held]), np.array([y for _, y in held], float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = shared.value
         for batch in batches:
-            parts, owner = _passage_batch(batch.column(2).to_pylist())
-            best: list[tuple[float, int, int]] = [(0.0, -1, -1)] * batch.num_rows
-            for k, (value, nearest) in enumerate(examples.score(parts)):
-                if value > best[owner[k]][0]:
-                    best[owner[k]] = value, k, nearest
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array([b[0] for b in best], pa.float64()),
-                    pa.array([" ".join(parts[b[1]]) if b[1] >= 0 else None for b in best], pa.string()),
-                    pa.array([" ".join(examples.texts[b[2]]) if b[2] >= 0 else None for b in best], pa.string()),
-                ],
-                names=["doc_id", "source", "score", "passage", "evidence"],
-            )
-
-    return documents.select("doc_id", "source", "text").mapInArrow(score, f"doc_id {kind}, source string, score double, passage string, evidence string")
+            best = [_best_passage(examples, t) for t in batch.column(2).to_pylist()]
+            values = np.array([b[0] for b in best])
+            place = np.minimum(np.searchsorted(steps[0], values), max(0, len(steps[0]) - 1))
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array(values, pa.float64()),
+                pa.array([" ".join(b[1]) if b[2] >= 0 else None for b in best], pa.string()),
+                pa.array([" ".join(examples.texts[b[2]]) if b[2] >= 0 else None for b in best], pa.string()),
+                pa.array(steps[1][place], pa.float64()) if len(steps[0]) else pa.nulls(batch.num_rows, pa.float64()),
+            ]
+            names = ["doc_id", "source", "score", "passage", "evidence", "probability"]
+            yield pa.RecordBatch.from_arrays(columns if calibrate else columns[:5], names=names if calibrate else names[:5])
+
+    schema = f"doc_id {kind}, source string, score double, passage string, evidence string" + (", probability double" if calibrate else "")
+    return documents.select("doc_id", "source", "text").mapInArrow(score, schema)
 
 
 def abuse_rates(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -83,7 +83,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return abuse.abuse_scores(table(spark, d, "documents"), table(spark, d, "labels"), calibrate=True)
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:

@@ -23,9 +23,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataline.core.runtime import cores
+
 #: Labelled documents that examples are taken from, at most, in the order of a hash of their id.
 MOST_ABUSIVE, MOST_OTHER = 1_200, 6_000
 NEIGHBOURS = 11
@@ -50,18 +52,21 @@ _TO_FOLD = re.compile("[" + "".join(re.escape(chr(c)) for c in _FOLDED) + "]")
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[re.Pattern, np.ndarray, np.ndarray]:
-    """Combining marks; which code points are letters or digits; which ASCII ones part spaced letters."""
-    points = np.array([c for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))])
-    ranges = np.split(points, np.flatnonzero(np.diff(points) != 1) + 1)
-    marks = re.compile("[" + "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in ranges) + "]+")
-    return marks, np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1), np.isin(np.arange(128), [ord(c) for c in " .-_*"])
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which code points are combining marks; which are letters or digits; which ASCII ones part spaced letters."""
+    points = [chr(c) for c in range(sys.maxunicode + 1)]
+    marks, alnum = (np.fromiter(map(f, points), bool, len(points)) for f in (unicodedata.combining, str.isalnum))
+    return marks, alnum, np.isin(np.arange(128), [ord(c) for c in " .-_*"])
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _text(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("ascii") if codes.dtype == np.uint8 else codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
 def plain_text(text: str) -> str:
     """A text in lower case with its disguises taken off: look-alikes, stretched and spaced letters, accents, invisible characters."""
     marks, alnum, parting = _tables()
@@ -70,9 +75,10 @@ def plain_text(text: str) -> str:
     text = text.lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.translate(_FOLDED) if _TO_FOLD.search(text) else text)
-        if not text.isascii():
-            text = marks.sub("", text)
     codes = _codes(text)
+    if codes.dtype != np.uint8 and (mark := marks[codes]).any():
+        codes = codes[~mark]
+        text = ""
     letter = alnum[codes]
     alone = letter.copy()
     alone[1:] &= ~letter[:-1]
@@ -80,13 +86,11 @@ def plain_text(text: str) -> str:
     # Three single letters with a parting character between them make a spaced word.
     three = np.flatnonzero(alone[:-4] & alone[2:-2] & alone[4:])
     if len(three) and (parting[np.minimum(codes[three + 1], 127)] & parting[np.minimum(codes[three + 3], 127)]).any():
-        text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
+        text = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text or _text(codes))
         codes = _codes(text)
     once = np.ones(len(codes), bool)
     once[1:] = (codes[1:] != codes[:-1]) | (codes[1:] == 10)
-    if once.all():
-        return text
-    return codes[once].tobytes().decode("ascii" if codes.dtype == np.uint8 else "utf-32-le", "surrogatepass")
+    return text if text and once.all() else _text(codes[once])
 
 
 def _words(plain: str) -> list[str]:
@@ -162,8 +166,8 @@ class Examples:
     def __init__(
         self, texts: list[list[str]], abusive: np.ndarray, documents: np.ndarray, vocabulary: dict[str, int], idf: np.ndarray, unknown: float, owners: list[tuple] | None = None
     ):
-        # Like examples share a block, which keeps the maxima low. Of each distinct passage: in how many abusive documents it stands, and in how many at all.
-        order = sorted(range(len(texts)), key=lambda k: texts[k][:3])
+        # Like examples share a block, which keeps the maxima low, and those of abusive documents come first. Of each distinct passage: in how many abusive documents it stands, and in how many at all.
+        order = sorted(range(len(texts)), key=lambda k: (not abusive[k], texts[k][:3]))
         self.texts = [texts[k] for k in order]
         self.abusive, self.documents = (np.asarray(x, np.float64)[order] for x in (abusive, documents))
         self.owners = [owners[k] for k in order] if owners else [()] * len(texts)
@@ -211,8 +215,10 @@ class Examples:
         np.maximum.at(best, self.post_feature[bad], self.post_weight[bad])
         names = list(self.vocabulary)
         self.reach = Values({names[k]: float(best[k]) ** 2 for k in np.flatnonzero(best)})
-        self.bad_block = np.zeros(self.blocks, bool)
-        self.bad_block[np.flatnonzero(self.labels) // BLOCK] = True
+        # Segments of the blocks that hold abusive examples, which are the first ones of every posting list.
+        self.bad_blocks = int(np.flatnonzero(self.labels).max(initial=-1)) // BLOCK + 1
+        early = np.concatenate([[0], np.cumsum(self.seg_block < self.bad_blocks)])
+        self.bad_segments = early[self.seg_at[1:]] - early[self.seg_at[:-1]]
 
     def near(self, words: list[str]) -> bool:
         """Whether a passage may be similar to an abusive example at all.
@@ -225,35 +231,40 @@ class Examples:
     def nearest(self, ids: np.ndarray, w: np.ndarray, without: object = None, only_bad: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples of a passage and their similarities, of at least ``NEAR``; none where no abusive one can be that near."""
         none = np.zeros(0, np.int64), np.zeros(0, np.float32)
+        if only_bad:
+            counts = self.bad_segments[ids]
+            seg = np.repeat(self.seg_at[ids] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            if not len(seg) or np.bincount(self.seg_block[seg], np.repeat(w, counts) * self.seg_max[seg]).max() < NEAR - 1e-6:
+                return none
         counts = self.seg_at[ids + 1] - self.seg_at[ids]
-        if not counts.sum():
-            return none
         seg = np.repeat(self.seg_at[ids] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         weight = np.repeat(w.astype(np.float32), counts)
-        bounds = np.bincount(self.seg_block[seg], weight * self.seg_max[seg], self.blocks)
-        open_ = bounds >= NEAR - 1e-6
-        if only_bad and not (open_ & self.bad_block).any():
-            return none
+        block = self.seg_block[seg]
+        bounds = np.bincount(block, weight * self.seg_max[seg], self.blocks)
+        live = np.flatnonzero((bounds >= NEAR - 1e-6)[block])
+        seg, weight, block = seg[live], weight[live], block[live]
         found, scores, worst = [], [], NEAR
-        rest = np.flatnonzero(open_)
+        rest = np.flatnonzero(bounds >= NEAR - 1e-6)
         rest = rest[np.argsort(-bounds[rest])]
-        step = 2
+        step = 8
         while len(rest) and bounds[rest[0]] >= worst - 1e-6:
             now, rest = rest[:step], rest[step:]
-            step *= 2
+            step *= 4
             chosen = np.zeros(self.blocks, bool)
             chosen[now] = True
-            own = np.flatnonzero(chosen[self.seg_block[seg]])
+            own = np.flatnonzero(chosen[block])
             sizes = self.seg_size[seg[own]]
             at = np.repeat(self.seg_start[seg[own]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            rows = self.post_row[at].astype(np.int64)
-            order = np.argsort(rows, kind="stable")
-            rows = rows[order]
-            heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            sums = np.add.reduceat((np.repeat(weight[own], sizes) * self.post_weight[at])[order], heads)
+            place = np.zeros(self.blocks, np.int64)
+            place[now] = np.arange(len(now))
+            rows = self.post_row[at]
+            sums = np.bincount(place[rows // BLOCK] * BLOCK + rows % BLOCK, np.repeat(weight[own], sizes) * self.post_weight[at], len(now) * BLOCK)
             hit = np.flatnonzero(sums >= NEAR)
-            hit = hit[np.array([self.owners[k] != (without,) for k in rows[heads][hit]], bool)] if without is not None and len(hit) else hit
-            found.append(rows[heads][hit])
+            rows = now[hit // BLOCK] * BLOCK + hit % BLOCK
+            if without is not None and len(hit):
+                other = np.array([self.owners[k] != (without,) for k in rows], bool)
+                hit, rows = hit[other], rows[other]
+            found.append(rows)
             scores.append(sums[hit])
             all_ = np.concatenate(scores)
             if len(all_) >= NEIGHBOURS:
@@ -275,9 +286,8 @@ class Examples:
         votes = scores.astype(np.float64) ** 2
         return float(votes[bad].sum() / votes.sum()), int(near[bad][np.argmax(scores[bad])])
 
-    def edited(self) -> Examples:
-        """Examples that keep the label abusive only where their neighbours, and their own other documents, share it."""
-        around = {k: self.nearest(*self.vector(self.texts[k]), only_bad=False) for k in np.flatnonzero(self.labels).tolist()}
+    def edited(self, around: dict[int, tuple[np.ndarray, np.ndarray]]) -> Examples:
+        """Examples that keep the label abusive only where their neighbours, and their own other documents, share it; ``around`` has the neighbours of those labelled so."""
         for _ in range(EDITS):
             trusted = np.where(self.labels, self.abusive, 0.0)  # what the former round left
             new = self.labels.copy()
@@ -368,7 +378,24 @@ def fit(documents: DataFrame, labels: DataFrame) -> Examples:
     docs = max(1.0, df[-1])
     idf = np.log((1 + docs) / (1 + df[:-1])) + 0.1
     counted = np.array([x[:2] for x in seen.values()] or np.zeros((0, 2)))
-    return Examples(texts, counted[:, 0], counted[:, 1], vocabulary, idf, float(np.log(1 + docs)) + 0.1, [tuple(x[2]) for x in seen.values()]).edited()
+    examples = Examples(texts, counted[:, 0], counted[:, 1], vocabulary, idf, float(np.log(1 + docs)) + 0.1, [tuple(x[2]) for x in seen.values()])
+    return examples.edited(_around(spark, examples))
+
+
+def _around(spark: SparkSession, examples: Examples) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The neighbours of each example labelled abusive, found by the executors; a bounded sample, as the examples are."""
+    shared = spark.sparkContext.broadcast(examples)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            found = [own.nearest(*own.vector(own.texts[k]), only_bad=False) for k in batch.column(0).to_pylist()]
+            rows, scores = (pa.array([x[i].tolist() for x in found], kind) for i, kind in ((0, pa.list_(pa.int64())), (1, pa.list_(pa.float64()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows, scores], names=["id", "near", "scores"])
+
+    bad = int(np.flatnonzero(examples.labels).max(initial=-1)) + 1  # these come first
+    out = spark.range(0, bad, 1, cores(spark)).mapInArrow(search, "id bigint, near array<bigint>, scores array<double>").collect() if bad else []
+    return {r[0]: (np.array(r[1], np.int64), np.array(r[2])) for r in out}
 
 
 def held_out_scores(documents: DataFrame, labels: DataFrame, shared) -> DataFrame:

@@ -1,10 +1,12 @@
 """Token ids of a corpus by a public byte-level BPE vocabulary.
 
-Pre-tokenisation works on arrays: every code point has a class, and the places where a
-token starts are found by comparisons of neighbouring classes and a few associative scans
-(run starts, contraction matches resolved left to right), so no regular expression runs
-over the text. Each slice is then looked up in a cache of merged pieces; only unseen slices
-are merged. Slices keep their offsets, which ``encode_with_offsets`` returns for decoding.
+Pre-tokenisation works on the code points of a whole batch as one array: every code point
+has a class, and the places where a token starts follow from neighbouring classes. What
+depends on all that stands before, whether an apostrophe begins a token, is a transition
+function of each candidate, and a prefix scan composes these by doubling; so no regular
+expression and no loop runs over the texts. Each slice is then looked up in a cache of merged
+pieces; only unseen slices are merged. Slices keep their offsets, which
+``encode_with_offsets`` returns for decoding.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +47,23 @@ def _classes() -> np.ndarray:
     return table
 
 
-def token_starts(codes: np.ndarray) -> np.ndarray:
-    """Start of each pre-token of a text given as code points.
+def composed(keep: np.ndarray, set_: np.ndarray) -> np.ndarray:
+    """State after each of a row of transition functions ``state -> set or (keep and state)``, from a state of false.
+
+    Such functions are closed under composition, which is associative, so all prefixes are
+    composed by doubling: after round k each function covers 2**k predecessors.
+    """
+    keep, set_ = keep.copy(), set_.copy()
+    step = 1
+    while step < len(keep) and keep[step:].any():
+        set_[step:], keep[step:] = set_[step:] | (keep[step:] & set_[:-step]), keep[step:] & keep[:-step]
+        keep[:step] = False  # these reach the beginning
+        step *= 2
+    return set_
+
+
+def token_starts(codes: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Start of each pre-token of texts given as code points, one text after the other; ``first`` has where texts begin.
 
     A run of one class is a token; one plain space before a run of another class belongs
     to that run; the last character of a longer run of white space is split off when
@@ -55,51 +73,55 @@ def token_starts(codes: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int64)
     kind = _classes()[codes]
-    fresh = np.ones(n, dtype=bool)
-    fresh[1:] = kind[1:] != kind[:-1]
+    begins = np.zeros(n + 1, dtype=bool)
+    begins[0] = begins[n] = True
+    if first is not None:
+        begins[first] = True
+    start = begins[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
     space = kind == _SPACE
-    start = fresh.copy()
     # The last white space before something else: a plain space joins what follows,
     # another kind stands alone.
     last = np.zeros(n, dtype=bool)
-    last[:-1] = space[:-1] & ~space[1:]
+    last[:-1] = space[:-1] & ~space[1:] & ~begins[1:n]
     start |= last
     start[1:] &= ~(last[:-1] & (codes[:-1] == 32))
-    # Contractions: an apostrophe that starts a token (after a letter or number run, or
-    # after a former contraction) and is followed by one of the endings.
     quotes = np.flatnonzero(codes == 39)
     if len(quotes):
-        _contract(codes, kind, start, quotes)
+        _contract(codes, kind, begins, start, quotes)
     return np.flatnonzero(start)
 
 
-def _contract(codes: np.ndarray, kind: np.ndarray, start: np.ndarray, quotes: np.ndarray) -> None:
+def _contract(codes: np.ndarray, kind: np.ndarray, begins: np.ndarray, start: np.ndarray, quotes: np.ndarray) -> None:
+    """Contractions: an apostrophe that starts a token, of itself or right behind a former contraction, and one of the endings after it."""
     n = len(codes)
     length = np.zeros(len(quotes), dtype=np.int64)
     for ending in reversed(_CONTRACTIONS):
         hit = quotes + len(ending) < n
         for k, c in enumerate(ending, 1):
-            hit &= codes[np.minimum(quotes + k, n - 1)] == ord(c)
+            place = np.minimum(quotes + k, n - 1)
+            hit &= (codes[place] == ord(c)) & ~begins[place]
         length[hit] = len(ending)
-    for at, size in zip(quotes[length > 0].tolist(), length[length > 0].tolist()):
-        if not start[at]:
-            continue  # inside a run of other characters, or after a space that joined it
-        end = at + 1 + size
-        start[at + 1 : end] = False
-        if end < n and not (kind[end] == _SPACE):
-            start[end] = True
+    at, size = quotes[length > 0], length[length > 0]
+    if not len(at):
+        return
+    end = at + 1 + size
+    behind = np.zeros(len(at), dtype=bool)
+    behind[1:] = (end[:-1] == at[1:]) & ~begins[at[1:]]
+    taken = composed(behind, start[at])
+    at, end = at[taken], end[taken]
+    for k in range(1, 1 + max(map(len, _CONTRACTIONS))):
+        inside = at + k
+        start[inside[inside < end]] = False
+    end = end[end < n]
+    start[end[kind[end] != _SPACE]] = True
 
 
 class ByteBPE:
     """Cached pair merging by the ranks of a vocabulary file."""
 
-    def __init__(self, path: str):
-        self.ranks: dict[bytes, int] = {}
-        with open(path, "rb") as lines:
-            for line in lines:
-                if line.strip():
-                    token, rank = line.split()
-                    self.ranks[base64.b64decode(token)] = int(rank)
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -161,17 +183,14 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the end of each text's ids."""
-        ids: list[int] = []
-        ends = np.zeros(len(texts), dtype=np.int64)
-        # One array for the batch: texts are kept apart by forcing a start at each.
-        piece, add = self.piece, ids.extend
-        for k, text in enumerate(texts):
-            if text:
-                starts = token_starts(_codes(text)).tolist()
-                for a, b in zip(starts, [*starts[1:], len(text)]):
-                    add(piece(text[a:b]))
-            ends[k] = len(ids)
-        return np.array(ids, dtype=np.int32), ends
+        held = [t or "" for t in texts]
+        joined = "".join(held)
+        first = np.cumsum([0, *map(len, held)])
+        starts = token_starts(_codes(joined), first[:-1][first[:-1] < len(joined)])
+        piece = self.piece
+        pieces = [piece(joined[a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(joined)])]
+        ends = np.cumsum([0, *map(len, pieces)])[np.searchsorted(starts, first[1:])]
+        return np.fromiter(chain.from_iterable(pieces), dtype=np.int32), ends
 
     def decode(self, ids: list[int]) -> str:
         tokens = {v: k for k, v in self.ranks.items()}
@@ -182,13 +201,25 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-_LOADED: dict[str, ByteBPE] = {}
+def vocabulary_ranks(path: str) -> dict[bytes, int]:
+    """Rank of each token of a vocabulary file."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+@lru_cache(maxsize=4)
 def tokenizer(path: str = DEFAULT_VOCABULARY) -> ByteBPE:
-    """The vocabulary of a path, read once in each Python worker."""
+    """The tokenizer of a vocabulary file."""
+    return ByteBPE(vocabulary_ranks(path))
+
+
+_LOADED: dict[str, ByteBPE] = {}
+
+
+def _of_worker(path: str, shared) -> ByteBPE:
+    """The tokenizer of a broadcast vocabulary, made once in each Python worker."""
     if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
+        _LOADED[path] = ByteBPE(shared.value)
     return _LOADED[path]
 
 
@@ -197,16 +228,17 @@ def encode_corpus(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, ke
 
     An empty and a null text both give an empty list, a blank text is encoded as it is, and
     strings that look like special tokens are ordinary text. A null or repeated key is kept
-    as it stands. ``vocabulary`` is a ranks file that every executor can read. Work is per
-    row, so there is no shuffle.
+    as it stands. ``vocabulary`` is a ranks file that the driver can read; its 50,000 entries
+    are broadcast. Work is per row, so there is no shuffle.
     """
     kind = documents.schema[key].dataType.simpleString()
+    shared = documents.sparkSession.sparkContext.broadcast(tokenizer(vocabulary).ranks)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = tokenizer(vocabulary)
+        bpe = _of_worker(vocabulary, shared)
         for batch in batches:
             flat, ends = bpe.encode_batch(batch.column(1).to_pylist())
-            offsets = pa.array(np.concatenate([[0], ends]), type=pa.int32())
+            offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[key, "ids"])
 
     return documents.select(key, F.col(text)).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")

@@ -48,3 +48,44 @@ def test_edges(spark):
     out = leakage.leaked_items(docs, items).select("doc_id", "item_id").distinct().collect()
     assert {tuple(r) for r in out} == {(1, 7), (None, 7)}
     assert leakage.leaked_items(docs.limit(0), items).count() == 0 and leakage.leaked_items(docs, items.limit(0)).count() == 0
+
+
+def test_separate_runs_are_no_longer_run():
+    item = [f"q{k}" for k in range(36)]
+    text = " ".join([*item[0:10], "x", *item[11:21], "y", *item[22:32]])
+    index = leakage.BlockMaxIndex([(1, " ".join(item))])
+    assert [(i, r) for _, i, _, r, _, _ in leakage.search_texts(index, [text])] == [(0, 10)]
+    assert leakage.search_texts(index, [" ".join(item[3:20])])[0][3] == 17
+    assert abs(leakage.search_texts(index, [text])[0][4] - 30 / 36) < 1e-9
+
+
+def test_question_and_answer_are_told_apart():
+    text = "Which of the seven old bridges did the three clockmakers cross at noon? It was the second one from the northern gate of the town"
+    index = leakage.BlockMaxIndex([(1, text)])
+    question, answer = text.split("?")
+    assert leakage.search_texts(index, [question])[0][5] == 0.0
+    assert leakage.search_texts(index, [answer])[0][5] == 1.0
+
+
+def test_runs_across_passages_and_in_long_texts():
+    rnd = random.Random(2)
+    items = [(k, " ".join(f"w{rnd.randrange(400)}" for _ in range(30))) for k in range(300)]
+    texts = []
+    for k in range(200):
+        w = [f"w{rnd.randrange(400)}" for _ in range(rnd.randrange(300))]
+        own = words(items[k][1])
+        at = rnd.randrange(len(w) + 1)
+        w[at:at] = own[5:15]
+        texts.append(" ".join(w))
+    index = leakage.BlockMaxIndex(items)
+    found = {(d, index.ids[i]) for d, i, *_ in leakage.search_texts(index, texts)}
+    assert found == brute(list(enumerate(texts)), items)
+
+
+def test_an_index_of_many_items_stays_small():
+    import pickle
+
+    rnd = random.Random(4)
+    items = [(k, " ".join(f"w{int(rnd.paretovariate(0.6)) % 50_000}" for _ in range(40))) for k in range(5_000)]
+    index = leakage.BlockMaxIndex(items)
+    assert len(pickle.dumps(index)) < 10_000 * len(items)  # 1 GB for 100,000

@@ -36,12 +36,12 @@ def keywords(df: DataFrame, words: Sequence[str]) -> DataFrame:
     return df.where(keyword_predicate(words, F.col("content")))
 
 
-def bm25_rerank(df: DataFrame, queries: DataFrame, top_n: int = 0, sparse_weight: float = 0.5, k1: float = K1, b: float = B, compat: bool = False) -> DataFrame:
+def bm25_rerank(df: DataFrame, queries: DataFrame, top_n: int = 0, sparse_weight: float = 0.5, k1: float = K1, b: float = B, stopwords: Sequence[str] = (), compat: bool = False) -> DataFrame:
     """BM25 over each result list alone, as it is, blended with the similarity, best first; ``top_n`` of 0 keeps all.
 
     ``compat`` keeps the list's former order and, with ``top_n`` of 0, returns nothing.
     """
-    sparse = bm25_scores(queries, df.select("id", "content", "query_id"), k1, b, by=["query_id"])
+    sparse = bm25_scores(queries, df.select("id", "content", "query_id"), k1, b, stopwords, by=["query_id"])
     sparse = sparse.select("query_id", "id", F.col("score").alias("_sparse"))
     out = df.join(sparse, ["query_id", "id"], "left").withColumn("_sparse", F.coalesce("_sparse", F.lit(0.0)))
     if compat:

@@ -101,3 +101,13 @@ def embedded(df: DataFrame, embedder: Embedder, text: str = "content", out: str
             yield pd.Series(retried(lambda texts=texts: embedder.embed(texts.tolist())))
 
     return df.withColumn(out, embed(F.coalesce(F.when(F.col(text) != "", F.col(text)), F.lit("<no content>"))))
+
+
+def embedded_with(df: DataFrame, embed: Callable[[Sequence[str]], list[list[float]]], text: str, out: str) -> DataFrame:
+    """The frame with a vector of each text by a function of texts."""
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series(retried(lambda: embed(texts.fillna("").tolist())))
+
+    return df.withColumn(out, vectors(text))

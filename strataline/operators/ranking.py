@@ -8,19 +8,23 @@ joined only to the rows that were kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataline.functions.scalars import cosine, dot, minmax, norm, space_tokens, without_stopwords
+from strataline.operators.providers import LLM
 
 TOP_K = 10
 SUBQUERY_TOP_K = 3
+#: Datasets that a model may choose from, where a flow names none.
+MOST_ROUTES = 1_000
 K1, B = 1.2, 0.75
 #: Queries scored in one pass over the chunks. A larger set is scored in several.
 QUERY_BATCH = 1_000
@@ -217,6 +221,31 @@ def nearest_one(chunks: DataFrame, vector: Sequence[float], k: int = TOP_K) -> D
 
 # --- BM25 -----------------------------------------------------------------------------
 
+# The most frequent words of four languages, fixed lists.
+LANGUAGE_STOPWORDS = {
+    "en": "a an and are as at be but by for from has have if in into is it its no not of on or our that the their then there these they this to was we were will with you".split(),
+    "fr": "à au aux avec ce ces dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas pour que qui sa se ses son sur un une vous".split(),
+    "de": "aber als am an auch auf aus bei bis das dass dem den der des die durch ein eine einem einen einer er es für im in ist mit nach nicht oder sich sie sind so um und von vor war wie wir zu zum zur".split(),
+    "es": "a al como con de del el ella en es esta este la las lo los más no o para pero por que se si sin sobre su sus un una y ya".split(),
+}
+
+
+def cleaned_tokens(text: Column, stopwords: Sequence[str]) -> Column:
+    """Tokens of a text without stop words: given ones, those of languages named by their codes, or for ``auto`` those of the language whose stop words the text has most of."""
+    tokens = space_tokens(text)
+    given = [w for w in stopwords if w != "auto" and w not in LANGUAGE_STOPWORDS]
+    named = [w for code in stopwords if code in LANGUAGE_STOPWORDS for w in LANGUAGE_STOPWORDS[code]]
+    if list(stopwords)[:1] != ["auto"]:
+        return without_stopwords(tokens, [*given, *named])
+    lowered = F.transform(tokens, F.lower)
+    among = lambda words: F.size(F.filter(lowered, lambda t: t.isin(words)))
+    hits = {code: among(words) for code, words in LANGUAGE_STOPWORDS.items()}
+    most = F.greatest(*hits.values())
+    out = F.when(most == 0, tokens)
+    for code, words in LANGUAGE_STOPWORDS.items():
+        out = out.when(hits[code] == most, without_stopwords(tokens, words))
+    return out
+
 
 def bm25_idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
@@ -231,7 +260,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, k1: float = K1, b: float
     its length stays with it.
     """
     by = list(by)
-    tokens = without_stopwords(space_tokens(F.col("content")), stopwords)
+    tokens = cleaned_tokens(F.col("content"), stopwords)
     sized = chunks.where(F.col("content").isNotNull()).select("id", *by, tokens.alias("_t")).withColumn("_len", F.size("_t"))
     stats = sized.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     asked = queries.select("query_id", *[c for c in by if c in queries.columns], F.explode(space_tokens(F.col("query"))).alias("term"))
@@ -359,6 +388,52 @@ def bm25_corpus(chunks: DataFrame, stopwords: Sequence[str] = ()) -> tuple[DataF
     return overall, sized.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
+_SPLIT = "Split this search query into at most {limit} queries, one for each topic in it. Answer with a JSON list of them; a query of one topic stays as it is.\n"
+_ROUTE = "Which one of these datasets should be searched for the query? {names}\nAnswer with the name only.\n"
+
+
+@dataclass
+class Subqueries:
+    """Dense search of the parts that a model splits each query into, fused by the best score."""
+
+    llm: LLM
+    embed: Callable[[Sequence[str]], list[list[float]]] | None = None
+    limit: int = 3
+    top_k: int = SUBQUERY_TOP_K
+    normalised: bool = True
+
+    def retrieve(self, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+        from strataline.operators.providers import embedded_with
+        from strataline.operators.rewrite import generic
+
+        if self.embed is None:
+            raise ValueError("subqueries need an embedder")
+        parts = generic(queries.select("query_id", "query"), self.llm, _SPLIT.format(limit=self.limit))
+        parts = embedded_with(parts.where(F.col("subquery_no") < self.limit), self.embed, "query", "vector")
+        return subquery_search(queries, parts.select("query_id", "subquery_no", "vector"), chunks, self.limit, self.top_k)
+
+
+@dataclass
+class Routed:
+    """Dense search of each query in the dataset that a model names; one that it does not know is an error of that query, which then finds nothing."""
+
+    llm: LLM
+    datasets: Sequence[str] = ()
+    top_k: int = TOP_K
+    normalised: bool = True
+
+    def retrieve(self, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+        names = list(self.datasets) or [r[0] for r in chunks.select("dataset").distinct().orderBy("dataset").limit(MOST_ROUTES).collect()]
+        llm, prompt = self.llm, _ROUTE.format(names=", ".join(names))
+
+        @F.pandas_udf("string")
+        def chosen(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: llm.prompt(prompt + t).strip())
+
+        routes = queries.select("query_id", chosen("query").alias("dataset")).where(F.col("dataset").isin(names))
+        return routed_search(queries.select("query_id", "vector"), routes, chunks, self.top_k)
+
+
 def check_embedding_model(datasets: DataFrame, dataset: str, model: str, prefer_new: bool = False) -> str:
     """The model to embed a query with: the one recorded for the dataset, unless the new one is preferred."""
     row = datasets.where(F.col("id") == dataset).select("embedding_model").first()

@@ -33,6 +33,8 @@ def split_tokens(df: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP
     if encode is None or decode is None:
         windows = token_windows(F.col("content"), size, overlap)
         return df.where(F.col("content") != "").select(*rest, F.posexplode(windows).alias("docIndex", "content"))
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
     step = size - overlap
 
     @F.pandas_udf("array<string>")
@@ -44,6 +46,18 @@ def split_tokens(df: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERLAP
     return df.where(F.col("content") != "").select(*rest, F.posexplode(cut("content")).alias("docIndex", "content"))
 
 
+def vocabulary_tokenizer(path: str, pattern: str) -> tuple[Callable[[str], list], Callable[[list], str]]:
+    """Encoder and decoder of a byte-level vocabulary file (base64 token and rank a line) with its public pre-token pattern, such as that of cl100k_base."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
+    encoding = tiktoken.Encoding(name=path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return encoding.encode_ordinary, encoding.decode
+
+
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
 

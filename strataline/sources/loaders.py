@@ -210,11 +210,72 @@ def pdf_pages(data: bytes, start_page: int = 1, max_pages: int = 0) -> list[Page
     return [(t, {"page": str(n), "totalPages": str(total), "docIndex": str(k)}) for k, (n, t) in enumerate(kept)]
 
 
+def pptx_pages(data: bytes) -> list[Page]:
+    """A document per slide."""
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = sorted((int(m.group(1)), n) for n in archive.namelist() if (m := re.fullmatch(r"ppt/slides/slide(\d+)\.xml", n)))
+        texts = [_paragraphs(ElementTree.fromstring(archive.read(n)), ("p",)) for _, n in names]
+    return [(t, {"page": str(k), "totalPages": str(len(texts))}) for k, t in enumerate(texts, 1)]
+
+
+def document_pages(data: bytes) -> list[Page]:
+    """An office document of any kind that can be told from its content."""
+    if data.startswith(b"{\\rtf"):
+        return rtf_pages(data)
+    if data.startswith(b"PK"):
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            names = set(archive.namelist())
+        if "word/document.xml" in names:
+            return docx_pages(data)
+        if "content.xml" in names:
+            return odt_pages(data)
+        if any(n.startswith("ppt/slides/") for n in names):
+            return pptx_pages(data)
+    raise ValueError("an old binary office document needs a converter" if data.startswith(b"\xd0\xcf\x11\xe0") else "no office document")
+
+
+def structured_pages(data: bytes) -> list[Page]:
+    """Documents of one structured JSON text, the parent's metadata under each child's."""
+    given = json.loads(data)
+    parent = given.get("metadata") or {}
+    out = []
+    for k, doc in enumerate(given.get("documents") or []):
+        meta = {**parent, **(doc.get("metadata") or {})}
+        meta.setdefault("docIndex", k)
+        out.append((doc.get("content"), {str(a): b if isinstance(b, str) else json.dumps(b) for a, b in meta.items()}))
+    return out
+
+
+#: Reads the text of a page image or of a whole file; set by ``use_ocr``.
+_OCR: list[OCR] = []
+
+
+def use_ocr(ocr: OCR | None) -> None:
+    """The provider that the OCR loaders ask."""
+    _OCR[:] = [ocr] if ocr else []
+
+
+def ocr_pages(data: bytes) -> list[Page]:
+    """A file read by the OCR provider, one document per form feed."""
+    if not _OCR:
+        raise ValueError("OCR is not available: no provider is set")
+    return [(t, {"page": str(k)}) for k, t in enumerate(_OCR[0].read(data).split("\f"), 1)]
+
+
+def smart_pages(data: bytes) -> list[Page]:
+    """A PDF's own text, and the OCR provider's where the file has an empty page or text for none."""
+    pages = pdf_pages(data)
+    if pages and all(t.strip() for t, _ in pages) or not _OCR:
+        return pages
+    return ocr_pages(data)
+
+
 LOADERS: dict[str, Callable[[bytes], list[Page]]] = {
     "plaintext": text_pages, "markdown": text_pages, "html": html_pages, "pdf": pdf_pages, "gopdf": pdf_pages, "mupdf": pdf_pages,
-    "csv": csv_pages, "notebook": notebook_pages, "docx": docx_pages, "odt": odt_pages, "rtf": rtf_pages,
+    "csv": csv_pages, "notebook": notebook_pages, "docx": docx_pages, "odt": odt_pages, "rtf": rtf_pages, "pptx": pptx_pages,
+    "document": document_pages, "structured": structured_pages, "smartpdf": smart_pages, "ocr_openai": ocr_pages,
 }
-DEFAULT_LOADER = {".pdf": "pdf", ".html": "html", ".md": "markdown", ".csv": "csv", ".ipynb": "notebook", ".docx": "docx", ".odt": "odt", ".rtf": "rtf"}
+DEFAULT_LOADER = {".pdf": "pdf", ".html": "html", ".md": "markdown", ".csv": "csv", ".ipynb": "notebook", ".docx": "docx", ".doc": "document", ".odt": "odt", ".rtf": "rtf", ".pptx": "pptx", ".ppt": "document", ".pages": "document"}
 
 
 def loader(name: str) -> Callable[[bytes], list[Page]]:
@@ -270,8 +331,10 @@ def load(df: DataFrame, name: str | None = None) -> DataFrame:
     """Documents of files ``(path, data)``, by the named loader or that of each file's type. A file that cannot be read gives one row of null content with the error in metadata."""
     if name is not None:
         loader(name)
+    ocr = list(_OCR)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_ocr(ocr[0] if ocr else None)
         for batch in batches:
             rows: list[tuple] = []
             for path, kind, data in zip(*(c.to_pylist() for c in batch.columns)):

@@ -289,3 +289,124 @@ def test_askdir_prunes_files_of_any_folder(spark, tmp_path):
     assert client.ask_directory(str(folder), "text").count() == 2
     (folder / "b" / "b.txt").unlink()
     assert [r.content for r in client.ask_directory(str(folder), "text").collect()] == ["text of a"]
+
+
+KEYS = """
+flows:
+  one:
+    default: true
+    ingestion:
+      - filetypes: [".txt", ".md"]
+        documentLoader: {name: textLoader}
+        textSplitter: {name: simpleSplitter}
+        transformers: [{name: transformer1}]
+    retrieval: {}
+  two:
+    ingestion:
+      - filetypes: [".json"]
+        documentLoader: {name: structured}
+        textSplitter: {name: text, options: {chunkSize: 40}}
+    retrieval: {}
+"""
+
+
+def test_flow_keys_in_camel_case_and_names_looked_up_on_use():
+    config = FlowConfig.parse(KEYS)
+    rule = config.flows["two"].ingestion_for(".json")
+    assert (rule.loader, rule.splitter, rule.splitter_options["chunkSize"]) == ("structured", "text", 40)
+    with pytest.raises(ConfigError):
+        config.flows["one"].ingestion_for(".txt")
+
+
+def _client(spark, root, text, llm=None):
+    from strataline.operators.providers import EchoLLM, HashingEmbedder
+    from strataline.plans.flow import Models
+
+    embedder = HashingEmbedder()
+    return Client(spark, str(root), embedder, FlowConfig.parse(text, Models(llm=llm or EchoLLM(), embed=embedder.embed)))
+
+
+def test_a_flow_changes_loader_splitter_and_types(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text(" ".join(f"w{k}" for k in range(30)))
+    (folder / "b.json").write_text(json.dumps({"metadata": {"m": "1"}, "documents": [{"content": "one two"}, {"content": "three"}]}))
+    (folder / "c.csv").write_text("n\n1\n")
+    spec = """
+flows:
+  f:
+    default: true
+    ingestion:
+      - {filetypes: [".txt"], textSplitter: {name: text, options: {chunkSize: 10, chunkOverlap: 5}}}
+      - {filetypes: [".json"], documentLoader: {name: structured}}
+"""
+    client = _client(spark, tmp_path / "root", spec)
+    client.ingest("d", str(folder))
+    rows = client.catalog.read("chunks", ["d"]).collect()
+    assert sorted(r.content for r in rows if "w0" not in r.content and "w" not in r.content[:1]) == ["one two", "three"]
+    assert sum(r.content.startswith("w") for r in rows) == 5 and len(rows) == 7
+    assert {r.metadata["m"] for r in rows if r.content == "three"} == {"1"}
+
+
+def test_query_modifiers_subqueries_routing_and_postprocessors(spark, tmp_path):
+    from strataline.operators.providers import EchoLLM
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, text in (("a", "red apple pie"), ("b", "blue whale song"), ("c", "green tea leaf")):
+        (folder / f"{name}.txt").write_text(text)
+
+    def answer(prompt):
+        if "Split" in prompt:
+            return json.dumps(["red apple", "blue whale"])
+        if "datasets" in prompt:
+            return "d"
+        return "no" if "tea" in prompt else "yes" if "yes or no" in prompt else prompt.rsplit("\n", 1)[-1].replace("appel", "apple")
+
+    base = "flows: {f: {default: true, retrieval: {%s}}}"
+    go = lambda spec, query, n: _client(spark, tmp_path / f"r{n}", base % spec, EchoLLM(answer))
+    cases = [
+        ("queryModifiers: [{name: spellcheck}], retriever: {name: basic, options: {topK: 1}}", "red appel", ["red apple pie"]),
+        ("retriever: {name: subquery, options: {limit: 2, topK: 2}}", "apples and whales", ["blue whale song", "red apple pie"]),
+        ("retriever: {name: routing, options: {topK: 1, availableDatasets: [d, e]}}", "blue whale", ["blue whale song"]),
+        ("retriever: {name: basic}, postprocessors: [{name: content_filter, options: {question: 'q', include: true}}, {name: cohere_rerank, options: {topN: 1}}]", "green apple tea pie", ["red apple pie"]),
+    ]
+    for n, (spec, query, want) in enumerate(cases):
+        client = go(spec, query, n)
+        client.ingest("d", str(folder))
+        assert sorted(r.content for r in client.retrieve(query, ["d"]).collect()) == want, spec
+
+
+def test_stop_words_of_the_language_of_each_text(spark):
+    from strataline.operators.ranking import cleaned_tokens
+
+    df = spark.createDataFrame([("the cat is on the mat",), ("le chat est dans la maison",), ("xyz",)], "t string")
+    assert [r[0] for r in df.select(cleaned_tokens(F.col("t"), ("auto",))).collect()] == [["cat", "mat"], ["chat", "maison"], ["xyz"]]
+
+
+def test_more_loaders_by_name():
+    slide = "<p:sld xmlns:p='p' xmlns:a='a'><a:p><a:r><a:t>Hello slide</a:t></a:r></a:p></p:sld>"
+    data = _zip(**{"ppt/slides/slide1.xml": slide})
+    assert loaders.loader("document")(data) == [("Hello slide", {"page": "1", "totalPages": "1"})] == loaders.loader("pptx")(data)
+    assert loaders.loader("structured")(b'{"documents": [{"content": "x"}]}') == [("x", {"docIndex": "0"})]
+    with pytest.raises(ValueError):
+        loaders.loader("ocr_openai")(b"image")
+
+    class Reader:
+        def read(self, image):
+            return "page one\fpage two"
+
+    loaders.use_ocr(Reader())
+    try:
+        assert [t for t, _ in loaders.loader("ocr_openai")(b"image")] == ["page one", "page two"]
+    finally:
+        loaders.use_ocr(None)
+
+
+def test_a_sheet_without_groups_is_numbered_in_buckets(spark):
+    from strataline.operators import lookup
+
+    lines = ["", "a", "b", "", "", "c", "", "d", "e", ""]
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, line string").repartition(3)
+    got = lookup.blank_row_tables(df, "n", F.col("line") == "", bucket=3).orderBy("n").collect()
+    assert [(r.line, r.table_no) for r in got] == [("a", 1), ("b", 1), ("c", 2), ("d", 3), ("e", 3)]

@@ -4,8 +4,8 @@ A document is as abusive as its worst passage. A passage is scored by its neares
 passages in exact TF-IDF cosine, each voting with the square of its similarity; the
 nearest one is the evidence. Examples lie in an inverted index whose blocks keep the
 largest weight of every feature. A passage that can reach no abusive example is settled by
-a bound; for the others the block maxima of their features bound every block, blocks are
-read from the best bound on, and what lies below the worst of the nearest is never read.
+a bound; for the others the block maxima of their features close most blocks, features that
+cannot make a passage near even together name no candidates, and only what is left is scored.
 
 Labels are of documents, noisy, and an abusive document is mostly harmless text. So the
 passages of abusive documents are edited by their own neighbours: those that look like
@@ -188,9 +188,10 @@ class Examples:
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         self.seg_at = np.searchsorted(col[heads], np.arange(len(vocabulary) + 1))
         self.seg_block = (row[heads] // BLOCK).astype(np.int64)
-        self.seg_start, self.seg_size = heads, np.diff(np.append(heads, len(key)))
+        self.post_at = np.searchsorted(col, np.arange(len(vocabulary) + 1))
+        self.post_key = col * len(texts) + row
+        self.most = np.maximum.reduceat(self.post_weight, self.post_at[:-1]).astype(np.float64) if len(vocabulary) else np.zeros(0)
         self.seg_max = np.maximum.reduceat(self.post_weight, heads) if len(heads) else np.zeros(0, np.float32)
-        self.post_feature = col
         self.bound()
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,7 +213,7 @@ class Examples:
         """Largest weight of each feature in abusive examples, and the blocks that hold any."""
         bad = self.labels[self.post_row]
         best = np.zeros(len(self.vocabulary), np.float32)
-        np.maximum.at(best, self.post_feature[bad], self.post_weight[bad])
+        np.maximum.at(best, self.post_key[bad] // len(self.texts), self.post_weight[bad])
         names = list(self.vocabulary)
         self.reach = Values({names[k]: float(best[k]) ** 2 for k in np.flatnonzero(best)})
         # Segments of the blocks that hold abusive examples, which are the first ones of every posting list.
@@ -238,42 +239,34 @@ class Examples:
                 return none
         counts = self.seg_at[ids + 1] - self.seg_at[ids]
         seg = np.repeat(self.seg_at[ids] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        weight = np.repeat(w.astype(np.float32), counts)
-        block = self.seg_block[seg]
-        bounds = np.bincount(block, weight * self.seg_max[seg], self.blocks)
-        live = np.flatnonzero((bounds >= NEAR - 1e-6)[block])
-        seg, weight, block = seg[live], weight[live], block[live]
-        found, scores, worst = [], [], NEAR
-        rest = np.flatnonzero(bounds >= NEAR - 1e-6)
-        rest = rest[np.argsort(-bounds[rest])]
-        step = 8
-        while len(rest) and bounds[rest[0]] >= worst - 1e-6:
-            now, rest = rest[:step], rest[step:]
-            step *= 4
-            chosen = np.zeros(self.blocks, bool)
-            chosen[now] = True
-            own = np.flatnonzero(chosen[block])
-            sizes = self.seg_size[seg[own]]
-            at = np.repeat(self.seg_start[seg[own]] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            place = np.zeros(self.blocks, np.int64)
-            place[now] = np.arange(len(now))
-            rows = self.post_row[at]
-            sums = np.bincount(place[rows // BLOCK] * BLOCK + rows % BLOCK, np.repeat(weight[own], sizes) * self.post_weight[at], len(now) * BLOCK)
-            hit = np.flatnonzero(sums >= NEAR)
-            rows = now[hit // BLOCK] * BLOCK + hit % BLOCK
-            if without is not None and len(hit):
-                other = np.array([self.owners[k] != (without,) for k in rows], bool)
-                hit, rows = hit[other], rows[other]
-            found.append(rows)
-            scores.append(sums[hit])
-            all_ = np.concatenate(scores)
-            if len(all_) >= NEIGHBOURS:
-                worst = max(NEAR, float(np.partition(all_, len(all_) - NEIGHBOURS)[len(all_) - NEIGHBOURS]))
-        if not found:
+        bounds = np.bincount(self.seg_block[seg], np.repeat(w, counts) * self.seg_max[seg], self.blocks)
+        open_ = bounds >= NEAR - 1e-6
+        # Features that cannot make a passage near even together name no candidates; they are looked up for those that the others name.
+        order = np.argsort(w * self.most[ids])
+        ids, w = ids[order], w[order].astype(np.float32)
+        reach = np.cumsum(w * self.most[ids])
+        few = int(np.searchsorted(reach, NEAR - 1e-6))
+        counts = self.post_at[ids[few:] + 1] - self.post_at[ids[few:]]
+        at = np.repeat(self.post_at[ids[few:]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        rows = self.post_row[at]
+        kept = np.flatnonzero(open_[rows // BLOCK])
+        if not len(kept):
             return none
-        rows, sums = np.concatenate(found), np.concatenate(scores)
-        top = np.lexsort((rows, -sums))[:NEIGHBOURS]
-        return rows[top], sums[top]
+        sums = np.bincount(rows[kept], np.repeat(w[few:], counts)[kept] * self.post_weight[at[kept]], len(self.texts))
+        rows = np.flatnonzero(sums >= NEAR - 1e-6 - (reach[few - 1] if few else 0.0))
+        rows = rows[sums[rows] > 0]
+        if without is not None and len(rows):
+            rows = rows[np.array([self.owners[k] != (without,) for k in rows], bool)]
+        if not len(rows):
+            return none
+        scores = sums[rows]
+        if few:
+            key = (ids[:few, None] * len(self.texts) + rows).ravel()
+            place = np.minimum(np.searchsorted(self.post_key, key), len(self.post_key) - 1)
+            scores = scores + (np.where(self.post_key[place] == key, self.post_weight[place], 0).reshape(few, -1) * w[:few, None]).sum(axis=0)
+        near = np.flatnonzero(scores >= NEAR)
+        top = near[np.lexsort((rows[near], -scores[near]))[:NEIGHBOURS]]
+        return rows[top], scores[top]
 
     def score(self, words: list[str], without: object = None) -> tuple[float, int]:
         """Share of the votes of the nearest examples that say abusive, and the nearest of those; ``without`` leaves out the passages of one document."""

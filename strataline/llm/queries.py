@@ -21,11 +21,11 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return scans.scan_noise(table(spark, d, "sqlite_vec"))
+    return scans.scan_noise(table(spark, d, "sqlite_vec"), table(spark, d, "smartpdf_config"))
 
 
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return scans.repair_pages(table(spark, d, "sqlite_vec"))
+    return scans.repair_pages(table(spark, d, "sqlite_vec"), table(spark, d, "smartpdf_config"))
 
 
 def _messages_and_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list]:

@@ -1,10 +1,13 @@
 """Repair of text from scanned pages: cut words, misread characters, running titles, page numbers.
 
-Misread words are corrected by a noisy channel: candidates of a word come from inverting
-character confusions, each with its probability, and a Viterbi pass over every line picks
-the sequence that maximises confusion probabilities times the word and word-pair
-likelihoods of the corpus. Running titles are found by joining the edge lines of the pages
-of a file on a form that look-alike characters do not change.
+Misread words are corrected by a noisy channel: the candidates of a word are the corpus
+words with the same strokes, a form that no character confusion changes; each has the
+probability of the confusions that lead to it, and a Viterbi pass over every line picks the
+sequence that maximises these times the word and word-pair likelihoods of the corpus.
+Counts of words and pairs stay a table of any size: groups of pages ask it for the strokes
+of their own words, and are decoded with what it answers. Running titles are found by
+joining the edge lines of the pages of a file on a form that look-alike characters do not
+change.
 """
 
 from __future__ import annotations
@@ -13,9 +16,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +34,10 @@ CONFUSIONS = [
     ("n", "u", 0.002), ("u", "n", 0.002), ("$", "s", 0.003), ("€", "e", 0.003), ("3", "e", 0.003), ("4", "a", 0.003), ("7", "t", 0.003), ("2", "z", 0.003),
     ("6", "é", 0.01), ("v", "y", 0.01), ("ii", "ü", 0.01), ("b", "ß", 0.01), ("6", "ó", 0.003), ("o", "ö", 0.002), ("a", "ä", 0.002), ("u", "ü", 0.002), ("f", "t", 0.002), ("t", "f", 0.002), ("q", "g", 0.003),
 ]
-MOST_EDITS = 3
-#: Most entries of the word and the word-pair model, the most frequent ones; all rows are counted.
-MODEL_WORDS, MODEL_PAIRS = 200_000, 600_000
+#: Pages that are decoded together.
+GROUP_PAGES = 2_000
+#: Bits of the filter of strokes that more than one word has; false ones only make pages ask for more.
+OPEN_BITS = 26
 LEAST_COUNT = 3
 #: A correction must be so many times as frequent as the word it replaces.
 LEAST_RATIO = 8.0
@@ -40,6 +46,21 @@ _BY_FORM: dict[str, list[tuple[str, str, float]]] = {}
 for _seen, _true, _share in CONFUSIONS:
     _BY_FORM.setdefault(_seen[0], []).append((_seen, _true, math.log(_share)))
 
+# What characters come to when all confusions are undone: letters as the strokes that they are drawn with.
+_STROKES = str.maketrans(
+    {c: "l" for c in "i1|r"} | {c: "ll" for c in "nuühb86ßéó"} | {"m": "lll", "d": "cl", "w": "vv", "y": "v", "q": "g", "9": "g", "2": "z", "7": "t", "†": "t", "f": "t"}
+    | {c: "c" for c in "e€3"} | {c: "o" for c in "0ö"} | {c: "s" for c in "5$"} | {c: "a" for c in "@4ä"}
+)
+
+
+def strokes(word: str) -> str:
+    """A form of a word that no confusion changes."""
+    return word.translate(_STROKES)
+
+
+def _key(*words: str) -> int:
+    return xxhash.xxh64_intdigest("\n".join(map(strokes, words))) - (1 << 63)
+
 _LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 # A word of a page: letters and digits, and the marks that stand for letters where they touch one.
 _TOKEN = re.compile(r"(?:[@†|$€](?=[^\W\d_]))?[^\W_]+(?:[@†|$€][^\W_]+)*(?:[@†|€](?![^\W_]))?")
@@ -50,11 +71,16 @@ _STRANGE = re.compile(r"[@†|$€]|\d")
 
 
 class Model:
-    """Word and word-pair counts of the corpus."""
+    """Word and word-pair counts of the corpus, as far as they are needed."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int]):
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int | None = None):
         self.words, self.pairs = words, pairs
-        self.total = max(1, sum(words.values()))
+        self.total = max(1, sum(words.values()) if total is None else total)
+        self.alike: dict[str, list[str]] = {}
+        for word, n in words.items():
+            if n >= LEAST_COUNT:
+                self.alike.setdefault(strokes(word), []).append(word)
+        self.known: dict[str, tuple[tuple[str, float], ...]] = {}
 
     def after(self, word: str, before: str | None) -> float:
         """Log likelihood of a word after another; unseen words have half a count."""
@@ -64,32 +90,42 @@ class Model:
         joint = self.pairs.get((before, word), 0) / self.words[before]
         return math.log(0.7 * joint + 0.3 * alone)
 
-    @lru_cache(maxsize=200_000)  # noqa: B019 - the model lives as long as its worker
     def candidates(self, word: str) -> tuple[tuple[str, float], ...]:
         """The word itself and the corpus words it may be a misreading of, with log probabilities."""
+        if word not in self.known:
+            self.known[word] = self._candidates(word)
+        return self.known[word]
+
+    def _candidates(self, word: str) -> tuple[tuple[str, float], ...]:
         own = self.words.get(word, 0)
-        odd = bool(_STRANGE.search(word))
-        if own >= 200 and own * 2000 >= self.total or word.isdigit() or not 3 <= len(word) <= 28:
+        if own >= 200 and own * 2000 >= self.total or word.isdigit() or len(word) < 3:
             return ((word, 0.0),)
-        found: dict[str, float] = {}
-        stack = [(0, "", 0.0, 0)]
-        while stack:
-            at, built, cost, edits = stack.pop()
-            if at == len(word):
-                if edits and self.words.get(built, 0) >= max(LEAST_COUNT, LEAST_RATIO * own) and cost > found.get(built, -99.0):
-                    found[built] = cost
-                continue
-            stack.append((at + 1, built + word[at], cost, edits))
-            if edits < MOST_EDITS:
-                for seen, true, share in _BY_FORM.get(word[at], ()):
-                    if word.startswith(seen, at):
-                        stack.append((at + len(seen), built + true, cost + share, edits + 1))
+        least = max(LEAST_COUNT, LEAST_RATIO * own)
+        found = {true: cost for true in self.alike.get(strokes(word), ()) if true != word and self.words[true] >= least and (cost := misreading(word, true)) is not None}
         if not found:
             return ((word, 0.0),)
+        odd = bool(_STRANGE.search(word))
         stays = math.log(1e-4) if odd and any(c.isalpha() for c in word) else 0.0
         return ((word, stays), *sorted(found.items()))
 
 
+def misreading(seen: str, true: str) -> float | None:
+    """Log probability that a word is misread as another, by the best row of confusions; None where no row leads there."""
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    for i in range(len(seen)):
+        for j in range(len(true) + 1):
+            cost = best.get((i, j))
+            if cost is None:
+                continue
+            steps = [(1, 1, 0.0)] if j < len(true) and seen[i] == true[j] else []
+            steps += [(len(a), len(b), share) for a, b, share in _BY_FORM.get(seen[i], ()) if seen.startswith(a, i) and true.startswith(b, j)]
+            for di, dj, share in steps:
+                at = i + di, j + dj
+                if cost + share > best.get(at, -math.inf):
+                    best[at] = cost + share
+    return best.get((len(seen), len(true)))
+
+
 def correct_line(model: Model, tokens: list[str]) -> list[str]:
     """The most likely words of a line, by Viterbi over the candidates of each token.
 
@@ -146,7 +182,7 @@ _GAP = re.compile(r"\t+|\s{2,}|\s*\|\s*")
 def is_page_number(text: str) -> bool:
     """Whether a text is nothing but a page's number, in some notation."""
     text = text.strip()
-    if not text or len(text) > 24:
+    if not text or len(text) > 60:
         return False
     if _FRAMED.fullmatch(text):
         return True
@@ -200,7 +236,7 @@ def edge_lines(content: str) -> list[tuple[int, str, bool]]:
                     break  # a column of figures
                 out.append((k, "", True))
                 continue
-            if len(title) > 70 or len(title) < 3 or title.startswith(_MARKED) or re.search(r"[.;,:]$", title) or not any(c.isalpha() for c in title):
+            if len(title) > 120 or len(title) < 3 or title.startswith(_MARKED) or re.search(r"[.;,:]$", title) or not any(c.isalpha() for c in title):
                 break
             neighbour, _ = split_number(inner)
             if top and neighbour and neighbour[0].islower():
@@ -219,11 +255,23 @@ _META = "absPath string, page string, loader string"
 TEXT_LOADERS = ("pdf", "mupdf", "gopdf")
 
 
-def scanned_pages(chunks: DataFrame) -> DataFrame:
-    """``(id, file, page, content)`` of the rows that may come from scanned pages: they name a path and a page, and no text-layer loader."""
+#: Loaders that give recognised text, whatever the collection's configuration.
+OCR_LOADERS = ("ocr_openai", "smartpdf")
+
+
+def scanned_pages(chunks: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """``(id, file, page, content)`` of the rows that may come from scanned pages: they name a path and a page, and no text-layer loader.
+
+    ``config`` has ``dataset, openai_ocr``. Where a row names no loader, its collection must have
+    a row there; a null ``openai_ocr`` stands for recognition with default options. Without
+    ``config`` every collection counts.
+    """
     meta = F.from_json("metadata", _META)
     rows = chunks.where(F.length("content") > 0).select("id", F.col("collection_id").alias("_c"), "content", meta.alias("_m"))
     rows = rows.where(F.col("_m.absPath").isNotNull() & F.col("_m.page").try_cast("double").isNotNull() & ~F.coalesce(F.lower("_m.loader"), F.lit("")).isin(*TEXT_LOADERS))
+    if config is not None:
+        read = config.select(F.col("dataset").alias("_c"), F.coalesce("openai_ocr", F.lit("{}")).alias("_ocr")).dropDuplicates(["_c"])
+        rows = rows.join(read, "_c", "left").where(F.col("_ocr").isNotNull() | F.coalesce(F.lower("_m.loader"), F.lit("")).isin(*OCR_LOADERS))
     return rows.select("id", F.xxhash64("_c", "_m.absPath").alias("file"), F.col("_m.page").try_cast("double").cast("int").alias("page"), "content")
 
 
@@ -249,19 +297,105 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield packed()
 
 
-def corpus_model(texts: DataFrame, text: str = "content") -> Model:
-    """Counts over all texts; the most frequent ``MODEL_WORDS`` words and ``MODEL_PAIRS`` pairs seen ``LEAST_COUNT`` times make the model."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = [_key(a) if b is None else _key(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], names=["a", "b", "n", "key"])
+
+
+def corpus_counts(texts: DataFrame, text: str = "content") -> DataFrame:
+    """``(a, b, n, key)``: how often each word (null ``b``) and each pair of words occurs in all texts, with the hash of their strokes. None is left out."""
     counts = texts.where(F.length(text) > 0).select(F.col(text)).mapInArrow(_count, "a string, b string, n bigint")
-    counts = cut(counts.groupBy("a", "b").agg(F.sum("n").alias("n")))
-    words = counts.where("b IS NULL").orderBy(F.desc("n"), "a").limit(MODEL_WORDS)
-    pairs = counts.where(f"b IS NOT NULL AND n >= {LEAST_COUNT}").orderBy(F.desc("n"), "a", "b").limit(MODEL_PAIRS)
-    pairs_found, words_found = {}, {}
-    for a, b, n in words.unionByName(pairs).toLocalIterator():
-        if b is None:
-            words_found[a] = n
-        else:
-            pairs_found[a, b] = n
-    return Model(words_found, pairs_found)
+    return cut(counts.groupBy("a", "b").agg(F.sum("n").alias("n")).mapInArrow(_keyed, "a string, b string, n bigint, key bigint"))
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = (1 << OPEN_BITS) // 64
+    maps: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for bit in batch.column(1).to_pylist():
+            own = maps.setdefault(bit // width, np.zeros(width // 8, np.uint8))
+            own[(bit % width) >> 3] |= 1 << (bit & 7)
+    yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([b.tobytes() for b in maps.values()], pa.binary())], names=["slice", "bits"])
+
+
+def open_strokes(counts: DataFrame) -> np.ndarray:
+    """A bit for strokes that several words have, one of them frequent enough to correct to, and another for those that any such word has. 8 MB whatever the corpus."""
+    size = F.lit(1 << OPEN_BITS)
+    groups = counts.where("b IS NULL").groupBy("key").agg(F.count("*").alias("k"), F.max("n").alias("most")).where(F.col("most") >= LEAST_COUNT)
+    bit = groups.where("k > 1").select(F.pmod("key", size).alias("bit")).unionByName(groups.select(F.pmod(F.shiftright("key", OPEN_BITS), size).alias("bit")))
+    placed = bit.select((F.col("bit") / ((1 << OPEN_BITS) // 64)).cast("int").alias("slice"), F.col("bit").cast("bigint").alias("bit"))
+    seen = np.zeros((64, (1 << OPEN_BITS) // 512), np.uint8)
+    for row in placed.repartition(8, "slice").mapInArrow(_bits, "slice int, bits binary").toLocalIterator():  # 64 rows, 8 MB in all
+        seen[row[0]] |= np.frombuffer(row[1], np.uint8)
+    return seen.ravel()
+
+
+def _asks(open_: np.ndarray):
+    """What each group of pages needs of the counts: the strokes of words that may be misread, of their neighbours, and of the pairs of these."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[str, int] = {}
+        is_open: dict[str, bool] = {}
+
+        def key(word: str) -> int:
+            if word not in keys:
+                k = keys[word] = _key(word)
+                bit = (k >> OPEN_BITS if _STRANGE.search(word) else k) & ((1 << OPEN_BITS) - 1)
+                is_open[word] = bool(open_[bit >> 3] >> (bit & 7) & 1)
+            return keys[word]
+
+        for batch in batches:
+            wanted: set[tuple[int, int]] = set()
+            for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if len(keys) > 1_000_000:
+                    keys.clear()
+                    is_open.clear()
+                for form in {text, joined(text, [(at, end, tail) for at, end, tail, _ in marked_words(text)])}:
+                    for line in _BLOCK.finditer(form):
+                        tokens = [m.group().lower() for m in _TOKEN.finditer(line.group())]
+                        own = [key(t) for t in tokens]
+                        live = [is_open[t] for t in tokens]
+                        for k, x in enumerate(live):
+                            if x:
+                                wanted.add((part, own[k]))
+                                for i, j in ((k - 1, k), (k, k + 1)):
+                                    if i >= 0 and j < len(tokens):
+                                        wanted.add((part, own[i]))
+                                        wanted.add((part, _key(tokens[i], tokens[j])))
+                for _, _, _, (head, tail) in marked_words(text):
+                    wanted |= {(part, _key(f"{head}-{tail}")), (part, _key(head + tail))}
+            parts, hashes = zip(*wanted) if wanted else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(hashes, pa.int64())], names=["part", "key"])
+
+    return ask
+
+
+def decoded(pages: DataFrame, chunks: DataFrame, schema: str, decode) -> DataFrame:
+    """Pages in groups, each given to ``decode(model, rows)`` with the counts that its words ask for.
+
+    ``pages`` has ``id, content`` and maybe more; ``decode`` yields rows of the schema. The counts
+    of all chunks are joined to the groups by the strokes asked for, so no model is sent around
+    and none is cut; what a group needs is bounded by its pages.
+    """
+    spark = chunks.sparkSession
+    counts = corpus_counts(chunks)
+    total = counts.where("b IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = spark.sparkContext.broadcast(open_strokes(counts))
+    groups = max(1, -(-pages.count() // GROUP_PAGES))
+    pages = pages.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    asked = pages.select("part", "content").mapInArrow(lambda it: _asks(shared.value)(it), "part int, key bigint").distinct()
+    # Pairs seen less often say nothing: a misread word would vouch for itself.
+    given = asked.join(counts.where((F.col("b").isNull()) | (F.col("n") >= LEAST_COUNT)), "key").select("part", "a", "b", "n")
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def run(key: tuple, own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        alone = known["b"].isna()
+        words = dict(zip(known["a"][alone], known["n"][alone].astype(int)))
+        pairs = {(a, b): int(n) for a, b, n in zip(known["a"][~alone], known["b"][~alone], known["n"][~alone])}
+        return pd.DataFrame(list(decode(Model(words, pairs, total), own)), columns=names)
+
+    return pages.groupBy("part").cogroup(given.groupBy("part")).applyInPandas(run, schema)
 
 
 def _titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,24 +423,28 @@ def running_titles(pages: DataFrame) -> DataFrame:
 _CUT = re.compile(r"([-‐¬\xad])[ \t]*\n[ \t]*([^\W\d_][\w@†|]*)")
 
 
-def cut_words(model: Model, text: str) -> list[tuple[int, int, str]]:
-    """(end of the first part, end of the second, second part) of the words cut at a line end and marked as cut; a compound broken at its own hyphen is none."""
+def marked_words(text: str) -> list[tuple[int, int, str, tuple[str, str]]]:
+    """(end of the first part, end of the second, second part, both in lower case) of the words that a mark cuts at a line end."""
     found = []
     for m in _CUT.finditer(text):
         at = start = m.start()
         while start and (text[start - 1].isalnum() or text[start - 1] in "@†|"):
             start -= 1
         head, tail = text[start:at], m.group(2)
-        if not tail[0].islower() or not any(c.isalpha() for c in head):
-            continue
-        if m.group(1) in "-‐":
-            a, b = head.lower(), tail.lower()
-            if model.words.get(f"{a}-{b}", 0) > model.words.get(a + b, 0):
-                continue
-        found.append((at, m.end(), tail))
+        if tail[0].islower() and any(c.isalpha() for c in head):
+            found.append((at, m.end(), tail, (head.lower(), tail.lower())))
     return found
 
 
+def cut_words(model: Model, text: str) -> list[tuple[int, int, str]]:
+    """(end of the first part, end of the second, second part) of the words cut at a line end and marked as cut; a compound broken at its own hyphen is none."""
+    return [
+        (at, end, tail)
+        for at, end, tail, (a, b) in marked_words(text)
+        if not (text[at] in "-‐" and model.words.get(f"{a}-{b}", 0) > model.words.get(a + b, 0))
+    ]
+
+
 def joined(text: str, cuts: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for end, after, tail in cuts:
@@ -337,36 +475,26 @@ def corrections(model: Model, text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-def _noise(shared):
-    def noise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            at, kinds = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                cuts = cut_words(model, text)
-                if cuts:
-                    at.append(k)
-                    kinds.append("hyphenation")
-                if any(numbered for _, _, numbered in edge_lines(text)):
-                    at.append(k)
-                    kinds.append("page_number")
-                if corrections(model, joined(text, cuts)):
-                    at.append(k)
-                    kinds.append("misread")
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(kinds, pa.string())], names=["id", "kind"])
-
-    return noise
+def _noise(model: Model, pages: pd.DataFrame) -> Iterator[tuple[str, str]]:
+    for id_, text in zip(pages["id"], pages["content"]):
+        cuts = cut_words(model, text)
+        if cuts:
+            yield id_, "hyphenation"
+        if any(numbered for _, _, numbered in edge_lines(text)):
+            yield id_, "page_number"
+        if corrections(model, joined(text, cuts)):
+            yield id_, "misread"
 
 
-def scan_noise(chunks: DataFrame) -> DataFrame:
+def scan_noise(chunks: DataFrame, config: DataFrame | None = None) -> DataFrame:
     """``(id, kind)`` of the noise on scanned pages: hyphenation, misread, header, page_number.
 
     Rows with null or empty content, broken metadata or no page have none; repeated rows
-    give one case.
+    give one case. ``config`` says which collections are read by recognition, see ``scanned_pages``.
     """
-    pages = scanned_pages(chunks)
-    shared = chunks.sparkSession.sparkContext.broadcast(corpus_model(chunks))
-    local = pages.select("id", "content").mapInArrow(_noise(shared), "id string, kind string")
+    pages = scanned_pages(chunks, config)
+    kind = dict(chunks.dtypes)["id"]
+    local = decoded(pages.select("id", "content"), chunks, f"id {kind}, kind string", _noise)
     headers = running_titles(pages).select("id", F.lit("header").alias("kind"))
     return local.unionByName(headers).distinct()
 
@@ -398,16 +526,14 @@ def repair_text(model: Model, text: str, furniture: set[int]) -> str:
     return "\n\n".join(paragraphs)
 
 
-def repair_pages(chunks: DataFrame) -> DataFrame:
-    """``(id, text)``: the repaired text of every row that may come from a scanned page; a clean page only has its lines joined."""
-    pages = scanned_pages(chunks)
-    shared = chunks.sparkSession.sparkContext.broadcast(corpus_model(chunks))
-    titles = running_titles(pages).groupBy("id").agg(F.collect_set("line").alias("furniture"))  # at most four lines a page
+def _repair(model: Model, pages: pd.DataFrame) -> Iterator[tuple[str, str]]:
+    for id_, text, furniture in zip(pages["id"], pages["content"], pages["furniture"]):
+        yield id_, repair_text(model, text, set() if furniture is None else set(furniture))
 
-    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            texts = [repair_text(model, t, set(f or ())) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return pages.select("id", "content").join(titles, "id", "left").mapInArrow(repair, "id string, text string")
+def repair_pages(chunks: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """``(id, text)``: the repaired text of every row that may come from a scanned page; a clean page only has its lines joined."""
+    pages = scanned_pages(chunks, config)
+    titles = running_titles(pages).groupBy("id").agg(F.collect_set("line").alias("furniture"))  # at most four lines a page
+    kind = dict(chunks.dtypes)["id"]
+    return decoded(pages.select("id", "content").join(titles, "id", "left"), chunks, f"id {kind}, text string", _repair)

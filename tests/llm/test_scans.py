@@ -100,3 +100,28 @@ def test_accuracy_on_noise_put_into_clean_pages():
         hit += bool(found)
         right += any(w == m.group() for _, _, w in found)
     assert put > 80 and hit >= 0.97 * put and right >= 0.97 * put and false <= 4, (put, hit, right, false)
+
+
+def test_no_confusion_changes_the_strokes():
+    for seen, true, _ in scans.CONFUSIONS:
+        assert scans.strokes(seen) == scans.strokes(true), (seen, true)
+    assert scans.misreading("vect0r", "vector") == pytest.approx(-4.605, abs=0.01) and scans.misreading("vect0r", "victor") is None
+
+
+def test_rare_words_of_a_large_vocabulary_stay_and_long_ones_are_corrected(spark):
+    """More different words than any driver list held: a genuine rare look-alike of a frequent word is left alone, and a long word with many confusions is mended."""
+    meta = json.dumps({"absPath": "/a.pdf", "page": 1})
+    long_ = "donaudampfschifffahrtsgesellschaftskapitaen"
+    seen = long_.replace("o", "0").replace("m", "rn").replace("d", "cl")
+    many = [(f"w{k}", "c", " ".join(f"x{'abcdefghij'[k % 10]}{'klmnopqrst'[j % 10]}{'uvw'[j % 3]}{k:x}q".translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(30)), None) for k in range(300)]
+    data = [("p", "c", f"the modern {seen} waits\nand the modem is the modem of the modem here", meta)]
+    data += [(f"m{k}", "c", f"the modern {long_} waits and the modern store counts", None) for k in range(40)] + many
+    df = spark.createDataFrame(data, "id string, collection_id string, content string, metadata string")
+    assert {r.id: r.text for r in scans.repair_pages(df).collect()}["p"].startswith(f"the modern {long_} waits")
+
+
+def test_collections_without_recognition_have_no_scanned_pages(spark):
+    meta = lambda **o: json.dumps({"absPath": "/a.pdf", "page": 1, **o})
+    df = spark.createDataFrame([("a", "c", "x", meta()), ("b", "d", "x", meta()), ("e", "d", "x", meta(loader="ocr_openai")), ("f", "n", "x", meta())], "id string, collection_id string, content string, metadata string")
+    config = spark.createDataFrame([("c", "{}"), ("n", None)], "dataset string, openai_ocr string")
+    assert {r.id for r in scans.scanned_pages(df, config).collect()} == {"a", "e", "f"}

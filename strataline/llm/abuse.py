@@ -241,11 +241,11 @@ class Examples:
         seg = np.repeat(self.seg_at[ids] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         bounds = np.bincount(self.seg_block[seg], np.repeat(w, counts) * self.seg_max[seg], self.blocks)
         open_ = bounds >= NEAR - 1e-6
-        # Features that cannot make a passage near even together name no candidates; they are looked up for those that the others name.
+        # Features that can give no more than a part of that together name no candidates; they are looked up for those that the others bring far enough.
         order = np.argsort(w * self.most[ids])
         ids, w = ids[order], w[order].astype(np.float32)
         reach = np.cumsum(w * self.most[ids])
-        few = int(np.searchsorted(reach, NEAR - 1e-6))
+        few = int(np.searchsorted(reach, 0.2 * NEAR))
         counts = self.post_at[ids[few:] + 1] - self.post_at[ids[few:]]
         at = np.repeat(self.post_at[ids[few:]] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         rows = self.post_row[at]

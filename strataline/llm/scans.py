@@ -58,8 +58,13 @@ def strokes(word: str) -> str:
     return word.translate(_STROKES)
 
 
-def _key(*words: str) -> int:
-    return xxhash.xxh64_intdigest("\n".join(map(strokes, words))) - (1 << 63)
+def _key(word: str) -> int:
+    return xxhash.xxh64_intdigest(strokes(word)) - (1 << 63)
+
+
+def _pair_key(one: int, two: int) -> int:
+    """Key of a pair of words from those of the words."""
+    return ((one * 0x5851F42D4C957F2D + two) & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 _LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 # A word of a page: letters and digits, and the marks that stand for letters where they touch one.
@@ -298,8 +303,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    own: dict[str, int] = {}
+
+    def of(word: str) -> int:
+        if word not in own:
+            own[word] = _key(word)
+        return own[word]
+
     for batch in batches:
-        key = [_key(a) if b is None else _key(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        if len(own) > 1_000_000:
+            own.clear()
+        key = [of(a) if b is None else _pair_key(of(a), of(b)) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], names=["a", "b", "n", "key"])
 
 
@@ -335,35 +349,35 @@ def _asks(open_: np.ndarray):
     """What each group of pages needs of the counts: the strokes of words that may be misread, of their neighbours, and of the pairs of these."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[str, int] = {}
-        is_open: dict[str, bool] = {}
+        seen: dict[str, tuple[int, bool]] = {}
+        mask = (1 << OPEN_BITS) - 1
 
-        def key(word: str) -> int:
-            if word not in keys:
-                k = keys[word] = _key(word)
-                bit = (k >> OPEN_BITS if _STRANGE.search(word) else k) & ((1 << OPEN_BITS) - 1)
-                is_open[word] = bool(open_[bit >> 3] >> (bit & 7) & 1)
-            return keys[word]
+        def look_up(word: str) -> tuple[int, bool]:
+            k = _key(word)
+            bit = (k >> OPEN_BITS if _STRANGE.search(word) else k) & mask
+            out = seen[word] = k, bool(open_[bit >> 3] >> (bit & 7) & 1)
+            return out
 
         for batch in batches:
             wanted: set[tuple[int, int]] = set()
             for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(keys) > 1_000_000:
-                    keys.clear()
-                    is_open.clear()
-                for form in {text, joined(text, [(at, end, tail) for at, end, tail, _ in marked_words(text)])}:
-                    for line in _BLOCK.finditer(form):
-                        tokens = [m.group().lower() for m in _TOKEN.finditer(line.group())]
-                        own = [key(t) for t in tokens]
-                        live = [is_open[t] for t in tokens]
-                        for k, x in enumerate(live):
-                            if x:
-                                wanted.add((part, own[k]))
-                                for i, j in ((k - 1, k), (k, k + 1)):
-                                    if i >= 0 and j < len(tokens):
-                                        wanted.add((part, own[i]))
-                                        wanted.add((part, _key(tokens[i], tokens[j])))
-                for _, _, _, (head, tail) in marked_words(text):
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                marked = marked_words(text)
+                forms = [text, joined(text, [(at, end, tail) for at, end, tail, _ in marked])] if marked else [text]
+                for form in forms:
+                    for block in _BLOCK.findall(form.lower()):
+                        own = [seen[t] if t in seen else look_up(t) for t in _TOKEN.findall(block)]
+                        for k, (key, live) in enumerate(own):
+                            if live:
+                                wanted.add((part, key))
+                                if k:
+                                    wanted.add((part, own[k - 1][0]))
+                                    wanted.add((part, _pair_key(own[k - 1][0], key)))
+                                if k + 1 < len(own):
+                                    wanted.add((part, own[k + 1][0]))
+                                    wanted.add((part, _pair_key(key, own[k + 1][0])))
+                for _, _, _, (head, tail) in marked:
                     wanted |= {(part, _key(f"{head}-{tail}")), (part, _key(head + tail))}
             parts, hashes = zip(*wanted) if wanted else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(hashes, pa.int64())], names=["part", "key"])

@@ -13,7 +13,7 @@ from strataline.llm import abuse, encoding, leakage, neardup, pii, scans, splitt
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.split_oversized(table(spark, d, "sqlite_vec"), table(spark, d, "textsplitter_opts"))
-    return pieces.where(F.size("pieces") > 0).select("id").distinct()
+    return pieces.where(F.size("pieces") > 1).select("id").distinct()
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:

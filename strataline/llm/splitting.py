@@ -69,8 +69,10 @@ def _filled(cuts: np.ndarray, text: np.ndarray, step: int) -> np.ndarray:
     counts = (gaps[wide] - 1) // half
     forced = np.repeat(edges[wide], counts) + half * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + 1)
     back = _joins_back(text)
-    for _ in range(min(12, half - 1)):
-        forced = np.where(back[forced], forced - 1, forced)
+    # The last place at or before each that does not belong to what stands before it, if it is near enough.
+    free = np.maximum.accumulate(np.where(back, -1, np.arange(len(text))))
+    moved = free[forced]
+    forced = np.where((moved >= 0) & (forced - moved < half), moved, forced)
     return np.union1d(cuts, forced[(forced > 0) & (forced < len(text))])
 
 
@@ -153,8 +155,9 @@ def split_oversized(chunks: DataFrame, options: DataFrame) -> DataFrame:
     No piece is above the limit, pieces cover the text without gaps, and each repeats about
     the overlap of the one before. Other columns of both frames are ignored.
     """
-    limits = options.groupBy(F.col("dataset").alias("_dataset")).agg(F.max(F.struct("chunk_size", "chunk_overlap")).alias("_o"))
-    limits = limits.select("_dataset", F.col("_o.chunk_size").alias("_size"), F.col("_o.chunk_overlap").alias("_overlap"))
+    size = F.when(F.col("chunk_size") > 0, F.col("chunk_size")).otherwise(F.lit(DEFAULT_SIZE))
+    limits = options.groupBy(F.col("dataset").alias("_dataset")).agg(F.max(F.struct(size.alias("size"), "chunk_overlap")).alias("_o"))
+    limits = limits.select("_dataset", F.col("_o.size").alias("_size"), F.col("_o.chunk_overlap").alias("_overlap"))
     long_texts = (
         chunks.select("id", F.col("collection_id").alias("_collection"), "content")
         .join(limits, F.col("_collection") == F.col("_dataset"), "left")

@@ -240,6 +240,11 @@ def redact_secrets(df: DataFrame, fields: Iterable[str] = SECRET_FIELDS) -> Data
     return df.select(*[walk(df[f"`{f.name}`"], f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 
+def json_texts(value: Column, *names: str) -> Column:
+    """Fields of a JSON object as texts, in one struct; all null where the text is no object."""
+    return F.from_json(value, ", ".join(f"`{n}` string" for n in names))
+
+
 # Metadata values that stand for no value; fixed by the data model.
 EMPTY_VALUES = ("", "-", "null", "nil")
 

@@ -157,17 +157,72 @@ def document_markdown(elements: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "_l"))), lambda x: x["_l"]), "\n").alias("markdown"))
 
 
+RECURRENCES = ("daily", "weekly", "absoluteMonthly", "relativeMonthly", "absoluteYearly", "relativeYearly")
+_PLACES = ("first", "second", "third", "fourth", "last")
+_WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+def _recurrence_columns(df: DataFrame) -> DataFrame:
+    """Recurrences with all their columns; those that a frame lacks are null."""
+    kinds = {"days_of_week": "array<string>", "day_of_month": "int", "index": "string", "month": "int", "first_day_of_week": "string", "end": "date", "occurrences": "int"}
+    for name, kind in kinds.items():
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None).cast(kind))
+    return df.withColumn("days_of_week", F.transform("days_of_week", F.lower)).withColumn("interval", F.greatest(F.coalesce("interval", F.lit(1)), F.lit(1)).cast("int"))
+
+
+def counted(df: DataFrame, by: str | Sequence[str], distinct: str | None = None) -> DataFrame:
+    """Results of each channel or source, and how many different values they have."""
+    extra = [F.count_distinct(distinct).alias(f"{distinct}s")] if distinct else []
+    return df.groupBy(*([by] if isinstance(by, str) else by)).agg(F.count("*").alias("n"), *extra)
+
+
+def recurrence_error(df: DataFrame) -> DataFrame:
+    """``(id, error)``: what a recurrence lacks, null where it is complete: a known type, its days, day or place in the month, its month, a start, and no more than one kind of end."""
+    rows = _recurrence_columns(df)
+    kind = F.col("type")
+    none = F.coalesce(F.size("days_of_week"), F.lit(0)) < 1
+    unknown = F.exists(F.coalesce("days_of_week", F.array().cast("array<string>")), lambda d: ~d.isin(*_WEEKDAYS))
+    error = (
+        F.when(~F.coalesce(kind.isin(*RECURRENCES), F.lit(False)), "unknown type")
+        .when(F.col("start").isNull(), "no start")
+        .when(F.col("end").isNotNull() & F.col("occurrences").isNotNull(), "an end and a number")
+        .when(F.col("end") < F.col("start"), "end before start")
+        .when(kind.isin("weekly", "relativeMonthly", "relativeYearly") & none, "no days of the week")
+        .when(unknown, "unknown day of the week")
+        .when(kind.startswith("absolute") & ~F.coalesce(F.col("day_of_month").between(1, 31), F.lit(False)), "no day of the month")
+        .when(kind.startswith("relative") & ~F.coalesce(F.lower("index").isin(*_PLACES), F.lit(False)), "no place in the month")
+        .when(kind.endswith("Yearly") & ~F.coalesce(F.col("month").between(1, 12), F.lit(False)), "no month")
+    )
+    return rows.select("id", error.alias("error"))
+
+
 def recurrence_dates(df: DataFrame, most: int = 366) -> DataFrame:
-    """Dates of daily and weekly recurrences ``(id, type, interval, days_of_week, start, end, occurrences)``, an extension: by end, by number, or the first ``most``."""
-    last = F.coalesce(F.col("end"), F.date_add("start", F.lit(most * 7)))
-    days = F.explode(F.sequence("start", last))
-    rows = df.select("*", days.alias("day")).withColumn("_n", F.datediff("day", "start"))
-    week = F.floor(F.datediff("day", F.date_trunc("week", "start")) / 7)
-    names = F.lower(F.date_format("day", "EEEE"))
-    daily = (F.col("type") == "daily") & (F.col("_n") % F.col("interval") == 0)
-    weekly = (F.col("type") == "weekly") & F.array_contains("days_of_week", names) & (week % F.col("interval") == 0)
-    kept = rows.where(daily | weekly).withColumn("_k", F.row_number().over(Window.partitionBy("id").orderBy("day")))
-    return kept.where(F.col("_k") <= F.coalesce("occurrences", F.lit(most))).select("id", "day")
+    """``(id, day)`` of recurrences ``(id, type, interval, start)`` with, as the type asks, ``days_of_week, day_of_month, index, month, first_day_of_week``, and ``end`` or ``occurrences``; an extension.
+
+    Without an end the first ``most`` days come. A day of the month that a month lacks is its
+    last; of several days of the week, ``index`` picks one among all of them in the month.
+    Weeks begin on Monday where nothing else is told. Incomplete recurrences give none.
+    """
+    rows = _recurrence_columns(df).join(recurrence_error(df).where("error IS NULL").select("id"), "id", "left_semi")
+    kind, wanted = F.col("type"), F.coalesce("occurrences", F.lit(most))
+    monthly, yearly, weekly = kind.endswith("Monthly"), kind.endswith("Yearly"), kind == "weekly"
+    first_day = F.array_position(F.array(*map(F.lit, _WEEKDAYS)), F.coalesce(F.lower("first_day_of_week"), F.lit("monday")))
+    week = F.date_sub("start", F.pmod(F.weekday("start") + 1 - first_day, F.lit(7)).cast("int"))
+    year = F.add_months(F.trunc("start", "year"), F.coalesce("month", F.lit(1)) - 1)
+    step = F.col("_k") * F.col("interval")
+    begin = F.when(monthly, F.add_months(F.trunc("start", "month"), step)).when(yearly, F.add_months(year, 12 * step)).when(weekly, F.date_add(week, 7 * step)).otherwise(F.date_add("start", step))
+    periods = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), wanted + 1))).withColumn("_begin", begin)
+    periods = periods.where(F.coalesce(F.col("_begin") <= F.col("end"), F.lit(True)))
+    named = lambda d: F.element_at(F.array(*map(F.lit, _WEEKDAYS)), F.weekday(d) + 1)
+    of_week = F.filter(F.sequence("_begin", F.date_add("_begin", 6)), lambda d: F.array_contains("days_of_week", named(d)))
+    of_month = F.filter(F.sequence("_begin", F.last_day("_begin")), lambda d: F.array_contains("days_of_week", named(d)))
+    place = F.array_position(F.array(*map(F.lit, _PLACES)), F.lower("index")).cast("int")
+    picked = F.array(F.try_element_at(of_month, F.when(place == 5, F.lit(-1)).otherwise(place)))
+    fixed = F.array(F.least(F.date_add("_begin", F.col("day_of_month") - 1), F.last_day("_begin")))
+    days = F.when(weekly, of_week).when(kind.startswith("relative"), picked).when(kind.startswith("absolute"), fixed).otherwise(F.array("_begin"))
+    kept = periods.select("id", "start", "end", wanted.alias("_wanted"), F.explode(days).alias("day")).where((F.col("day") >= F.col("start")) & F.coalesce(F.col("day") <= F.col("end"), F.lit(True)))
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("day"))).where(F.col("_n") <= F.col("_wanted")).select("id", "day")
 
 
 def listing(df: DataFrame, columns: Sequence[str], limit: int = 100, order: str = "name") -> DataFrame:

@@ -88,6 +88,25 @@ def prune(files: DataFrame, keep: DataFrame, prefix: str, path: str = "absolute_
     return files.where(F.col(path).startswith(prefix)).join(keep.select(F.col(path).alias("_keep")).distinct(), F.col(path) == F.col("_keep"), "left_anti")
 
 
+def outcome_counts(incoming: DataFrame, existing: DataFrame, path: str = "absolute_path") -> DataFrame:
+    """``(outcome, n)``: how many attempts come to new paths (ingested) and to known ones (skipped)."""
+    known = existing.select(F.col(path).alias("_known")).distinct()
+    rows = incoming.join(known, F.col(path) == F.col("_known"), "left")
+    return rows.groupBy(F.when(F.col("_known").isNull(), "ingested").otherwise("skipped").alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def documents_per_file(documents: DataFrame) -> DataFrame:
+    """``(dataset, file_id, n)``; documents without a file count for none."""
+    return documents.where(F.col("file_id").isNotNull()).groupBy("dataset", "file_id").agg(F.count("*").alias("n"))
+
+
+def contents_of_datasets(datasets: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(dataset, files, chunks)``: different file names and chunks of every dataset, also of empty ones. Both are counted before they are joined."""
+    named = files.groupBy("dataset").agg(F.count_distinct("name").alias("files"))
+    held = chunks.groupBy("dataset").agg(F.count("*").alias("chunks"))
+    return datasets.select("dataset").join(named, "dataset", "left").join(held, "dataset", "left").na.fill(0, ["files", "chunks"])
+
+
 def orphans(files: DataFrame, documents: DataFrame) -> DataFrame:
     """Files without documents, by dataset and file id."""
     return files.join(documents.select(F.col("dataset"), F.col("file_id").alias("id")).distinct(), ["dataset", "id"], "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,12 +91,14 @@ def numbered_ids(known: DataFrame, incoming: DataFrame) -> DataFrame:
     return known.unionByName(ordered.crossJoin(F.broadcast(top)).select("external_id", (F.col("_top") + F.col("_n")).cast("bigint").alias("id")))
 
 
+def union_all(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows of several lists of one form (results of datasets, public and private channels, calendars), repeats kept."""
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def events_between(calendars: Sequence[DataFrame], start, end, most: int = 100) -> DataFrame:
     """Events of all calendars that overlap a range, at most ``most`` of each calendar, earliest first."""
-    union = calendars[0]
-    for c in calendars[1:]:
-        union = union.unionByName(c)
-    hit = union.where((F.col("start") <= F.lit(end)) & (F.col("end") >= F.lit(start)))
+    hit = union_all(calendars).where((F.col("start") <= F.lit(end)) & (F.col("end") >= F.lit(start)))
     order = Window.partitionBy("calendar").orderBy("start", "id")
     return hit.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).drop("_n")
 

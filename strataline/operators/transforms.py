@@ -74,12 +74,14 @@ def directory_metadata(files: DataFrame, entries: DataFrame, overall: Mapping[st
 
 
 def renumber(df: DataFrame, file: Sequence[str] = ("file_id",), order: Column | None = None, tie: str = "id") -> DataFrame:
-    """``docIndex`` 0 to n - 1 in the former order, and ``docsTotal``."""
+    """``docIndex`` 0 to n - 1 in the former order of a file, and ``docsTotal``. Rows without a file stay as they are, so they never come to one task."""
     place = order if order is not None else F.col("metadata")["docIndex"].try_cast("double").cast("int")
+    of_file = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in file])
+    loose, df = df.where(~of_file), df.where(of_file)
     window = Window.partitionBy(*file)
     index = F.row_number().over(window.orderBy(place.asc_nulls_last(), F.asc(tie))) - 1
     values = F.create_map(F.lit("docIndex"), index.cast("string"), F.lit("docsTotal"), F.count("*").over(window).cast("string"))
-    return df.withColumn("metadata", _overwritten(F.col("metadata"), values))
+    return df.withColumn("metadata", _overwritten(F.col("metadata"), values)).unionByName(loose)
 
 
 def common_metadata(df: DataFrame, group: Sequence[str], metadata: str = "metadata") -> DataFrame:

@@ -324,11 +324,12 @@ _META = "CASE WHEN json_valid(metadata) THEN CAST(metadata AS JSON) END"
 
 @registered(f"""
     WITH m AS (SELECT id, collection_id AS c, json_extract_string({_META}, '$.absPath') AS p, CAST(TRY_CAST(json_extract_string({_META}, '$.docIndex') AS DOUBLE) AS INT) AS i FROM sqlite_vec)
-    SELECT id, CAST(row_number() OVER (PARTITION BY c, p ORDER BY i ASC NULLS LAST, id) - 1 AS INT) AS doc_index, CAST(count(*) OVER (PARTITION BY c, p) AS INT) AS docs_total FROM m""")
+    SELECT id, CASE WHEN p IS NULL OR c IS NULL THEN i ELSE CAST(row_number() OVER (PARTITION BY c, p ORDER BY i ASC NULLS LAST, id) - 1 AS INT) END AS doc_index,
+      CASE WHEN p IS NULL OR c IS NULL THEN NULL ELSE CAST(count(*) OVER (PARTITION BY c, p) AS INT) END AS docs_total FROM m""")
 def chunk_renumber(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sqlite_vec").select("id", "collection_id", F.get_json_object("metadata", "$.absPath").alias("p"), F.create_map(F.lit("docIndex"), F.get_json_object("metadata", "$.docIndex")).alias("metadata"))
     out = transforms.renumber(rows, ["collection_id", "p"])
-    return out.select("id", F.col("metadata")["docIndex"].cast("int").alias("doc_index"), F.col("metadata")["docsTotal"].cast("int").alias("docs_total"))
+    return out.select("id", F.col("metadata")["docIndex"].try_cast("double").cast("int").alias("doc_index"), F.col("metadata")["docsTotal"].cast("int").alias("docs_total"))
 
 
 @registered()
@@ -366,8 +367,8 @@ def common_metadata(spark: SparkSession, d: str) -> DataFrame:
     SELECT collection_id, json_extract_string({_META}, '$.loader') AS loader, count(*) AS n FROM sqlite_vec
     WHERE json_extract_string({_META}, '$.page') IS NOT NULL GROUP BY ALL""")
 def json_field_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sqlite_vec").select("collection_id", F.from_json("metadata", "loader string, page string").alias("m"))
-    return rows.where("m.page IS NOT NULL").groupBy("collection_id", F.col("m.loader").alias("loader")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "sqlite_vec").select("collection_id", S.json_texts(F.col("metadata"), "loader", "page").alias("m"))
+    return connectors.counted(rows.where("m.page IS NOT NULL").select("collection_id", "m.loader"), ["collection_id", "loader"])
 
 
 @registered("""
@@ -419,9 +420,7 @@ def orphan_files(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT CASE WHEN f.absolute_path IS NULL THEN 'ingested' ELSE 'skipped' END AS outcome, count(*) AS n FROM ingest_opts i LEFT JOIN (SELECT DISTINCT absolute_path FROM files) f ON f.absolute_path = i.absolute_path GROUP BY 1")
 def ingest_counters(spark: SparkSession, d: str) -> DataFrame:
-    seen = table(spark, d, "files").select(F.col("absolute_path").alias("_p")).distinct()
-    rows = table(spark, d, "ingest_opts").join(seen, F.col("absolute_path") == F.col("_p"), "left")
-    return rows.groupBy(F.when(F.col("_p").isNull(), "ingested").otherwise("skipped").alias("outcome")).agg(F.count("*").alias("n"))
+    return dedupe.outcome_counts(table(spark, d, "ingest_opts"), table(spark, d, "files"))
 
 
 @registered("SELECT id, sha1(absolute_path) AS dataset_id FROM files WHERE absolute_path IS NOT NULL")
@@ -459,10 +458,8 @@ def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
     SELECT s.id AS dataset, count(DISTINCT f.name) AS files, (SELECT count(*) FROM sqlite_vec v WHERE v.collection_id = s.id) AS chunks
     FROM datasets s LEFT JOIN files f ON f.dataset = s.id GROUP BY s.id""")
 def nested_catalog(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "datasets").select(F.col("id").alias("dataset"))
-    files = table(spark, d, "files").groupBy("dataset").agg(F.count_distinct("name").alias("files"))
-    chunks = table(spark, d, "sqlite_vec").groupBy(F.col("collection_id").alias("dataset")).agg(F.count("*").alias("chunks"))
-    return sets.join(files, "dataset", "left").join(chunks, "dataset", "left").na.fill(0, ["files", "chunks"])
+    sets, files = table(spark, d, "datasets").select(F.col("id").alias("dataset")), table(spark, d, "files")
+    return dedupe.contents_of_datasets(sets, files, table(spark, d, "sqlite_vec").select(F.col("collection_id").alias("dataset")))
 
 
 @registered()
@@ -583,7 +580,7 @@ def lookup_left_join(spark: SparkSession, d: str) -> DataFrame:
 def calendar_union(spark: SparkSession, d: str) -> DataFrame:
     one = table(spark, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     two = table(spark, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return one.unionByName(two)
+    return lookup.union_all([one, two])
 
 
 @registered("""
@@ -634,7 +631,7 @@ def ancestor_paths(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT source, count(*) AS n, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
 def source_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("lang").alias("langs"))
+    return connectors.counted(table(spark, d, "documents"), "source", "lang")
 
 
 # --- SQL ------------------------------------------------------------------------------
@@ -778,8 +775,8 @@ def merged_lists(spark: SparkSession, d: str) -> DataFrame:
 @registered(f"""
     SELECT collection_id AS dataset, json_extract_string({_META}, '$.filename') AS file_id, count(*) AS n FROM sqlite_vec WHERE json_extract_string({_META}, '$.filename') IS NOT NULL GROUP BY ALL""")
 def documents_per_file(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "sqlite_vec").select(F.col("collection_id").alias("dataset"), F.from_json("metadata", "filename string")["filename"].alias("file_id"))
-    return rows.where("file_id IS NOT NULL").groupBy("dataset", "file_id").agg(F.count("*").alias("n"))
+    rows = table(spark, d, "sqlite_vec").select(F.col("collection_id").alias("dataset"), S.json_texts(F.col("metadata"), "filename")["filename"].alias("file_id"))
+    return dedupe.documents_per_file(rows)
 
 
 @registered("SELECT user_id, string_agg(event_type, ' ' ORDER BY ts, event_type) AS text FROM events GROUP BY user_id")

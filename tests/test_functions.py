@@ -140,3 +140,17 @@ def test_ids_of_linked_files(spark):
             f"https://other.example/file/d/{known}", "https://drive.google.com/file/d/short", "short", "https://drive.google.com/", None]
     df = spark.createDataFrame([(r,) for r in refs], "ref string")
     assert [r[0] for r in df.select(scalars.drive_file_id(F.col("ref"))).collect()] == [known] * 5 + [None] * 5
+
+
+def test_current_time_in_utc(spark):
+    from strataline.functions import scalars
+
+    text = spark.range(1).select(scalars.utc_now()).first()[0]
+    said = dt.datetime.strptime(text, "%Y-%m-%dT%H:%M:%S.%fZ").replace(tzinfo=dt.timezone.utc)
+    assert abs((dt.datetime.now(dt.timezone.utc) - said).total_seconds()) < 60
+
+
+def test_secrets_of_every_name(spark):
+    df = spark.sql("SELECT 'a' AS auth, named_struct('password', 'p', 'name', 'n') AS credentials, 'b' AS credentials2, 't' AS Token")
+    row = S.redact_secrets(df).first()
+    assert (row.auth, row.credentials.password, row.credentials.name, row.credentials2, row.Token) == ("REDACTED", "REDACTED", "n", "b", "REDACTED")

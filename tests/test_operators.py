@@ -295,3 +295,36 @@ def test_numbering_is_by_key_and_without_gaps(spark):
     known = spark.createDataFrame([("k00003", 10)], "external_id string, id bigint")
     got = {r.external_id: r.id for r in lookup.numbered_ids(known, spark.createDataFrame([("b",), ("a",), ("k00003",)], "external_id string")).collect()}
     assert got == {"k00003": 10, "a": 11, "b": 12}
+
+
+def test_recurrences_of_months_and_years(spark):
+    import datetime as dt
+
+    day = dt.date.fromisoformat
+    base = {"interval": 1, "days_of_week": None, "day_of_month": None, "index": None, "month": None, "first_day_of_week": None, "end": None, "occurrences": None, "start": day("2027-02-02")}
+    given = [
+        {"id": 1, "type": "absoluteMonthly", "day_of_month": 31, "occurrences": 3},
+        {"id": 2, "type": "relativeMonthly", "index": "last", "days_of_week": ["Friday"], "interval": 2, "end": day("2027-07-01")},
+        {"id": 3, "type": "absoluteYearly", "day_of_month": 1, "month": 2, "occurrences": 2},
+        {"id": 4, "type": "relativeYearly", "index": "second", "days_of_week": ["monday", "tuesday"], "month": 3, "occurrences": 2},
+        {"id": 5, "type": "weekly", "days_of_week": ["Wednesday", "Thursday"], "interval": 3, "occurrences": 3},
+        {"id": 6, "type": "absoluteMonthly"},
+        {"id": 7, "type": "hourly"},
+        {"id": 8, "type": "daily", "interval": 4, "end": day("2027-02-12"), "occurrences": None},
+    ]
+    schema = "id int, type string, interval int, days_of_week array<string>, day_of_month int, index string, month int, first_day_of_week string, start date, end date, occurrences int"
+    names = [c.split()[0] for c in schema.split(", ")]
+    df = spark.createDataFrame([tuple({**base, **g}[n] for n in names) for g in given], schema)
+    got = {}
+    for r in connectors.recurrence_dates(df).orderBy("id", "day").collect():
+        got.setdefault(r.id, []).append(r.day.isoformat())
+    assert got == {
+        1: ["2027-02-28", "2027-03-31", "2027-04-30"],
+        2: ["2027-02-26", "2027-04-30", "2027-06-25"],
+        3: ["2028-02-01", "2029-02-01"],
+        4: ["2027-03-02", "2028-03-07"],
+        5: ["2027-02-03", "2027-02-04", "2027-02-24"],
+        8: ["2027-02-02", "2027-02-06", "2027-02-10"],
+    }
+    errors = {r.id: r.error for r in connectors.recurrence_error(df).collect() if r.error}
+    assert errors == {6: "no day of the month", 7: "unknown type"}

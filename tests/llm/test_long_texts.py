@@ -18,7 +18,7 @@ def test_long_texts():
     assert scans.corrections(model, text.replace("today", "t0day"))[0][2] == "today"
     assert scans.cut_words(model, "a" * 1_000_000 + "-\nb") and scans.edge_lines(text) == []
     index = leakage.BlockMaxIndex([(1, "one two three four five six seven eight nine ten")])
-    assert index.retrieve([("word " * 200_000 + "one two three four five six seven eight nine ten").split()])
+    assert leakage.search_texts(index, ["word " * 200_000 + "one two three four five six seven eight nine ten"])
     rows, shingles, offsets = neardup.Shingler(3, 20)([text, " ".join(map(str, range(200_000)))])
     assert len(rows) == 2 and len(shingles) > 199_000
     assert len(abuse.passages("word " * 500_000)) > 1

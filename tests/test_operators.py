@@ -300,6 +300,9 @@ def test_numbering_is_by_key_and_without_gaps(spark):
 def test_recurrences_of_months_and_years(spark):
     import datetime as dt
 
+    from strataline.operators import connectors
+
+
     day = dt.date.fromisoformat
     base = {"interval": 1, "days_of_week": None, "day_of_month": None, "index": None, "month": None, "first_day_of_week": None, "end": None, "occurrences": None, "start": day("2027-02-02")}
     given = [

@@ -1,17 +1,17 @@
-"""Most similar vectors for every vector, by shifted space-filling curves.
-
-Each curve projects the unit vectors by its own random orthonormal matrix, shifts and
-quantises the coordinates and takes the Hilbert index of the cell. Spark range-partitions
-and sorts the rows of every curve by (collection, length, curve, index); blocks of
-neighbouring keys are compared by one matrix product each, and the best of all curves are
-merged and ranked again.
-
-How many curves a collection needs and how wide their windows must be depends on its size
-and shape, so it is measured: a bounded number of probe rows is compared with their whole
-collections, and the places of the neighbours found are counted on every curve. The
-cheapest choice that reaches ``TARGET`` of them is taken. Where a window would have to
-hold about the whole collection (a small one, or one without any structure), the collection
-is one window: its rows are dealt into blocks, and all pairs of blocks are compared.
+"""Most similar vectors for every vector, exactly, or by shifted space-filling curves.
+
+By default every row is compared with its whole collection: the rows of a collection are
+dealt into blocks of bounded size, and all pairs of blocks are compared by matrix products.
+Products of 32 bits only pick candidates; the ranking is by cosines of 64 bits.
+
+A caller who can do without some neighbours may ask for curves (``exact=False``). Each
+projects the unit vectors by its own random orthonormal matrix, shifts and quantises the
+coordinates and takes the Hilbert index of the cell. Spark range-partitions and sorts the
+rows of every curve by (collection, length, curve, index); blocks of neighbouring keys are
+compared, and the best of all curves are merged and ranked again. How many curves a
+collection needs and how wide their windows must be is measured on a bounded number of
+probe rows. Where a window would have to hold about the whole collection, its blocks are
+compared as above.
 """
 
 from __future__ import annotations
@@ -107,10 +107,17 @@ def unit_vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _packed(column: pa.Array, rows: np.ndarray, dims: int) -> pa.Array:
+    """The vectors of some rows as they are, in one binary value each."""
+    flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    at = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(4 * dims)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(flat)])
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for dims, (rows, unit) in unit_vectors(batch.column(4)).items():
-            packed = pa.array([x.tobytes() for x in unit.astype(np.float32)], pa.binary())
+        for dims, (rows, _) in unit_vectors(batch.column(4)).items():
+            packed = _packed(batch.column(4), rows, dims)
             part = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(np.full(len(rows), dims, np.int32)), part.column(1), part.column(2), part.column(3), packed],
@@ -134,7 +141,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray
 
 
 def _block(rows: dict) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([u for u, _ in rows], dtype=object), np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(len(rows), -1)
+    """Ids and unit vectors."""
+    vec = np.frombuffer(b"".join(v for _, v in rows), np.float32).reshape(len(rows), -1).astype(np.float64)
+    return np.array([u for u, _ in rows], dtype=object), vec / np.sqrt(np.einsum("ij,ij->i", vec, vec))[:, None]
 
 
 def _most(ids: np.ndarray) -> int:
@@ -150,7 +159,7 @@ def _rank(sims: np.ndarray, least: np.ndarray, vec: np.ndarray, near: np.ndarray
         yield from _rank(sims[:half], least[:half], vec[:half], near, top, floor)
         yield from ((r + half, c, x) for r, c, x in _rank(sims[half:], least[half:], vec[half:], near, top, floor))
         return
-    exact = np.einsum("ij,ij->i", vec[rows].astype(np.float64), near[cols].astype(np.float64)).round(12)
+    exact = np.einsum("ij,ij->i", vec[rows], near[cols]).round(12)
     order = np.lexsort((cols, -exact, rows))
     rows, cols, exact = rows[order], cols[order], exact[order]
     keep = (np.arange(len(rows)) - np.searchsorted(rows, rows) < top) & (exact >= floor)
@@ -164,9 +173,10 @@ def nearest(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarra
     # Maxima of at least ``top`` runs of columns: the least of the ``top`` best of them is reached by ``top`` columns.
     starts = np.arange(0, len(names), max(1, len(names) // (16 * top)))
     step = max(1, TILE // len(names))
+    short = np.ascontiguousarray(near.astype(np.float32).T)
     for at in range(0, len(ids), step):
         part = vec[at : at + step]
-        sims = part @ near.T
+        sims = part.astype(np.float32) @ short
         left, right = np.searchsorted(names, ids[at : at + step]), np.searchsorted(names, ids[at : at + step], side="right")
         for i in np.flatnonzero(left < right):
             sims[i, left[i] : right[i]] = -9
@@ -196,7 +206,7 @@ def _places(curves: int):
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for dims, (rows, unit) in unit_vectors(batch.column(4)).items():
-                packed = pa.array([x.tobytes() for x in unit.astype(np.float32)], pa.binary())
+                packed = _packed(batch.column(4), rows, dims)
                 part = batch.take(pa.array(rows))
                 wanted = part.column(1).to_numpy()
                 for curve in range(curves):
@@ -333,7 +343,7 @@ def cheapest(apart: np.ndarray, rows: int, window: int = WINDOW) -> tuple[int, i
 
 
 def window_plan(rows: DataFrame, sizes: DataFrame, k: int, floor: float) -> DataFrame:
-    """``(grp, size, rows, curves, width)`` for every collection.
+    """``(grp, size, rows, curves, width)`` for every collection of a search that need not be exact.
 
     Probes are the rows least by hash, at most ``PROBES``, of collections above ``SMALL``.
     Collections without probes of their own take the widest choice that a collection with
@@ -398,6 +408,7 @@ def similar_vectors(
     key: str = "uuid",
     group: str = "collection_id",
     vector: str = "embedding",
+    exact: bool = True,
 ) -> DataFrame:
     """``(uuid, near, cosine, rank)``: the ``k`` most similar rows of the same collection and vector length.
 
@@ -405,30 +416,43 @@ def similar_vectors(
     Null, empty, all-zero, infinite and NaN-holding vectors and rows without a key take no
     part; a null collection is one collection. Equal vectors are neighbours; equal
     similarities are ranked by key. A key on several rows counts once, by the most similar of
-    them. The result is exact where a collection is one window, and otherwise holds about
-    ``TARGET`` of the neighbours; every row is on the curves or in the window.
+    them. Without ``exact`` the collections that have windows (see ``window_plan``) lose about
+    1 - ``TARGET`` of the neighbours, and the cost of a collection no longer grows with the
+    square of its rows.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0)).select(
         F.coalesce(F.col(group).cast("string"), F.lit("")).alias("grp"), F.col(key).cast("string").alias("uuid"), F.col(vector).cast("array<float>").alias("vec"), F.size(vector).alias("size")
     )
     sizes = rows.groupBy("grp", "size").agg(F.count("*").alias("rows"))
-    plan = window_plan(rows, sizes, k, floor)
-    planned = rows.join(plan, ["grp", "size"])
-
+    if exact:
+        return _ranked(_all_pairs(rows, sizes, k, floor, block_bytes), k)
+    planned = rows.join(window_plan(rows, sizes, k, floor), ["grp", "size"])
     placed = planned.where("curves > 0").select("grp", "curves", "width", "uuid", "vec").mapInArrow(_places(CURVES[-1]), PLACED)
     order = ["grp", "dims", "curve", "place", "uuid"]
     windows = placed.repartitionByRange(cores(spark), *order).sortWithinPartitions(*order).mapInArrow(_in_windows(k, floor), NEAR)
+    whole = planned.where("curves = 0").select("grp", "uuid", "vec", "size")
+    return _ranked(windows.unionByName(_all_pairs(whole, sizes, k, floor, block_bytes)), k)
 
+
+def _all_pairs(rows: DataFrame, sizes: DataFrame, k: int, floor: float, block_bytes: int) -> DataFrame:
+    """The ``k`` best of every row in every block of its collection."""
+    spark = rows.sparkSession
     blocks = F.ceil(F.col("rows") * F.col("size") * 4 / F.lit(block_bytes)).cast("int")
-    dealt = planned.where("curves = 0").withColumn("blocks", blocks).select("grp", F.pmod(F.xxhash64("uuid"), F.col("blocks")).cast("int").alias("block"), "blocks", "uuid", "vec")
+    # Collections of several blocks: no more than the blocks that the table fills.
+    several = sizes.withColumn("_n", blocks).where("_n > 1").select("grp", "size", "_n")
+    dealt = rows.join(F.broadcast(several), ["grp", "size"], "left").withColumn("blocks", F.coalesce("_n", F.lit(1)))
+    dealt = dealt.select("grp", F.pmod(F.xxhash64("uuid"), F.col("blocks")).cast("int").alias("block"), "blocks", "uuid", "vec")
     met = dealt.mapInArrow(_keys, KEYED).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A block meets itself in a group of its own.
     pair = ["grp", "dims", "low", "high"]
     met = met.select("grp", "dims", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "uuid", "vec")
-    whole = met.repartition(cores(spark), *pair).sortWithinPartitions(*pair, "block", "uuid").mapInArrow(_best(k, floor), NEAR)
+    return met.repartition(cores(spark), *pair).sortWithinPartitions(*pair, "block", "uuid").mapInArrow(_best(k, floor), NEAR)
+
 
-    once = windows.unionByName(whole).groupBy("uuid", "near").agg(F.max("cosine").alias("cosine"))
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each row among all that were found for it."""
+    once = found.groupBy("uuid", "near").agg(F.max("cosine").alias("cosine"))
     merged = once.groupBy("uuid").agg(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "near")).alias("all"))
     return merged.select("uuid", F.posexplode(F.slice(F.array_sort("all"), 1, k)).alias("rank", "x")).select(
         "uuid", F.col("x.near").alias("near"), (-F.col("x.far")).alias("cosine"), (F.col("rank") + 1).alias("rank")

@@ -115,3 +115,25 @@ def test_recall_on_curves(spark):
     want = brute(dense)
     found = {(r.uuid, r.near) for r in vectors.similar_vectors(spark.createDataFrame(dense, SCHEMA).repartition(4)).collect()}
     assert len(found & want.keys()) >= 0.95 * len(want)
+
+
+def test_no_neighbour_depends_on_a_sample(spark):
+    rng = np.random.default_rng(8)
+    near = np.repeat(rng.standard_normal((1500, 64)), 4, axis=0) + 0.08 * rng.standard_normal((6000, 64))
+    clusters = [("c", f"u{k:05}", v.tolist()) for k, v in enumerate(near)]
+    latent = [("d", f"v{k:05}", v.tolist()) for k, v in enumerate(rng.standard_normal((6000, 10)) @ rng.standard_normal((10, 64)))]
+    df = spark.createDataFrame(clusters + latent, SCHEMA).repartition(4)
+    for options in ({}, {"block_bytes": 1 << 19}):  # one block, and three blocks that meet in pairs
+        found = {(r.uuid, r.near) for r in vectors.similar_vectors(df, **options).collect()}
+        assert found == brute(clusters + latent).keys()
+    some = {(r.uuid, r.near) for r in vectors.similar_vectors(df, exact=False).collect()}
+    assert len(some) == len(found) and len(some & found) >= 0.95 * len(found)
+
+
+def test_cosines_have_the_precision_of_the_rows(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(64).astype(np.float32)
+    rows = [("c", f"u{k}", (base + np.float32(1e-4) * rng.standard_normal(64).astype(np.float32)).tolist()) for k in range(60)]
+    want = brute(rows)
+    found = {(r.uuid, r.near): r.cosine for r in vectors.similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-11 for p in want)

@@ -4,8 +4,9 @@ Every tree of the forest is one order of all texts by one min-hash. The order is
 range-partitioned; texts that share the min-hash form a region. The depth of a region
 adapts to its size: a small one is compared whole, and a larger one goes on with longer
 prefixes in several sub-orders of its own, so many that a pair at the threshold is missed
-by all of them no more often than ``MISS``. A region is never cut off, and the sub-orders
-of one that would outgrow a task are dealt out before the shuffle.
+by all of them no more often than ``MISS``. A region is never cut off. The sub-orders of one
+that would outgrow a task are dealt out before the shuffle, the same ones that a task would
+compare, by counts of all texts; so where a region is compared changes no pair.
 
 Each tree carries a bit sketch of its own choice of min-hashes. A pair at the threshold
 meets in most of its trees under sketches that differ, so each may judge tightly. What any
@@ -37,8 +38,8 @@ MISS = 0.03
 MARGIN = 2.5
 #: Entries of one range of an order; more texts make more ranges.
 RANGE_ROWS = 65_536
-#: A region of more texts (by a sample of ``HOT_SAMPLE`` texts) is dealt out by deeper keys before the shuffle.
-HOT_ROWS, HOT_SAMPLE = 250_000, 8_192
+#: The sub-orders of a region of more texts are dealt out before the shuffle.
+HOT_ROWS = 250_000
 #: Members up to which a class of equal texts is written as all its pairs; a larger one as pairs with its least id.
 EXPAND = 200
 #: Bits of the filter of texts that need a second look: eight a text, up to this power of two; beyond it a join does it.
@@ -123,15 +124,26 @@ def _spread(hashes: np.ndarray) -> np.ndarray:
     return hashes * np.uint32(0x85EBCA6B)
 
 
+#: Depth of the sub-orders, by tree and key, of the regions that are dealt out.
 Hot = dict[int, dict[int, int]]
 
 
-def _deeper(signatures: np.ndarray, tree: int, depth: int, number: int) -> np.ndarray:
-    """Key of a tree's own min-hash and ``depth`` others, by one of several choices of them."""
-    key = signatures[tree].astype(np.uint64)
-    for f in np.random.default_rng([17, tree, depth, number]).choice(_OF_TREE[tree], depth, replace=False):
-        key = _mix(key) + signatures[f]
-    return (_mix(key) >> _U(32)).astype(np.uint32)
+def _depth(size: np.ndarray) -> np.ndarray:
+    """Depth of the sub-orders of large regions: of unlike texts three in ten agree in a bit pair; each text is left with some tens of them."""
+    return np.clip(np.ceil(np.log(size / 64) / np.log(3.3)), 3, 16).astype(np.int64)
+
+
+def _longer_prefix(sketch: list[np.ndarray], depth: int, number: int) -> np.ndarray:
+    """Further ``depth`` bit pairs of a sub-order."""
+    prefix = np.zeros(len(sketch[0]), np.int64)
+    for f in np.random.default_rng([7, depth, number]).choice(SKETCH, depth, replace=False):
+        prefix = (prefix << 2) | ((sketch[f // 32] >> _U(2 * (f % 32))) & _U(3)).astype(np.int64)
+    return prefix
+
+
+def _agree(threshold: float) -> float:
+    """Share of the bit pairs in which a pair at the threshold agrees."""
+    return (1 + 3 * threshold) / 4
 
 
 def _orders(threshold: float, depth: int, miss: float = MISS) -> int:
@@ -139,35 +151,46 @@ def _orders(threshold: float, depth: int, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**depth))
 
 
-def _entries(signatures: np.ndarray, refs: np.ndarray, sizes: np.ndarray, many: np.ndarray, hot: Hot, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """The entries of each tree; texts of a hot region come once for each of its sub-orders."""
+def _entries(signatures: np.ndarray, refs: np.ndarray, sizes: np.ndarray, many: np.ndarray, hot: Hot, threshold: float) -> Iterator[tuple[int | tuple[int, int, int], np.ndarray]]:
+    """The entries of each tree; texts of a hot region come once for each of its sub-orders, named by tree, key and number, with their prefixes as keys."""
     pairs = ((signatures * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64)
-    number = (np.minimum(sizes, _MANY - 1) | (many * _MANY)).astype(np.uint16)
+    count = (np.minimum(sizes, _MANY - 1) | (many * _MANY)).astype(np.uint16)
     for tree in range(TREES):
         entry = np.empty(len(refs), dtype=_ENTRY)
-        entry["key"], entry["ref"], entry["n"] = _spread(signatures[tree]), refs, number
+        entry["key"], entry["ref"], entry["n"] = _spread(signatures[tree]), refs, count
         for k in range(3):
             word = np.zeros(len(refs), np.uint64)
             for bit, f in enumerate(_OF_TREE[tree][32 * k : 32 * k + 32]):
                 word |= pairs[f] << _U(2 * bit)
             entry[f"s{k}"] = word
         if hot.get(tree):
-            depth = np.zeros(len(refs), np.int64)
-            for key, levels in hot[tree].items():
-                depth[entry["key"] == np.uint32(key)] = levels
-            for levels in set(depth[depth > 0].tolist()):
-                own = np.flatnonzero(depth == levels)
-                for number_ in range(_orders(threshold, levels)):
-                    part = entry[own]
-                    part["key"] = _deeper(signatures[:, own], tree, levels, number_)
-                    yield tree, part
-            entry = entry[depth == 0]
+            keys = np.array(sorted(hot[tree]), np.uint32)
+            dealt = np.isin(entry["key"], keys)
+            for key in np.intersect1d(entry["key"][dealt], keys).tolist():
+                own, depth = entry[entry["key"] == np.uint32(key)], hot[tree][key]
+                for number in range(_orders(_agree(threshold), depth)):
+                    part = own.copy()
+                    part["key"] = _longer_prefix([own[s] for s in ("s0", "s1", "s2")], depth, number)
+                    yield (tree, key, number), part
+            entry = entry[~dealt]
         if len(entry):
             yield tree, entry
 
 
+def _dealt_parts(hot: Hot, ranges: int, threshold: float) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """First part, parts to a sub-order and depth of each hot region; its parts follow those of the trees."""
+    out, at = {}, TREES * ranges
+    for tree, keys in sorted(hot.items()):
+        for key, depth in sorted(keys.items()):
+            pieces = max(1, math.ceil(64 * 3.3**depth / RANGE_ROWS))
+            out[tree, key] = at, pieces, depth
+            at += pieces * _orders(_agree(threshold), depth)
+    return out
+
+
 def _grow(ranges: int, size: int, least_words: int, threshold: float, hot: Hot):
     """Map side: the entries of each tree, packed by range of the order, equal texts of a batch as one."""
+    dealt = _dealt_parts(hot, ranges, threshold)
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size, least_words)
@@ -182,12 +205,17 @@ def _grow(ranges: int, size: int, least_words: int, threshold: float, hot: Hot):
             copies = np.diff(np.append(first, len(refs)))
             own = order[first]
             parts, blobs = [], []
-            for tree, entry in _entries(_signatures(shingles, offsets)[:, own], refs[own], sizes[own], copies > 1, hot, threshold):
+            for place, entry in _entries(_signatures(shingles, offsets)[:, own], refs[own], sizes[own], copies > 1, hot, threshold):
                 entry = entry[np.argsort(entry["key"])]
-                at = (entry["key"].astype(np.int64) * ranges) >> 32
-                bounds = np.searchsorted(at, np.arange(ranges + 1))
+                if isinstance(place, tuple):
+                    start, pieces, depth = dealt[place[:2]]
+                    start, bits = start + place[2] * pieces, 2 * depth
+                else:
+                    start, pieces, bits = place * ranges, ranges, 32
+                at = (entry["key"].astype(np.int64) * pieces) >> bits
+                bounds = np.searchsorted(at, np.arange(pieces + 1))
                 for r in np.flatnonzero(np.diff(bounds)):
-                    parts.append(tree * ranges + int(r))
+                    parts.append(start + int(r))
                     blobs.append(entry[bounds[r] : bounds[r + 1]].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
@@ -195,28 +223,51 @@ def _grow(ranges: int, size: int, least_words: int, threshold: float, hot: Hot):
 
 
 def _first_hashes(size: int, least_words: int):
+    """How many texts of a batch have each first min-hash."""
+
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size, least_words)
         for batch in batches:
             rows, shingles, offsets = shingler(batch.column(0).to_pylist())
             keys = _spread(_signatures(shingles, offsets, TREES)).astype(np.int64) if len(rows) else np.zeros((TREES, 0), np.int64)
-            trees = np.repeat(np.arange(TREES, dtype=np.int32), keys.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(trees), pa.array(keys.ravel())], names=["tree", "key"])
+            code, n = np.unique(keys + (np.arange(TREES)[:, None] << 32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array(code & 0xFFFFFFFF), pa.array(n)], names=["tree", "key", "n"])
 
     return hashes
 
 
+def _texts_of(keys: Hot, size: int, least_words: int):
+    """The texts that lie in some regions."""
+    codes = np.array([(tree << 32) + key for tree, own in keys.items() for key in own], np.int64)
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size, least_words)
+        for batch in batches:
+            rows, shingles, offsets = shingler(batch.column(1).to_pylist())
+            if not len(rows):
+                continue
+            code = _spread(_signatures(shingles, offsets, TREES)).astype(np.int64) + (np.arange(TREES)[:, None] << 32)
+            tree, at = np.nonzero(np.isin(code, codes))
+            own = batch.column(0).take(pa.array(rows[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(code[tree, at] & 0xFFFFFFFF), own], names=["tree", "key", "ref"])
+
+    return texts
+
+
 def hot_regions(source: DataFrame, total: int, size: int, least_words: int) -> Hot:
-    """Further min-hashes, by tree and key, that part the regions which a task could not hold; from a sample, as it only deals out work."""
-    if total <= 4 * HOT_ROWS:
+    """Depth of the sub-orders of the regions of more than ``HOT_ROWS`` texts, by tree and key; all texts are counted, and equal ones once."""
+    if total <= HOT_ROWS:
+        return {}  # no region can have more texts than there are
+    counted = source.select("content").mapInArrow(_first_hashes(size, least_words), "tree int, key bigint, n bigint").groupBy("tree", "key").agg(F.sum("n").alias("n"))
+    large: Hot = {}
+    for tree, key, _ in counted.where(F.col("n") > HOT_ROWS).collect():  # at most TREES * total / HOT_ROWS
+        large.setdefault(tree, {})[key] = 0
+    if not large:
         return {}
-    held = min(HOT_SAMPLE, total)
-    sample = source.select("content").sample(held / total, seed=5)
-    keys = sample.mapInArrow(_first_hashes(size, least_words), "tree int, key bigint").groupBy("tree", "key").count()
+    refs = source.select(F.xxhash64("content").alias("ref"), "content").mapInArrow(_texts_of(large, size, least_words), "tree int, key bigint, ref bigint").distinct()
     hot: Hot = {}
-    for tree, key, count in keys.where(F.col("count") > HOT_ROWS / total * held).collect():  # at most TREES * total / HOT_ROWS and TREES * HOT_SAMPLE
-        # A tenth of the unlike texts of a region share a further min-hash, at most.
-        hot.setdefault(tree, {})[key] = max(1, math.ceil(math.log10(count * total / held / HOT_ROWS)))
+    for tree, key, count in refs.groupBy("tree", "key").count().where(F.col("count") > HOT_ROWS).collect():
+        hot.setdefault(tree, {})[key] = int(_depth(np.array([count]))[0])
     return hot
 
 
@@ -228,8 +279,7 @@ class _Order:
         self.number = (entry["n"] & (_MANY - 1)).astype(np.int64)
         # Counts of very long texts are clipped, so such a text is ruled out by no count.
         self.largest = np.minimum((self.number / threshold + 1e-3).astype(np.int64), _MANY - 1)
-        # A pair at the threshold agrees in (1 + 3 J) / 4 of the bit pairs.
-        self.agree = (1 + 3 * threshold) / 4
+        self.agree = _agree(threshold)
         self.apart = int(SKETCH * (1 - self.agree) + MARGIN * math.sqrt(SKETCH * self.agree * (1 - self.agree)))
 
     def pairs(self, own: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,13 +304,6 @@ class _Order:
             at = at[left[at] >= step]
         return np.concatenate(one), np.concatenate(two)
 
-    def longer_prefix(self, own: np.ndarray, depth: int, number: int) -> np.ndarray:
-        """Further ``depth`` bit pairs of a sub-order."""
-        prefix = np.zeros(len(own), np.int64)
-        for f in np.random.default_rng([7, depth, number]).choice(SKETCH, depth, replace=False):
-            prefix = (prefix << 2) | ((self.sketch[f // 32][own] >> _U(2 * (f % 32))) & _U(3)).astype(np.int64)
-        return prefix
-
 
 def candidate_pairs(entry: np.ndarray, threshold: float, most: int = REGION) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of texts of one region that their sizes and sketches leave possible; a text with copies also pairs with itself."""
@@ -274,13 +317,13 @@ def candidate_pairs(entry: np.ndarray, threshold: float, most: int = REGION) ->
     order = _Order(entry, threshold)
     small = np.flatnonzero((size > 1) & (size <= most))
     found = [order.pairs(small, region[small])]
-    # Of unlike texts three in ten agree in a bit pair; a sub-order is as deep as leaves each text some tens of them.
-    depth = np.where(size > most, np.clip(np.ceil(np.log(size / 64) / np.log(3.3)), 3, 16), 0).astype(np.int64)
+    depth = np.zeros(len(size), np.int64)
+    depth[size > most] = _depth(size[size > most])
     for levels in set(depth[depth > 0].tolist()):
         own = np.flatnonzero(depth == levels)
         group = np.cumsum(np.concatenate([[0], region[own][1:] != region[own][:-1]]))  # numbered afresh, so that prefixes fit in
         for number in range(_orders(order.agree, levels)):
-            found.append(order.pairs(own, (group << (2 * levels)) | order.longer_prefix(own, levels, number)))
+            found.append(order.pairs(own, (group << (2 * levels)) | _longer_prefix([s[own] for s in order.sketch], levels, number)))
     one, two = (np.concatenate(x) for x in zip(*found))
     pair = _distinct(np.minimum(one, two) * len(entry) + np.maximum(one, two))
     a, b = entry["ref"][pair // max(1, len(entry))], entry["ref"][pair % max(1, len(entry))]
@@ -296,8 +339,10 @@ def _meet(threshold: float, ranges: int):
         current, blobs = None, []
 
         def pairs() -> pa.RecordBatch:
-            low, high = candidate_pairs(np.frombuffer(b"".join(blobs), dtype=_ENTRY), threshold)
-            if current >= ranges:  # copies are reported by the first tree only
+            entry = np.frombuffer(b"".join(blobs), dtype=_ENTRY)
+            dealt = current >= TREES * ranges  # one sub-order of a region, which goes no deeper
+            low, high = candidate_pairs(entry, threshold, len(entry) if dealt else REGION)
+            if current >= ranges and not dealt:  # of whole regions, copies are reported by the first tree only
                 low, high = low[low != high], high[low != high]
             return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 

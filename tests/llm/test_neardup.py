@@ -150,3 +150,29 @@ def test_hot_regions_are_found_by_a_sample_and_keep_their_pairs(spark, monkeypat
     want = brute(data, 0.6, 3, 20)
     found = {tuple(r) for r in neardup.similar_pairs(df, 0.6, 3, 20).collect()}
     assert found <= want and len(found) >= 0.99 * len(want) > 100
+
+
+def test_where_a_region_is_compared_changes_no_pair(spark, monkeypatch):
+    rnd = random.Random(31)
+    base = [rnd.choice(WORDS) for _ in range(120)]
+    texts = []
+    for k in range(500):
+        text = list(base)
+        for at in rnd.sample(range(120), rnd.choice([4, 9, 13])):
+            text[at] = f"own{k}x{at}"
+        texts.append((f"id{k:04}", " ".join(text)))
+    data = texts + [(f"copy{k}", t) for k, (_, t) in enumerate(texts[:40])]
+    df = spark.createDataFrame(data, "id string, content string").repartition(3)
+    source = df.selectExpr("id", "xxhash64(content) AS ref", "content")
+
+    def candidates(hot):
+        grown = source.select("ref", "content").mapInArrow(neardup._grow(2, 3, 20, 0.6, hot), "part int, blob binary")
+        return {tuple(r) for r in grown.repartition(3, "part").sortWithinPartitions("part").mapInArrow(neardup._meet(0.6, 2), "a bigint, b bigint").distinct().collect()}
+
+    monkeypatch.setattr(neardup, "REGION", 20)
+    monkeypatch.setattr(neardup, "HOT_ROWS", 20)  # as many texts as in-task regions go deeper from
+    hot = neardup.hot_regions(source, len(data), 3, 20)
+    assert hot == neardup.hot_regions(source.repartition(7), len(data), 3, 20) and sum(map(len, hot.values())) > 20
+    assert candidates(hot) == candidates({})
+    monkeypatch.setattr(neardup, "HOT_ROWS", len(data) // 2)
+    assert neardup.hot_regions(source.limit(len(data) // 2), len(data) // 2, 3, 20) == {}

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -281,24 +281,43 @@ def scanned_pages(chunks: DataFrame, config: DataFrame | None = None) -> DataFra
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words: Counter = Counter()
-    pairs: Counter = Counter()
+    """Words are numbered as they come, so that pairs are counted as numbers, by sorting."""
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    words = np.zeros(0, np.int64)
+    pairs, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def packed() -> pa.RecordBatch:
-        a = [*words, *(p[0] for p in pairs)]
-        b = [None] * len(words) + [p[1] for p in pairs]
-        n = [*words.values(), *pairs.values()]
-        words.clear()
-        pairs.clear()
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+        names = pa.array(list(number), pa.string())
+        own = np.flatnonzero(words)
+        a = pa.concat_arrays([names.take(pa.array(own)), names.take(pa.array(pairs >> 32))])
+        b = pa.concat_arrays([pa.nulls(len(own), pa.string()), names.take(pa.array(pairs & 0xFFFFFFFF))])
+        return pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([words[own], counts]))], names=["a", "b", "n"])
 
     for batch in batches:
+        tokens: list[str] = []
+        ends = []
         for text in batch.column(0).to_pylist():
-            tokens = _LETTERS.findall(text.lower())
-            words.update(tokens)
-            pairs.update(zip(tokens, tokens[1:]))
+            tokens += _LETTERS.findall(text.lower())
+            ends.append(len(tokens))
+        own = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        n = np.bincount(own, minlength=len(number))
+        n[: len(words)] += words
+        words = n
+        inside = np.ones(max(0, len(own) - 1), bool)
+        last = np.array(ends) - 1
+        inside[last[(last >= 0) & (last < len(inside))]] = False
+        code = np.sort(((own[:-1] << 32) | own[1:])[inside])
+        heads = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+        both, times = np.concatenate([pairs, code[heads]]), np.concatenate([counts, np.diff(np.append(heads, len(code)))])
+        order = np.argsort(both, kind="stable")
+        both, times = both[order], times[order]
+        heads = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else heads
+        pairs, counts = both[heads], np.add.reduceat(times, heads) if len(heads) else times
         if len(pairs) > 400_000:
             yield packed()
+            number.clear()
+            words = pairs = counts = np.zeros(0, np.int64)
     yield packed()
 
 
@@ -360,6 +379,8 @@ def _asks(open_: np.ndarray):
 
         for batch in batches:
             wanted: set[tuple[int, int]] = set()
+            keys: list[tuple[int, bool]] = []
+            ends, owners = [], []
             for part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -367,20 +388,30 @@ def _asks(open_: np.ndarray):
                 forms = [text, joined(text, [(at, end, tail) for at, end, tail, _ in marked])] if marked else [text]
                 for form in forms:
                     for block in _BLOCK.findall(form.lower()):
-                        own = [seen[t] if t in seen else look_up(t) for t in _TOKEN.findall(block)]
-                        for k, (key, live) in enumerate(own):
-                            if live:
-                                wanted.add((part, key))
-                                if k:
-                                    wanted.add((part, own[k - 1][0]))
-                                    wanted.add((part, _pair_key(own[k - 1][0], key)))
-                                if k + 1 < len(own):
-                                    wanted.add((part, own[k + 1][0]))
-                                    wanted.add((part, _pair_key(key, own[k + 1][0])))
+                        keys += [seen[t] if t in seen else look_up(t) for t in _TOKEN.findall(block)]
+                        ends.append(len(keys))
+                        owners.append(part)
                 for _, _, _, (head, tail) in marked:
                     wanted |= {(part, _key(f"{head}-{tail}")), (part, _key(head + tail))}
-            parts, hashes = zip(*wanted) if wanted else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(hashes, pa.int64())], names=["part", "key"])
+            key, live = np.array([k for k, _ in keys], np.int64), np.array([x for _, x in keys], bool)
+            owner = np.repeat(np.array(owners, np.int64), np.diff(np.array([0, *ends])))
+            # A word that may be misread, its neighbours in the block, and its pairs with them.
+            beside = np.ones(max(0, len(key) - 1), bool)
+            last = np.array(ends, np.int64) - 1
+            beside[last[(last >= 0) & (last < len(beside))]] = False
+            beside &= live[:-1] | live[1:]
+            asks = live.copy()
+            asks[:-1] |= beside
+            asks[1:] |= beside
+            one, two = key[:-1][beside].view(np.uint64), key[1:][beside].view(np.uint64)
+            pair = ((one * np.uint64(0x5851F42D4C957F2D) + two) ^ np.uint64(1 << 63)).view(np.int64)
+            more = np.array(list(wanted), np.int64).reshape(-1, 2)
+            parts, hashes = np.concatenate([owner[asks], owner[:-1][beside], more[:, 0]]), np.concatenate([key[asks], pair, more[:, 1]])
+            order = np.lexsort((hashes, parts))
+            parts, hashes = parts[order], hashes[order]
+            new = np.ones(len(parts), bool)
+            new[1:] = (parts[1:] != parts[:-1]) | (hashes[1:] != hashes[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(parts[new].astype(np.int32)), pa.array(hashes[new])], names=["part", "key"])
 
     return ask
 

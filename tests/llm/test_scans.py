@@ -125,3 +125,39 @@ def test_collections_without_recognition_have_no_scanned_pages(spark):
     df = spark.createDataFrame([("a", "c", "x", meta()), ("b", "d", "x", meta()), ("e", "d", "x", meta(loader="ocr_openai")), ("f", "n", "x", meta())], "id string, collection_id string, content string, metadata string")
     config = spark.createDataFrame([("c", "{}"), ("n", None)], "dataset string, openai_ocr string")
     assert {r.id for r in scans.scanned_pages(df, config).collect()} == {"a", "e", "f"}
+
+
+def test_counts_of_words_and_pairs_are_whole_and_cost_less_than_counting_tuples():
+    import time
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    vocabulary = [f"{a}{b}" for a in ("net", "pay", "tax", "sum", "fee", "due") for b in ("er", "ing", "able", "ment", "less", "ful", "ly", "ion")]
+    texts = ["", "-", "alone", *(" ".join(rng.choice(vocabulary, 60)) + "\n12 Net-er" for _ in range(6000)), "...", "last one"]
+
+    def plain():
+        words, pairs = Counter(), Counter()
+        for text in texts:
+            tokens = scans._LETTERS.findall(text.lower())
+            words.update(tokens)
+            pairs.update(zip(tokens, tokens[1:]))
+        return Counter({(w, None): n for w, n in words.items()}) + pairs
+
+    def counted():
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 2500], pa.string())], names=["content"]) for k in range(0, len(texts), 2500)]
+        return list(scans._count(iter(batches)))
+
+    def cost(f):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            out = f()
+            times.append(time.process_time() - began)
+        return min(times), out
+
+    (most, want), (took, found) = cost(plain), cost(counted)
+    assert Counter({(a, b): n for part in found for a, b, n in zip(*(c.to_pylist() for c in part.columns))}) == want
+    assert took <= 0.9 * most

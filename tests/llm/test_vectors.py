@@ -137,3 +137,11 @@ def test_cosines_have_the_precision_of_the_rows(spark):
     want = brute(rows)
     found = {(r.uuid, r.near): r.cosine for r in vectors.similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-11 for p in want)
+
+
+def test_an_unlucky_sample_costs_no_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "cheapest", lambda *_: (4, 8))  # windows too narrow
+    rng = np.random.default_rng(8)
+    rows = [("c", f"u{k:05}", v.tolist()) for k, v in enumerate(rng.standard_normal((1200, 10)) @ rng.standard_normal((10, 64)))]
+    found = {(r.uuid, r.near) for r in vectors.similar_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == brute(rows).keys()
